@@ -593,7 +593,7 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY month DESC NULLS LAST LIMIT 18"""),
         # --- sorts and limits -----------------------------------------------------------------
         "returns_page": _r(f"SELECT {RETURN_COLUMNS} FROM r ORDER BY return_date DESC NULLS LAST, id LIMIT 50 OFFSET 100"),
-        "returns_page_deep": _r(f"SELECT {RETURN_COLUMNS} FROM r ORDER BY return_date DESC NULLS LAST, id LIMIT 50 OFFSET 15000"),
+        "returns_page_deep": _r(f"SELECT {RETURN_COLUMNS} FROM r ORDER BY return_date DESC NULLS LAST, id LIMIT 50 OFFSET 1500"),
         "top_reasons": _r("""SELECT reason, replace(reason, '_', ' ') AS label, count(*) AS records FROM r
             WHERE reason <> '' GROUP BY reason ORDER BY records DESC, reason LIMIT 10"""),
         "diagnostic_samples": _r("""(SELECT 'no_order_id' AS sample, order_id, asin, return_date, reason, disposition

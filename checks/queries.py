@@ -584,7 +584,7 @@ def returns_page(spark, folder):
 @register
 def returns_page_deep(spark, folder):
     """A page far down, found by skipping counted groups instead of sorting up to it."""
-    return op.returns_page(star.return_records(spark, folder), page=301, deep=1000)
+    return op.returns_page(star.return_records(spark, folder), page=31, deep=500)
 
 
 @register
