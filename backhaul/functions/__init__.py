@@ -7,6 +7,7 @@ from .dates import (
     parse_date_serial,
     parse_date_text,
     week_number,
+    week_of,
     year_month,
     year_text,
 )
@@ -62,6 +63,7 @@ __all__ = [
     "safe_ratio_pct",
     "trimmed",
     "week_number",
+    "week_of",
     "year_month",
     "year_text",
 ]

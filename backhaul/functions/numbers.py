@@ -19,7 +19,7 @@ def parse_num(cell: Column | str) -> Column:
     """
     kept = F.regexp_replace(as_column(cell), r"[^0-9.\-]", "")
     number = F.regexp_extract(kept, r"^(-?(?:[0-9]+\.?[0-9]*|\.[0-9]+))", 1)
-    return F.nullif(number, F.lit("")).try_cast("double")
+    return number.try_cast("double")  # NULL where nothing was extracted
 
 
 def js_number_text(number: Column | str) -> Column:

@@ -21,8 +21,16 @@ def as_column(value: Column | str) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def _printable(char: Column) -> Column:
+    return F.ascii(char).between(33, 126)
+
+
 def trimmed(value: Column | str) -> Column:
-    return F.btrim(as_column(value), F.lit(BLANKS))
+    """Without blanks at either end. Most cells have none, which their first and last
+    character tell; only the others pay for the search in the list of blanks."""
+    text = as_column(value)
+    untouched = _printable(text) & _printable(F.right(text, F.lit(1)))
+    return F.when(untouched, text).otherwise(F.btrim(text, F.lit(BLANKS)))
 
 
 def first_nonblank(*cells: Column | str) -> Column:

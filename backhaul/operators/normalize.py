@@ -9,14 +9,15 @@ from .. import schema
 from ..functions import (
     derive_return_month,
     derive_return_year,
+    iso_date,
     order_quantity,
     parse_date,
     parse_num,
     return_quantity,
     row_hash,
-    week_number,
+    trimmed,
+    week_of,
     year_month,
-    year_text,
 )
 from ..sources.sheets import Sheet
 
@@ -47,6 +48,10 @@ RETURN_TEXTS = (
 )
 
 
+# Each step below is its own projection: a cell that later expressions read several
+# times is then computed once, where nesting would compute it for every mention.
+
+
 def normalize_orders(sheet: Sheet) -> DataFrame:
     """Order lines of a raw sheet, with whatever id / arrival order it carries.
 
@@ -54,57 +59,63 @@ def normalize_orders(sheet: Sheet) -> DataFrame:
     them: untrimmed and unparsed, a zero price counting as empty.
     """
     heads = schema.ORDER_HEADERS
-    date = F.col("purchase_date")
-    parsed = sheet.rows.select(
+    picked = sheet.rows.select(
         *sheet.carried,
-        *[sheet.text(heads[c]).alias(c) for c in ORDER_TEXTS],
-        parse_date(sheet.raw(heads["purchase_date"], zero_is_missing=True)).alias("purchase_date"),
-        order_quantity(parse_num(sheet.raw(heads["quantity"])).try_cast("bigint")).alias("quantity"),
-        parse_num(sheet.raw(heads["item_price"])).try_cast(schema.MONEY).alias("item_price"),
-        parse_num(sheet.raw(heads["item_tax"])).try_cast(schema.MONEY).alias("item_tax"),
-        row_hash(
-            sheet.raw(heads["identifier"]),
-            sheet.raw(heads["asin"]),
-            sheet.raw(schema.ORDER_HASH_DATE_HEADERS),
-            sheet.raw(heads["item_price"], zero_is_missing=True),
-        ).alias("row_hash"),
+        *[sheet.raw(heads[c]).alias(c) for c in ORDER_TEXTS],
+        sheet.raw(heads["purchase_date"], zero_is_missing=True).alias("purchase_date"),
+        sheet.raw(schema.ORDER_HASH_DATE_HEADERS).alias("hash_date"),
+        *[sheet.raw(heads[c]).alias(c) for c in ("quantity", "item_price", "item_tax")],
+        sheet.raw(heads["item_price"], zero_is_missing=True).alias("hash_price"),
     )
-    dated = parsed.select(
-        "*",
-        week_number(date).alias("purchase_week"),
-        year_month(date).alias("purchase_ym"),
-        year_text(date).alias("purchase_y"),
+    parsed = picked.select(
+        *sheet.carried,
+        *[trimmed(c).alias(c) for c in ORDER_TEXTS],
+        parse_date("purchase_date").alias("purchase_date"),
+        order_quantity(parse_num("quantity").try_cast("bigint")).alias("quantity"),
+        parse_num("item_price").try_cast(schema.MONEY).alias("item_price"),
+        parse_num("item_tax").try_cast(schema.MONEY).alias("item_tax"),
+        row_hash("identifier", "asin", "hash_date", "hash_price").alias("row_hash"),
     )
+    dated = with_calendar(parsed, "purchase_date", "purchase")
     return _ordered(dated, sheet, schema.ORDERS.names)
 
 
 def normalize_returns(sheet: Sheet) -> DataFrame:
     """Return records of a raw sheet (workbook or marketplace headers)."""
     heads = schema.RETURN_HEADERS
-    parsed = sheet.rows.select(
+    texts = (*RETURN_TEXTS, "return_month", "return_year")
+    dates = ("purchase_date", "return_date")
+    picked = sheet.rows.select(
         *sheet.carried,
-        *[sheet.text(heads[c]).alias(c) for c in RETURN_TEXTS],
-        parse_date(sheet.raw(heads["purchase_date"], zero_is_missing=True)).alias("purchase_date"),
-        parse_date(sheet.raw(heads["return_date"], zero_is_missing=True)).alias("return_date"),
-        sheet.text(heads["return_month"]).alias("given_month"),
-        sheet.text(heads["return_year"]).alias("given_year"),
-        return_quantity(
-            parse_num(sheet.raw(heads["quantity"], zero_is_missing=True)).try_cast("bigint")
-        ).alias("quantity"),
+        *[sheet.raw(heads[c]).alias(c) for c in texts],
+        *[sheet.raw(heads[c], zero_is_missing=True).alias(c) for c in (*dates, "quantity")],
+    )
+    parsed = picked.select(
+        *sheet.carried,
+        *[trimmed(c).alias(c) for c in texts],
+        *[parse_date(c).alias(c) for c in dates],
+        parse_num("quantity").try_cast("bigint").alias("quantity"),
     )
     date = F.col("return_date")
-    dated = parsed.select(
-        "*",
-        derive_return_month("given_month", date).alias("return_month"),
-        derive_return_year("given_year", date).alias("return_year"),
-        week_number(date).alias("return_week"),
-        year_month(date).alias("return_ym"),
-        year_text(date).alias("return_y"),
-        row_hash("order_id", "asin", date, "reason").alias("row_hash"),
+    dated = parsed.withColumns(
+        {
+            "quantity": return_quantity("quantity"),
+            "return_month": derive_return_month("return_month", date),
+            "return_year": derive_return_year("return_year", date),
+            "row_hash": row_hash("order_id", "asin", date, "reason"),
+        }
     )
+    dated = with_calendar(dated, "return_date", "return")
     return _ordered(dated, sheet, schema.RETURNS.names)
 
 
+def with_calendar(df: DataFrame, date: str, prefix: str) -> DataFrame:
+    """Add ``<prefix>_week``, ``<prefix>_ym`` and ``<prefix>_y`` of a date text."""
+    read = df.withColumns({"_day": iso_date(date), f"{prefix}_ym": year_month(date)})
+    year = F.left(f"{prefix}_ym", F.lit(4))
+    return read.withColumns({f"{prefix}_week": week_of("_day"), f"{prefix}_y": year}).drop("_day")
+
+
 def normalize(sheet: Sheet, kind: str) -> DataFrame:
     return normalize_returns(sheet) if kind == "returns" else normalize_orders(sheet)
 

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
-from ..functions import first_nonblank, js_number_text
+from ..functions import js_number_text
 from ..functions.text import BLANKS
 from ..schema import SEQ
 
+ZERO = r"^-?0+(?:\.0*)?$"
 TAB_SUFFIXES = (".tsv", ".txt", ".tab")
 
 
@@ -89,16 +90,9 @@ class Sheet:
         """First filled cell of the aliases, untrimmed; ``''`` if none."""
         filled = [F.nullif(c, F.lit("")) for c in self.cells(aliases)]
         if zero_is_missing:
-            filled = [F.when(F.coalesce(c.try_cast("double"), F.lit(1.0)) != 0, c) for c in filled]
+            filled = [F.when(~c.rlike(ZERO), c) for c in filled]
         return F.coalesce(*filled, F.lit(""))
 
-    def text(self, aliases: Iterable[str]) -> Column:
-        """First filled cell of the aliases, trimmed; ``''`` if none."""
-        return first_nonblank(*self.cells(aliases))
-
-    def with_seq(self, order: Column) -> Sheet:
-        return Sheet(self.rows.withColumn(SEQ, order), self.headers)
-
 
 def trim_headers(df: DataFrame) -> DataFrame:
     """Trimmed headers and no NULL cells, for sheets without colliding headers."""

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import js_number_text, row_hash, week_number, year_month, year_text
+from ..functions import js_number_text, row_hash
+from ..operators.normalize import with_calendar
 from .sheets import Sheet
 
 AS_OF = dt.date(2001, 8, 1)  # the order dates end here
@@ -71,7 +72,7 @@ def order_lines(spark: SparkSession, folder: str, with_part: bool = True) -> Dat
     date = (
         F.when(undated, "")
         .when(_mod("l_partkey", 83) == 0, F.date_format(day, "M/d/yyyy"))
-        .otherwise(F.date_format(day, "yyyy-MM-dd"))
+        .otherwise(day.cast("date").cast("string"))
     )
     price = (
         F.when(F.col("l_discount") == 0.0, F.lit(None).cast(schema.MONEY))
@@ -100,13 +101,8 @@ def order_lines(spark: SparkSession, folder: str, with_part: bool = True) -> Dat
         (_money("l_tax") * _money("l_extendedprice")).cast(schema.MONEY).alias("item_tax"),
     )
     price_text = F.when(F.col("item_price") != 0, js_number_text("item_price"))
-    derived = rows.select(
-        "*",
-        week_number("purchase_date").alias("purchase_week"),
-        year_month("purchase_date").alias("purchase_ym"),
-        year_text("purchase_date").alias("purchase_y"),
-        row_hash("identifier", "asin", "purchase_date", price_text).alias("row_hash"),
-    )
+    hashed = rows.withColumn("row_hash", row_hash("identifier", "asin", "purchase_date", price_text))
+    derived = with_calendar(hashed, "purchase_date", "purchase")
     return derived.select(*schema.ORDERS.names)
 
 
@@ -145,16 +141,16 @@ def return_rows(lines: DataFrame) -> DataFrame:
     undated = _mod("l_partkey", 89) == 0
     day = F.col("l_shipdate")
 
-    def dated(pattern: str) -> Column:
-        return F.when(undated, "").otherwise(F.date_format(day, pattern))
+    def dated(text: Column) -> Column:
+        return F.when(undated, "").otherwise(text)
 
     rows = lines.select(
         _row_id().alias("id"),
         F.lit("").alias("purchase_month"),
         F.lit(None).cast("string").alias("purchase_date"),
-        dated("MMMM yyyy").alias("return_month"),
-        dated("yyyy").alias("return_year"),
-        dated("yyyy-MM-dd").alias("return_date"),
+        dated(F.date_format(day, "MMMM yyyy")).alias("return_month"),
+        dated(F.year(day).cast("string")).alias("return_year"),
+        dated(day.cast("date").cast("string")).alias("return_date"),
         _order_id().alias("order_id"),
         _sku().alias("sku"),
         F.concat(F.lit("ASIN-"), _text("l_linenumber")).alias("asin"),
@@ -168,13 +164,8 @@ def return_rows(lines: DataFrame) -> DataFrame:
         _brand().alias("brand"),
         _comment().alias("customer_comments"),
     )
-    derived = rows.select(
-        "*",
-        week_number("return_date").alias("return_week"),
-        year_month("return_date").alias("return_ym"),
-        year_text("return_date").alias("return_y"),
-        row_hash("order_id", "asin", "return_date", "reason").alias("row_hash"),
-    )
+    hashed = rows.withColumn("row_hash", row_hash("order_id", "asin", "return_date", "reason"))
+    derived = with_calendar(hashed, "return_date", "return")
     return derived.select(*schema.RETURNS.names)
 
 
