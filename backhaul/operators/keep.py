@@ -49,17 +49,41 @@ def first_by_hash(
     return keep_first(batch, [key], order_by, nonnull=[key])
 
 
+def stored_matches(
+    stored: DataFrame, batch: DataFrame, key: str, *columns: Column | str
+) -> DataFrame:
+    """Key (and ``columns``) of the stored rows whose key occurs in the batch.
+
+    A batch is small next to the table it goes into. While its distinct keys fit
+    Spark's broadcast threshold, which Catalyst checks against their size, the stored
+    keys are filtered where they are read and nothing of the table is shuffled. A
+    batch too large for that makes it a shuffle join on the key column alone.
+    """
+    wanted = batch.select(key).filter(F.col(key).isNotNull()).distinct()
+    return stored.select(key, *columns).join(wanted, key, "left_semi")
+
+
+def new_by_key(
+    batch: DataFrame, stored: DataFrame, order_by: Sequence[Column | str] = (SEQ,), key: str = "row_hash"
+) -> DataFrame:
+    """First row per key that is not stored yet; rows without a key are left out.
+
+    The anti join reuses the exchange of the ranking, so whole rows are shuffled
+    once; of the stored table only the key column is read. Both sides hold a key at
+    most once by then, so none is hot.
+    """
+    first = keep_first(batch.filter(F.col(key).isNotNull()), [key], order_by)
+    return first.join(stored_matches(stored, batch, key), key, "left_anti").select(*batch.columns)
+
+
 def insert_ignore(
     batch: DataFrame,
     stored: DataFrame,
     order_by: Sequence[Column | str] = (SEQ,),
     key: str = "row_hash",
 ) -> DataFrame:
-    """Rows of the batch to add: first per hash, and not stored yet.
+    """Rows of the batch to add: first per hash and not stored yet, or without a hash.
 
-    The anti join reuses the exchange of the ranking, so a batch is shuffled once;
-    of the stored table only the hash column is read. Both sides hold a hash at
-    most once by then, so no key is hot.
+    Rows without a hash go around the join; in it they would all meet in one task.
     """
-    known = stored.select(key).filter(F.col(key).isNotNull())
-    return first_by_hash(batch, order_by, key).join(known, key, "left_anti").select(*batch.columns)
+    return new_by_key(batch, stored, order_by, key).unionByName(batch.filter(F.col(key).isNull()))

@@ -111,9 +111,9 @@ def normalize_returns(sheet: Sheet) -> DataFrame:
 
 def with_calendar(df: DataFrame, date: str, prefix: str) -> DataFrame:
     """Add ``<prefix>_week``, ``<prefix>_ym`` and ``<prefix>_y`` of a date text."""
-    read = df.withColumns({"_day": iso_date(date), f"{prefix}_ym": year_month(date)})
+    read = df.withColumns({"_iso_day": iso_date(date), f"{prefix}_ym": year_month(date)})
     year = F.left(f"{prefix}_ym", F.lit(4))
-    return read.withColumns({f"{prefix}_week": week_of("_day"), f"{prefix}_y": year}).drop("_day")
+    return read.withColumns({f"{prefix}_week": week_of("_iso_day"), f"{prefix}_y": year}).drop("_iso_day")
 
 
 def normalize(sheet: Sheet, kind: str) -> DataFrame:

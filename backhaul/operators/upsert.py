@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import is_blank, non_blank
 from ..schema import SEQ
-from .keep import first_by_hash, insert_ignore, keep_first
+from .keep import insert_ignore, keep_first, new_by_key, stored_matches
 
 ADDED, UPDATED, SKIPPED = "added", "updated", "skipped"
 
@@ -25,20 +27,26 @@ def upsert_disposition(stored: DataFrame, batch: DataFrame, order_by: str = SEQ)
     shuffled for that; rows with a disposition pass straight through.
     """
     columns = stored.columns
-    new = insert_ignore(batch, stored, [order_by]).select(*columns)
-    after = stored.unionByName(new)
+    filled_rows = non_blank("disposition") & F.col("row_hash").isNotNull()
     fills = keep_first(
-        batch.filter(non_blank("disposition") & F.col("row_hash").isNotNull()).select(
-            "row_hash", "disposition", order_by
-        ),
-        ["row_hash"],
-        [order_by],
+        batch.filter(filled_rows).select("row_hash", "disposition", order_by), ["row_hash"], [order_by]
     ).select("row_hash", F.col("disposition").alias("_fill"))
-    blank = after.filter(F.col("disposition").isNull() | (F.col("disposition") == ""))
-    filled = blank.join(fills, "row_hash", "left").withColumn(
-        "disposition", F.coalesce("_fill", "disposition")
-    )
-    return after.filter(non_blank("disposition")).unionByName(filled.select(*columns))
+
+    def fill(rows: DataFrame) -> DataFrame:
+        kept = F.nullif(F.col("disposition"), F.lit(""))
+        joined = rows.join(fills, "row_hash", "left")
+        return joined.withColumn("disposition", F.coalesce(kept, "_fill", "disposition")).select(*columns)
+
+    # New rows are partitioned by hash already, as the fills are. Of the stored rows
+    # only blank ones take part. Rows without a hash stay out of every join.
+    no_hash, blank = F.col("row_hash").isNull(), is_blank("disposition")
+    parts = [
+        stored.filter(no_hash | non_blank("disposition")),
+        fill(stored.filter(~no_hash & blank)),
+        fill(new_by_key(batch, stored, [order_by]).select(*columns)),
+        batch.filter(no_hash).select(*columns),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def upsert_actions(
@@ -62,7 +70,9 @@ def upsert_actions(
             F.min(F.when(non_blank("disposition"), F.col(order_by))).alias("filled_at"),
         )
     )
-    known = stored.select("row_hash", is_blank("disposition").alias("stored_blank"))
+    known = stored_matches(
+        stored, rows, "row_hash", is_blank("disposition").alias("stored_blank")
+    )
     state = per_hash.join(known, "row_hash", "left")
 
     narrow = rows.select("row_hash", order_by)
@@ -106,11 +116,3 @@ def action_counts(actions: DataFrame) -> DataFrame:
     """(action, n) of an import."""
     return actions.groupBy("action").agg(F.count("*").alias("n"))
 
-
-__all__ = [
-    "action_counts",
-    "first_by_hash",
-    "ingest_actions",
-    "upsert_actions",
-    "upsert_disposition",
-]

@@ -62,8 +62,16 @@ def _with_part(lines: DataFrame, spark: SparkSession, folder: str, wanted: bool)
     return lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
 
 
+# What raw sheets show beyond the canonical columns: order day, line and part number.
+EXTRAS = ("_order_day", "_line", "_part")
+
+
 def order_lines(spark: SparkSession, folder: str, with_part: bool = True) -> DataFrame:
     """The canonical orders table. ``with_part=False`` leaves out product and brand."""
+    return _order_rows(spark, folder, with_part).drop(*EXTRAS)
+
+
+def _order_rows(spark: SparkSession, folder: str, with_part: bool) -> DataFrame:
     sold = _table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
     lines = _table(spark, folder, "lineitem").join(sold, F.col("l_orderkey") == F.col("o_orderkey"))
     lines = _with_part(lines, spark, folder, with_part)
@@ -99,11 +107,14 @@ def order_lines(spark: SparkSession, folder: str, with_part: bool = True) -> Dat
         F.when(status == "O", F.lit(0)).otherwise(F.col("l_quantity")).cast("bigint").alias("quantity"),
         price.alias("item_price"),
         (_money("l_tax") * _money("l_extendedprice")).cast(schema.MONEY).alias("item_tax"),
+        day.cast("date").alias("_order_day"),
+        F.col("l_linenumber").alias("_line"),
+        F.col("l_partkey").alias("_part"),
     )
     price_text = F.when(F.col("item_price") != 0, js_number_text("item_price"))
     hashed = rows.withColumn("row_hash", row_hash("identifier", "asin", "purchase_date", price_text))
     derived = with_calendar(hashed, "purchase_date", "purchase")
-    return derived.select(*schema.ORDERS.names)
+    return derived.select(*schema.ORDERS.names, *EXTRAS)
 
 
 def _disposition() -> Column:
@@ -208,16 +219,10 @@ def return_batches(spark: SparkSession, folder: str, with_part: bool = True) ->
 
 def raw_orders(spark: SparkSession, folder: str) -> Sheet:
     """The orders as an export shows them: aliases, padding, money text, day serials."""
-    rows = order_lines(spark, folder).join(
-        _table(spark, folder, "orders").select(
-            F.col("o_orderkey").cast("string").alias("k"), "o_orderdate"
-        ),
-        F.split("identifier", "-")[0] == F.col("k"),
-    )
-    line = F.split("identifier", "-")[1].cast("int")
-    part = F.substr("asin", F.lit(6)).cast("bigint")
-    serial = F.datediff(F.col("o_orderdate").cast("date"), F.lit(dt.date(1899, 12, 30)))
-    stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'10:00:00+00:00")
+    rows = _order_rows(spark, folder, with_part=True)
+    line, part, day = F.col("_line"), F.col("_part"), F.col("_order_day")
+    serial = F.datediff(day, F.lit(dt.date(1899, 12, 30)))
+    stamp = F.concat(day.cast("string"), F.lit("T10:00:00+00:00"))
     price = F.coalesce(F.col("item_price").cast("string"), F.lit(""))
     dollars = F.concat(F.lit("$"), F.format_number("item_price", 2))
     cells = {

@@ -25,14 +25,32 @@ def test_duplicates_are_cut_before_the_shuffle(spark, folder):
     assert final < plan.index("Exchange hashpartitioning(amazon_order_id", final) < partial
 
 
-def test_insert_ignore_shuffles_the_batch_once(spark, tmp_path, folder):
+@pytest.fixture
+def loaded(spark, tmp_path, folder):
     tables = plans.open_tables(spark, str(tmp_path))
-    batch = star.order_lines(spark, folder)
-    tables.orders.replace(batch)
-    stored = tables.orders.read()
-    plan = physical(op.insert_ignore(stored, stored, ["id"]))
-    assert plan.count("Exchange hashpartitioning(row_hash") == 2  # the batch, the stored hashes
-    assert "ReadSchema: struct<row_hash:string>" in plan
+    tables.orders.replace(star.order_lines(spark, folder))
+    return tables.orders
+
+
+def test_a_small_batch_leaves_the_stored_table_in_place(spark, loaded):
+    stored = loaded.read()
+    plan = physical(op.insert_ignore(stored.limit(10), stored, ["id"]))
+    semi = plan[plan.index("LeftSemi") :]
+    scan = semi[: semi.index("ReadSchema: struct<row_hash:string>")]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in scan.split("BroadcastExchange")[0]
+
+
+def test_a_large_batch_shuffles_whole_rows_once(spark, loaded):
+    stored = loaded.read()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(op.insert_ignore(stored, stored, ["id"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # the ranked rows, the stored hashes and the batch's distinct hashes
+    assert plan.count("Exchange hashpartitioning(row_hash") == 3
+    assert plan.count("ReadSchema: struct<row_hash:string>") == 2
 
 
 def test_rollups_hash_instead_of_sorting(spark, folder):
@@ -40,13 +58,17 @@ def test_rollups_hash_instead_of_sorting(spark, folder):
     assert "SortAggregate" not in plan and "HashAggregate" in plan
 
 
-def test_report_scans_are_pruned_and_pushed(spark, tmp_path, folder):
-    tables = plans.open_tables(spark, str(tmp_path))
-    tables.orders.replace(star.order_lines(spark, folder))
-    stored = tables.orders.read()
+def test_report_scans_are_pruned_and_pushed(spark, loaded):
+    stored = loaded.read()
     plan = physical(plans.daily_orders(stored))
     assert "PushedFilters: [IsNotNull(purchase_date), Not(EqualTo(purchase_date,))]" in plan
     schema = plan[plan.index("ReadSchema") :]
     assert "row_hash" not in schema and "product_name" not in schema
     pushed = physical(op.dedup_orders(stored))
     assert "Or(Or(IsNull(amazon_order_id),EqualTo(amazon_order_id,))" in pushed
+
+
+def test_period_months_prune_partitions(spark, loaded, folder):
+    returns = star.return_records(spark, folder)
+    plan = physical(plans.period_returns(returns, loaded.read(), star.AS_OF))
+    assert "dynamicpruning" in plan
