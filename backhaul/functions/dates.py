@@ -52,7 +52,11 @@ def parse_date(cell: Column | str) -> Column:
     cell = as_column(cell)
     serial = cell.try_cast("double")
     of_number = F.when(serial != 0, F.coalesce(parse_date_serial(serial), cell))
-    return F.when(cell.rlike(PLAIN_NUMBER), of_number).otherwise(parse_date_text(cell))
+    return (
+        F.when(cell.rlike(ISO_DATE), F.left(cell, F.lit(10)))
+        .when(cell.rlike(PLAIN_NUMBER), of_number)
+        .otherwise(parse_date_text(cell))
+    )
 
 
 def week_of(day: Column | str) -> Column:

@@ -11,15 +11,21 @@ from .text import as_column
 # What a missing number looks like in labels and exports.
 MISSING = "—"
 
+PLAIN_NUMBER = r"^-?[0-9]+\.?[0-9]*$"
+
 
 def parse_num(cell: Column | str) -> Column:
     """Lenient number: drop all but digits, dot and minus, read the longest prefix.
 
     ``$1,234.50`` -> 1234.5, ``(7)`` -> 7, ``1-2`` -> 1, ``abc`` -> NULL.
     """
-    kept = F.regexp_replace(as_column(cell), r"[^0-9.\-]", "")
-    number = F.regexp_extract(kept, r"^(-?(?:[0-9]+\.?[0-9]*|\.[0-9]+))", 1)
-    return number.try_cast("double")  # NULL where nothing was extracted
+    cell = as_column(cell)
+    kept = F.regexp_replace(cell, r"[^0-9.\-]", "")
+    prefix = F.regexp_extract(kept, r"^(-?(?:[0-9]+\.?[0-9]*|\.[0-9]+))", 1)
+    # Plain numbers and empty cells, which most are, need neither pattern above.
+    return F.when(cell.rlike(PLAIN_NUMBER), cell.try_cast("double")).when(
+        cell != "", prefix.try_cast("double")
+    )
 
 
 def js_number_text(number: Column | str) -> Column:

@@ -22,7 +22,8 @@ def as_column(value: Column | str) -> Column:
 
 
 def _printable(char: Column) -> Column:
-    return F.ascii(char).between(33, 126)
+    """Whether the first character's code lies in 33..126, reading the code once."""
+    return F.abs(F.ascii(char) * 2 - (33 + 126)) <= 126 - 33
 
 
 def trimmed(value: Column | str) -> Column:
