@@ -92,14 +92,15 @@ def _skip_ahead(rows: DataFrame, offset: int, deep: int) -> tuple[DataFrame, int
     hold more than ``deep`` rows.
     """
     date, row_id = F.col("return_date"), F.col("id")
-    group, rest = F.lit(True), F.lit(True)
-    steps = [(F.left(date, F.lit(n)), True) for n in (4, 7, 10)] + [(date, True)]
-    steps += [(F.left(row_id, F.lit(n)), False) for n in range(2, 66, 2)]
-    for prefix, newest_first in steps:
+    group, rest, inside = F.lit(True), F.lit(True), rows
+    steps = [(date, n, True) for n in (4, 7, 10, None)]
+    steps += [(row_id, n, False) for n in range(2, 66, 2)]
+    for column, length, newest_first in steps:
         if offset <= deep:
             break
+        prefix = column if length is None else F.left(column, F.lit(length))
         order = F.desc_nulls_last("g") if newest_first else F.asc_nulls_first("g")
-        counted = rows.filter(group).groupBy(prefix.alias("g")).agg(F.count("*").alias("n"))
+        counted = inside.groupBy(prefix.alias("g")).agg(F.count("*").alias("n"))
         for found in counted.orderBy(order).collect():
             if offset < found["n"]:
                 break
@@ -114,9 +115,17 @@ def _skip_ahead(rows: DataFrame, offset: int, deep: int) -> tuple[DataFrame, int
         same = prefix.eqNullSafe(at)
         rest = rest & (~group | same | behind)
         group = group & same
+        inside = inside.filter(_with_prefix(column, length, found["g"]))
     return rows.filter(rest), offset
 
 
+def _with_prefix(column: Column, length: int | None, prefix: str | None) -> Column:
+    """Rows of a group in a form that scans can take as a pushed filter."""
+    if prefix is None:
+        return column.isNull()
+    return column == prefix if length is None or len(prefix) < length else column.startswith(prefix)
+
+
 def export_returns(returns: DataFrame, **constraints: str) -> DataFrame:
     """Every record a search finds, in the eleven columns of the CSV export."""
     found = search_returns(returns, **constraints)

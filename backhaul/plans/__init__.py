@@ -1,6 +1,7 @@
 from .audit import diagnostic_samples, returns_audit, returns_by_year, returns_diagnostic
 from .exports import export_monthly, export_weekly
-from .load import load_payload, load_sheet, load_sheet_file, open_tables
+from .load import load_payload, load_sheet, load_sheet_file, load_workbook, open_tables
+from .maintain import maintain
 from .periods import (
     period_disposition_names,
     period_dispositions,
@@ -45,6 +46,8 @@ __all__ = [
     "load_payload",
     "load_sheet",
     "load_sheet_file",
+    "load_workbook",
+    "maintain",
     "monthly_orders",
     "monthly_returns",
     "monthly_summary",

@@ -1,7 +1,7 @@
 from .files import file_md5, list_files
 from .log import append_upload, upload_history
 from .payload import read_orders_payload, read_returns_payload
-from .sheets import Sheet, detect_kind, read_sheet, read_workbook, route
+from .sheets import Sheet, detect_kind, read_sheet, read_typed_sheet, read_workbook, route
 from .sinks import write_csv
 from .tables import SnapshotTable
 
@@ -15,6 +15,7 @@ __all__ = [
     "read_orders_payload",
     "read_returns_payload",
     "read_sheet",
+    "read_typed_sheet",
     "read_workbook",
     "route",
     "upload_history",

@@ -134,10 +134,22 @@ def positional_schema(headers: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
 
 
+def header_names(headers: Sequence[str]) -> dict[str, str]:
+    """Exact (trimmed) header -> positional column; of two equal headers the later wins."""
+    return {h.strip(BLANKS): f"_c{i}" for i, h in enumerate(headers)}
+
+
 def sheet_from_positions(rows: DataFrame, headers: Sequence[str]) -> Sheet:
     """Attach header text and arrival order to a freshly scanned sheet."""
-    named = {h.strip(BLANKS): f"_c{i}" for i, h in enumerate(headers)}
-    return Sheet(rows.select("*", arrival_order().alias(SEQ)), named)
+    return Sheet(rows.select("*", arrival_order().alias(SEQ)), header_names(headers))
+
+
+def read_typed_sheet(spark: SparkSession, path: str) -> Sheet:
+    """Read a sheet exported as Parquet, with numbers and dates as such.
+
+    Headers must not differ in case only; delimited text has no such limit.
+    """
+    return Sheet.of(spark.read.parquet(path).select("*", arrival_order().alias(SEQ)))
 
 
 def _csv(reader, sep: str):

@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.keep import insert_ignore
 from ..plans.load import Tables, load_sheet
 from ..sources.log import append_upload
-from ..sources.sheets import SEQ, Sheet, positional_schema
+from ..sources.sheets import SEQ, Sheet, header_names, positional_schema
+from ..sources.staging import staged
 from ..sources.tables import SnapshotTable
 
 
@@ -52,7 +53,7 @@ def stream_ingest(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
     ]
-    named = {h.strip(): f"_c{i}" for i, h in enumerate(headers)}
+    named = header_names(headers)
 
     def load(batch: DataFrame, batch_id: int) -> None:
         sheet = Sheet(_in_order(batch), named)
@@ -87,7 +88,8 @@ def stream_rows(
     """Load a stream of canonical rows (with row_hash and an ordering column)."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        table.append(insert_ignore(batch, table.read(), [order_by]))
+        with staged(batch) as arrived:
+            table.append(insert_ignore(arrived, table.read(), [order_by]))
 
     return _start(rows, load, checkpoint)
 

@@ -727,7 +727,7 @@ def returns_browser(spark, folder):
     rows = star.return_records(spark, folder)
     totals = op.page_totals(rows, page=2, **SEARCH).first()
     page = op.returns_page(rows, page=2, **SEARCH)
-    return page.select("*", F.lit(totals["total"]).alias("total"), F.lit(totals["pages"]).alias("pages"))
+    return page.withColumns({c: F.lit(totals[c]).cast("bigint") for c in ("total", "pages")})
 
 
 @register

@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from backhaul import plans, schema
-from backhaul.plans.load import load_workbook
 from backhaul.sources import (
     SnapshotTable,
     read_orders_payload,
     read_returns_payload,
+    read_typed_sheet,
     upload_history,
     write_csv,
 )
@@ -59,7 +59,7 @@ def test_workbook_with_both_sheets(spark, tmp_path, tables):
             tmp_path / "r.csv", ["2024-02-01,o1,a1,SELLABLE,R"], "Return Date,Order ID,ASIN,Detailed-disposition,Reason"
         ),
     }
-    counts = load_workbook(spark, tables, sheets, "both", "book.xlsx")
+    counts = plans.load_workbook(spark, tables, sheets, "both", "book.xlsx")
     assert counts == {"orders": {"added": 1, "skipped": 0}, "returns": {"added": 1, "skipped": 0}}
     month = plans.monthly_summary(tables.orders.read(), tables.returns.read()).first()
     assert (month["month"], month["order_units"], month["return_units"]) == ("2024-01", 2, 1)
@@ -149,3 +149,35 @@ def test_months_are_partitions(spark, tmp_path, tables):
     month = tables.orders.read().filter(F.col("purchase_ym") == "2024-02")
     assert month.count() == 10
     assert "PartitionFilters: [isnotnull(purchase_ym" in month._jdf.queryExecution().executedPlan().toString()
+
+
+def test_maintenance_rewrites_the_table(spark, tmp_path, tables):
+    rows = [order(1), order(1, price="11"), order(2), ",,,,,s,a9,1,5", "x" + order(2)]
+    plans.load_sheet_file(spark, tables, write(tmp_path / "a.csv", rows))
+    assert plans.maintain(tables, "cleanup_bad_orders") == {"deleted": 1, "remaining": 4}
+    assert plans.maintain(tables, "dedup_orders") == {"deleted": 2, "remaining": 2}
+    assert plans.maintain(tables, "dedup_orders") == {"deleted": 0, "remaining": 2}
+    kept = {r["amazon_order_id"]: (r["identifier"], float(r["item_price"])) for r in tables.orders.read().collect()}
+    assert kept == {"o1": ("id1", 10.5), "o2": ("id2", 10.5)}  # the first to arrive
+
+
+def test_typed_sheets_load_like_text(spark, tmp_path):
+    typed = spark.sql(
+        "SELECT 'i' AS Identifier, 'a' AS asin, DATE'2024-01-05' AS `Purchase Date2`, "
+        "CAST(19.0 AS DOUBLE) AS `item-price`, 2 AS quantity, 's' AS sku"
+    )
+    typed.write.parquet(str(tmp_path / "typed"))
+    tables = plans.open_tables(spark, str(tmp_path / "tables"))
+    assert plans.load_sheet(tables, read_typed_sheet(spark, str(tmp_path / "typed")))["added"] == 1
+    text = write(tmp_path / "t.csv", ["i,a,2024-01-05,19,2,s"], "Identifier,asin,Purchase Date2,item-price,quantity,sku")
+    assert plans.load_sheet_file(spark, tables, text) == {"orders": {"added": 0, "skipped": 1}}
+    row = tables.orders.read().first()
+    assert (row["purchase_date"], row["quantity"], float(row["item_price"])) == ("2024-01-05", 2, 19.0)
+
+
+def test_staged_copies_are_removed(spark, tmp_path, tables):
+    from backhaul.session import scratch_root
+    from backhaul.sources import list_files
+
+    plans.load_sheet_file(spark, tables, write(tmp_path / "a.csv", [order(1)]))
+    assert not [n for n in list_files(spark, scratch_root(spark)) if n.startswith("staged-")]
