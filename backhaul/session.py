@@ -12,6 +12,8 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A broadcast may have to wait for the aggregation of a large table that feeds it.
+    "spark.sql.broadcastTimeout": "3600",
     # The JVM never compiles a method above 8000 bytes of bytecode. A wide projection
     # (a normalized row) fused into one such method would run interpreted; beyond the
     # limit Spark generates it as several smaller ones instead.
