@@ -77,7 +77,7 @@ def period_order_units(orders: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def _returned(
-    returns: DataFrame, orders: DataFrame, as_of: dt.date, match_blank_ids: bool = True
+    orders: DataFrame, returns: DataFrame, as_of: dt.date, match_blank_ids: bool = True
 ) -> DataFrame:
     """Units and matches per disposition and period, one row per disposition.
 
@@ -103,13 +103,13 @@ def _is_unsellable() -> Column:
 
 
 def period_returns(
-    returns: DataFrame, orders: DataFrame, as_of: dt.date, match_blank_ids: bool = True
+    orders: DataFrame, returns: DataFrame, as_of: dt.date, match_blank_ids: bool = True
 ) -> DataFrame:
     """(period, months, returns_total, sellable, unsellable) in units.
 
     Blank dispositions count in the total only.
     """
-    return _totals(_returned(returns, orders, as_of, match_blank_ids))
+    return _totals(_returned(orders, returns, as_of, match_blank_ids))
 
 
 def _totals(returned: DataFrame) -> DataFrame:
@@ -126,10 +126,10 @@ def _totals(returned: DataFrame) -> DataFrame:
 
 
 def period_dispositions(
-    returns: DataFrame, orders: DataFrame, as_of: dt.date, match_blank_ids: bool = True
+    orders: DataFrame, returns: DataFrame, as_of: dt.date, match_blank_ids: bool = True
 ) -> DataFrame:
     """(period, months, disposition, units) of unsellable returns, most units first."""
-    returned = _returned(returns, orders, as_of, match_blank_ids)
+    returned = _returned(orders, returns, as_of, match_blank_ids)
     return _dispositions(returned).orderBy("months", F.desc("units"), "disposition")
 
 
@@ -145,14 +145,14 @@ def _dispositions(returned: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def period_disposition_names(
-    returns: DataFrame, orders: DataFrame, as_of: dt.date, match_blank_ids: bool = True
+    orders: DataFrame, returns: DataFrame, as_of: dt.date, match_blank_ids: bool = True
 ) -> DataFrame:
     """Row order of the comparison table: (disposition, list_no, units).
 
     Names in order of first appearance when reading the 12-, 3- and 1-month lists
     one after the other, each sorted by units.
     """
-    lists = period_dispositions(returns, orders, as_of, match_blank_ids)
+    lists = period_dispositions(orders, returns, as_of, match_blank_ids)
     order = {n: i for i, n in enumerate(sorted(schema.PERIODS.values(), reverse=True), 1)}
     list_no = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("months"))
     first = lists.groupBy("disposition").agg(
@@ -164,10 +164,10 @@ def period_disposition_names(
 
 
 def period_stats(
-    returns: DataFrame, orders: DataFrame, as_of: dt.date, match_blank_ids: bool = True
+    orders: DataFrame, returns: DataFrame, as_of: dt.date, match_blank_ids: bool = True
 ) -> DataFrame:
     """(period, months, orders_units, returns_total, sellable, unsellable): three rows."""
-    back = period_returns(returns, orders, as_of, match_blank_ids)
+    back = period_returns(orders, returns, as_of, match_blank_ids)
     return _with_orders(back, orders, as_of).orderBy("months")
 
 
@@ -185,14 +185,14 @@ def _pct(num: str, den: str) -> Column:
 
 
 def period_table(
-    returns: DataFrame, orders: DataFrame, as_of: dt.date, match_blank_ids: bool = True
+    orders: DataFrame, returns: DataFrame, as_of: dt.date, match_blank_ids: bool = True
 ) -> DataFrame:
     """Metrics by period, in the order of the comparison table.
 
     (position, metric, disposition, label, last_month, last_3_months,
     last_12_months); percentages are NULL where there is nothing to relate.
     """
-    returned = _returned(returns, orders, as_of, match_blank_ids)
+    returned = _returned(orders, returns, as_of, match_blank_ids)
     stats = _with_orders(_totals(returned), orders, as_of)
     of_all = stats.select("period", F.inline(_metrics([
         (1, "orders_units", F.col("orders_units")),

@@ -121,7 +121,7 @@ def monthly_orders(orders: DataFrame, daily: DataFrame | None = None) -> DataFra
     )
 
 
-def monthly_returns(returns: DataFrame, orders: DataFrame, match_blank_ids: bool = True) -> DataFrame:
+def monthly_returns(orders: DataFrame, returns: DataFrame, match_blank_ids: bool = True) -> DataFrame:
     """(month, return_units): returned units by purchase month of the order."""
     dated = orders.filter(non_blank("purchase_date")).select(
         "amazon_order_id", F.col("purchase_ym").alias("month")
@@ -139,7 +139,7 @@ def monthly_summary(
 ) -> DataFrame:
     """Months with units, revenue, cancellations, returned units, rate and flag."""
     months = monthly_orders(orders, daily)
-    back = monthly_returns(returns, orders, match_blank_ids).withColumnRenamed("month", "r_month")
+    back = monthly_returns(orders, returns, match_blank_ids).withColumnRenamed("month", "r_month")
     # NULL matches NULL: returns of undated orders belong to the undated month.
     joined = months.join(back, F.col("month").eqNullSafe(F.col("r_month")), "left")
     units = F.coalesce("return_units", F.lit(0))

@@ -12,4 +12,5 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False, single_file: bo
     stay distributed: one part per task, in the order of ``df``.
     """
     out = df.coalesce(1) if single_file else df
-    out.write.option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(path)
+    writer = out.write.option("header", True).option("quoteAll", quote_all)
+    writer.option("escape", '"').option("emptyValue", "").csv(path)

@@ -442,7 +442,7 @@ def monthly_orders(spark, folder):
 
 @register
 def monthly_returns(spark, folder):
-    return plans.monthly_returns(returns(spark, folder), orders(spark, folder))
+    return plans.monthly_returns(orders(spark, folder), returns(spark, folder))
 
 
 @register
@@ -599,7 +599,7 @@ def diagnostic_samples(spark, folder):
 
 @register
 def unsellable_rank(spark, folder):
-    ranked = plans.period_dispositions(returns(spark, folder), orders(spark, folder), AS_OF)
+    ranked = plans.period_dispositions(orders(spark, folder), returns(spark, folder), AS_OF)
     return ranked.filter(F.col("months") == 12).select("disposition", "units")
 
 
@@ -623,7 +623,7 @@ def distinct_years(spark, folder):
 
 @register
 def period_disposition_names(spark, folder):
-    return plans.period_disposition_names(returns(spark, folder), orders(spark, folder), AS_OF)
+    return plans.period_disposition_names(orders(spark, folder), returns(spark, folder), AS_OF)
 
 
 # --- modification --------------------------------------------------------------------------------------
@@ -683,22 +683,22 @@ def period_order_units(spark, folder):
 
 @register
 def period_returns(spark, folder):
-    return plans.period_returns(returns(spark, folder), orders(spark, folder), AS_OF)
+    return plans.period_returns(orders(spark, folder), returns(spark, folder), AS_OF)
 
 
 @register
 def period_dispositions(spark, folder):
-    return plans.period_dispositions(returns(spark, folder), orders(spark, folder), AS_OF)
+    return plans.period_dispositions(orders(spark, folder), returns(spark, folder), AS_OF)
 
 
 @register
 def period_stats(spark, folder):
-    return plans.period_stats(returns(spark, folder), orders(spark, folder), AS_OF)
+    return plans.period_stats(orders(spark, folder), returns(spark, folder), AS_OF)
 
 
 @register
 def period_table(spark, folder):
-    return plans.period_table(returns(spark, folder), orders(spark, folder), AS_OF)
+    return plans.period_table(orders(spark, folder), returns(spark, folder), AS_OF)
 
 
 @register

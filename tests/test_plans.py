@@ -70,5 +70,5 @@ def test_report_scans_are_pruned_and_pushed(spark, loaded):
 
 def test_period_months_prune_partitions(spark, loaded, folder):
     returns = star.return_records(spark, folder)
-    plan = physical(plans.period_returns(returns, loaded.read(), star.AS_OF))
+    plan = physical(plans.period_returns(loaded.read(), returns, star.AS_OF))
     assert "dynamicpruning" in plan

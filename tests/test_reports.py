@@ -36,13 +36,13 @@ def test_periods_reach_over_gaps(spark):
 
 
 def test_no_months_give_zeros(orders, returns):
-    rows = plans.period_stats(returns, orders, dt.date(1990, 1, 1)).collect()
+    rows = plans.period_stats(orders, returns, dt.date(1990, 1, 1)).collect()
     assert [tuple(r)[2:] for r in rows] == [(0, 0, 0, 0)] * 3
-    assert plans.period_dispositions(returns, orders, dt.date(1990, 1, 1)).count() == 0
+    assert plans.period_dispositions(orders, returns, dt.date(1990, 1, 1)).count() == 0
 
 
 def test_period_totals_grow_with_the_period(orders, returns):
-    rows = plans.period_stats(returns, orders, star.AS_OF).collect()
+    rows = plans.period_stats(orders, returns, star.AS_OF).collect()
     assert [r["months"] for r in rows] == [1, 3, 12]
     for a, b in zip(rows, rows[1:]):
         assert a["orders_units"] <= b["orders_units"] and a["returns_total"] <= b["returns_total"]
@@ -50,13 +50,13 @@ def test_period_totals_grow_with_the_period(orders, returns):
 
 
 def test_comparison_table_order(orders, returns):
-    rows = plans.period_table(returns, orders, star.AS_OF).collect()
+    rows = plans.period_table(orders, returns, star.AS_OF).collect()
     positions = [r["position"] for r in rows]
     shares = [r for r in rows if r["disposition"]]
     assert positions[:6] == [1, 2, 3, 4, 5, 6] and positions[-3:] == [10, 11, 12]
     units = [r["last_12_months"] for r in shares if r["metric"] == "units"]
     assert units == sorted(units, reverse=True)
-    names = [r["disposition"] for r in plans.period_disposition_names(returns, orders, star.AS_OF).collect()]
+    names = [r["disposition"] for r in plans.period_disposition_names(orders, returns, star.AS_OF).collect()]
     assert [r["disposition"] for r in shares if r["metric"] == "units"] == names
 
 
