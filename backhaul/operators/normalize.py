@@ -56,14 +56,14 @@ def normalize_orders(sheet: Sheet) -> DataFrame:
     """Order lines of a raw sheet, with whatever id / arrival order it carries.
 
     The row hash covers identifier, asin, raw date and raw price as the sheet shows
-    them: untrimmed and unparsed, a zero price counting as empty.
+    them: untrimmed and unparsed, a zero date or price counting as empty.
     """
     heads = schema.ORDER_HEADERS
     picked = sheet.rows.select(
         *sheet.carried,
         *[sheet.raw(heads[c]).alias(c) for c in ORDER_TEXTS],
         sheet.raw(heads["purchase_date"], zero_is_missing=True).alias("purchase_date"),
-        sheet.raw(schema.ORDER_HASH_DATE_HEADERS).alias("hash_date"),
+        sheet.raw(schema.ORDER_HASH_DATE_HEADERS, zero_is_missing=True).alias("hash_date"),
         *[sheet.raw(heads[c]).alias(c) for c in ("quantity", "item_price", "item_tax")],
         sheet.raw(heads["item_price"], zero_is_missing=True).alias("hash_price"),
     )

@@ -2,7 +2,9 @@
 
 The stream keeps no state of its own. A row is new if its hash is not in the table,
 for all time, so there is nothing a watermark could expire: each micro-batch is
-compared with the table, and a batch replayed after a failure adds nothing twice.
+compared with the table, and a batch replayed after a failure adds nothing twice. Its
+log entry is written after its rows: a failure right between the two makes the replay
+log those rows as skipped.
 """
 
 from __future__ import annotations

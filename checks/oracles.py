@@ -194,7 +194,7 @@ sheet AS (
 picked AS (
   SELECT *, coalesce(nullif(c_identifier, ''), c_duplicate) AS raw_identifier,
     CASE WHEN c_date2 NOT IN ('', '0') THEN c_date2 ELSE c_date END AS raw_date,
-    CASE WHEN c_date <> '' THEN c_date ELSE c_date2 END AS hash_date,
+    CASE WHEN c_date <> '' THEN c_date WHEN c_date2 = '0' THEN '' ELSE c_date2 END AS hash_date,
     CASE WHEN TRY_CAST(c_price AS DOUBLE) = 0 THEN '' ELSE c_price END AS hash_price
   FROM sheet
 ),
