@@ -18,7 +18,13 @@ from .search import (
     returns_page,
     search_returns,
 )
-from .upsert import action_counts, ingest_actions, upsert_actions, upsert_disposition
+from .upsert import (
+    action_counts,
+    ingest_actions,
+    upsert_actions,
+    upsert_counts,
+    upsert_disposition,
+)
 
 __all__ = [
     "action_counts",
@@ -44,5 +50,6 @@ __all__ = [
     "returns_page",
     "search_returns",
     "upsert_actions",
+    "upsert_counts",
     "upsert_disposition",
 ]

@@ -60,6 +60,58 @@ def upsert_actions(
     its first row and its first non-blank row stand, which aggregates before the
     shuffle; no group is ever walked through in order.
     """
+    state = _hash_state(stored, batch, order_by)
+    narrow = batch.select("row_hash", order_by)
+    without_hash = narrow.filter(F.col("row_hash").isNull()).select(
+        "row_hash", order_by, F.lit(False).alias("still_blank"), F.lit(ADDED).alias("action")
+    )
+    decided = _join_state(narrow, state, hot_rows).select(
+        "row_hash", order_by, *_decide(F.col(order_by))
+    )
+    return decided.unionByName(without_hash)
+
+
+def upsert_counts(
+    stored: DataFrame, batch: DataFrame, order_by: str = SEQ, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Counts of a returns import: one row (added, updated, skipped).
+
+    What ``upsert_actions`` counted would give, without deciding row by row. A hash
+    is settled by its number of rows if it is filled already, filled by its first row
+    or never filled. Rows are looked up only for hashes where blanks come first and
+    are filled later within the batch.
+    """
+    is_new = F.col("stored_blank").isNull()
+    # Rows up to the first filled one: those find the disposition blank.
+    leading = (
+        F.when(~F.coalesce("stored_blank", F.lit(True)), F.lit(0))
+        .when(F.col("filled_at").isNull(), F.col("n"))
+        .when(F.col("filled_at") == F.col("first_at"), F.lit(1))
+    )
+    state = _hash_state(stored, batch, order_by).withColumns(
+        {"is_new": is_new.cast("int"), "leading": leading}
+    )
+    looked_up = _join_state(
+        batch.select("row_hash", order_by), state.filter(F.col("leading").isNull()), hot_rows
+    ).filter(F.col(order_by) <= F.col("filled_at"))
+    nothing = F.lit(0)
+    parts = [
+        # An added row is one of the leading ones, but not updated.
+        state.select("n", "is_new", (F.coalesce("leading", nothing) - F.col("is_new")).alias("updated")),
+        looked_up.select(nothing.alias("n"), nothing.alias("is_new"), F.lit(1).alias("updated")),
+        batch.filter(F.col("row_hash").isNull()).select(
+            F.lit(1).alias("n"), F.lit(1).alias("is_new"), nothing.alias("updated")
+        ),
+    ]
+    sums = reduce(DataFrame.unionByName, parts).agg(
+        *[F.coalesce(F.sum(c), nothing).cast("bigint").alias(c) for c in ("n", "is_new", "updated")]
+    )
+    skipped = F.col("n") - F.col("is_new") - F.col("updated")
+    return sums.select(F.col("is_new").alias(ADDED), UPDATED, skipped.alias(SKIPPED))
+
+
+def _hash_state(stored: DataFrame, batch: DataFrame, order_by: str) -> DataFrame:
+    """Per hash of the batch: rows, first row, first filled row, stored state."""
     rows = batch.select("row_hash", order_by, "disposition")
     per_hash = (
         rows.filter(F.col("row_hash").isNotNull())
@@ -73,19 +125,17 @@ def upsert_actions(
     known = stored_matches(
         stored, rows, "row_hash", is_blank("disposition").alias("stored_blank")
     )
-    state = per_hash.join(known, "row_hash", "left")
+    return per_hash.join(known, "row_hash", "left")
 
-    narrow = rows.select("row_hash", order_by)
+
+def _join_state(rows: DataFrame, state: DataFrame, hot_rows: int) -> DataFrame:
+    """Rows with the state of their hash. Hot hashes never meet in one partition: they
+    are taken out by broadcast."""
     hot = F.broadcast(state.filter(F.col("n") >= hot_rows))
     cold = state.filter(F.col("n") < hot_rows)
-    # Hot hashes never meet in one partition: they are taken out by broadcast.
-    of_hot = narrow.join(hot, "row_hash")
-    of_cold = narrow.join(hot.select("row_hash"), "row_hash", "left_anti").join(cold, "row_hash")
-    without_hash = narrow.filter(F.col("row_hash").isNull()).select(
-        "row_hash", order_by, F.lit(False).alias("still_blank"), F.lit(ADDED).alias("action")
-    )
-    decided = of_hot.unionByName(of_cold).select("row_hash", order_by, *_decide(F.col(order_by)))
-    return decided.unionByName(without_hash)
+    of_hot = rows.join(hot, "row_hash")
+    of_cold = rows.join(hot.select("row_hash"), "row_hash", "left_anti").join(cold, "row_hash")
+    return of_hot.unionByName(of_cold)
 
 
 def _decide(at: Column) -> list[Column]:

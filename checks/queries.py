@@ -136,7 +136,9 @@ def _stored_returns(spark, folder) -> tuple[DataFrame, DataFrame]:
 @register
 def import_returns(spark, folder):
     stored, batch = _stored_returns(spark, folder)
-    return op.action_counts(op.upsert_actions(stored, batch, "id"))
+    counts = op.upsert_counts(stored, batch, "id")
+    actions = [F.struct(F.lit(a).alias("action"), F.col(a).alias("n")) for a in counts.columns]
+    return counts.select(F.inline(F.array(*actions))).filter(F.col("n") > 0)
 
 
 @register

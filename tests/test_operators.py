@@ -24,7 +24,7 @@ def brute_import(stored, batch):
     return table, actions
 
 
-@pytest.mark.parametrize("seed, hot_rows", [(1, 1_000_000), (2, 5), (3, 1)])
+@pytest.mark.parametrize("seed, hot_rows", [(1, 1_000_000), (2, 5), (3, 1), (4, 8), (5, 3)])
 def test_upsert_against_brute_force(spark, seed, hot_rows):
     rng = random.Random(seed)
     values = ["", "", None, "X", "Y"]
@@ -39,6 +39,9 @@ def test_upsert_against_brute_force(spark, seed, hot_rows):
     found = op.upsert_actions(stored_df, batch_df, hot_rows=hot_rows).select("seq", "action").collect()
     assert sorted(map(tuple, found)) == actions
 
+    counts = op.upsert_counts(stored_df, batch_df, hot_rows=hot_rows).first().asDict()
+    assert counts == {a: sum(x == a for _, x in actions) for a in ("added", "updated", "skipped")}
+
     after = op.upsert_disposition(stored_df, batch_df).collect()
     assert {r[0]: r[1] or "" for r in after if r[0]} == {k: v or "" for k, v in table.items()}
     assert sum(r[0] is None for r in after) == sum(k is None for _, k, _ in batch)

@@ -77,3 +77,17 @@ def test_upsert_of_a_hot_hash(spark, lines):
     counts = {hot: dict(op.action_counts(op.upsert_actions(stored, batch, hot_rows=hot)).collect()) for hot in (100, 10**6)}
     hot = ROWS // 3
     assert counts[100] == counts[10**6] == {"added": 2 * hot + 1, "updated": hot - 1}
+    assert op.upsert_counts(stored, batch, hot_rows=100).first().asDict() == {
+        "added": 2 * hot + 1,
+        "updated": hot - 1,
+        "skipped": 0,
+    }
+
+
+def test_counting_an_import_shuffles_hashes_not_rows(spark, lines):
+    batch = lines.select("row_hash", F.col("id").alias("seq"), F.lit("X").alias("disposition"))
+    stored = batch.limit(0).select("row_hash", "disposition")
+    counts = op.upsert_counts(stored, batch)
+    distinct = 2 * (ROWS // 3) + PARTS
+    assert shuffled_records(counts) <= 3 * distinct + 100
+    assert counts.first().asDict() == {"added": 2 * (ROWS // 3) + 1, "updated": 0, "skipped": ROWS // 3 - 1}
