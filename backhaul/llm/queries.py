@@ -11,11 +11,12 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language import op8_language
 from .packing import op1_packing
 from .simhash import op7_simhash
+from .site_tree import op2_site_tree
 from .url_filter import OP9_SQL, op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op3_exact_dedup, op4_bpe_automaton, op7_simhash, op8_language, op9_url_filter)
+    found = (op1_packing, op2_site_tree, op3_exact_dedup, op4_bpe_automaton, op7_simhash, op8_language, op9_url_filter)
     return {f.__name__: f for f in found}
 
 
