@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_automaton import op4_bpe_automaton
+from .embedding_dedup import op10_embedding_dedup
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language import op8_language
 from .packing import op1_packing
@@ -16,7 +17,7 @@ from .url_filter import OP9_SQL, op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_site_tree, op3_exact_dedup, op4_bpe_automaton, op7_simhash, op8_language, op9_url_filter)
+    found = (op1_packing, op2_site_tree, op3_exact_dedup, op4_bpe_automaton, op7_simhash, op8_language, op9_url_filter, op10_embedding_dedup)
     return {f.__name__: f for f in found}
 
 
