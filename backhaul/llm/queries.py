@@ -10,6 +10,7 @@ from .bpe_automaton import op4_bpe_automaton
 from .embedding_dedup import op10_embedding_dedup
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language import op8_language
+from .license_scan import OP6_SQL, op6_license_scan
 from .packing import op1_packing
 from .simhash import op7_simhash
 from .site_tree import op2_site_tree
@@ -17,9 +18,9 @@ from .url_filter import OP9_SQL, op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_site_tree, op3_exact_dedup, op4_bpe_automaton, op7_simhash, op8_language, op9_url_filter, op10_embedding_dedup)
+    found = (op1_packing, op2_site_tree, op3_exact_dedup, op4_bpe_automaton, op6_license_scan, op7_simhash, op8_language, op9_url_filter, op10_embedding_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_license_scan": OP6_SQL, "op9_url_filter": OP9_SQL}
