@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import functools
 import json
 from array import array
@@ -25,7 +26,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Ids as the tokenizers library gives them with add_special_tokens=False.
+    """Ids as the file's library gives them, without adding special tokens.
 
     Every different word is encoded once and remembered (up to MAX_WORDS, then the
     memory starts anew). Texts with a special token's string, or with code points that
@@ -33,17 +34,28 @@ class ByteBpe:
     """
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        spec = json.load(open(path))
-        letters = byte_letters()
-        ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items()}
-        merged = [ranks[bytes(letters[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in spec["model"]["merges"]]
-        if merged != sorted(merged):
-            raise ValueError("ids have to follow the order of the merges")
+        if path.endswith(".tiktoken"):  # ranks alone: no special tokens, and no library but this one
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(word): int(i) for word, i in map(bytes.split, lines)}
+            self.special = []
+        else:
+            library = Tokenizer.from_file(path)
+            library.no_truncation()
+            library.no_padding()
+            with open(path) as file:
+                spec = json.load(file)
+            letters = byte_letters()
+            ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items()}
+            halves = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
+            merged = [ranks[bytes(letters[c] for c in a + b)] for a, b in halves]
+            if merged != sorted(merged):
+                raise ValueError("ids have to follow the order of the merges")
+            self.special = [t["content"] for t in spec["added_tokens"]]
         self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        if path.endswith(".tiktoken"):
+            self.whole = self.words.encode_ordinary
+        else:
+            self.whole = lambda text: library.encode(text, add_special_tokens=False).ids
         self._empty()
 
     def _empty(self) -> None:
@@ -71,7 +83,7 @@ class ByteBpe:
         all_ids, sizes = [], []
         for part in batches(texts):
             found = texts[part]
-            odd = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(found) if self._odd(t)}
+            odd = {i: self.whole(t) for i, t in enumerate(found) if self._odd(t)}
             pieces = split(["" if i in odd else t for i, t in enumerate(found)], spaces_join=True)
             slots = self._slots(pieces.words)[pieces.index]
             counts = np.frombuffer(self.counts, np.int64)[slots] if len(slots) else np.zeros(0, np.int64)
@@ -83,7 +95,9 @@ class ByteBpe:
                 ids = np.zeros(0, np.uint32)
             bounds = upto[pieces.bounds]
             if odd:
-                own = [np.array(odd[i], np.uint32) if i in odd else ids[bounds[i] : bounds[i + 1]] for i in range(len(found))]
+                own = [ids[bounds[i] : bounds[i + 1]] for i in range(len(found))]
+                for i, whole in odd.items():
+                    own[i] = np.array(whole, np.uint32)
                 ids, sizes_here = np.concatenate(own), np.array([len(x) for x in own])
             else:
                 sizes_here = np.diff(bounds)

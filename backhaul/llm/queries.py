@@ -14,11 +14,23 @@ from .license_scan import OP6_SQL, op6_license_scan
 from .packing import op1_packing
 from .simhash import op7_simhash
 from .site_tree import op2_site_tree
+from .token_rollup import op5_token_counts
 from .url_filter import OP9_SQL, op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_site_tree, op3_exact_dedup, op4_bpe_automaton, op6_license_scan, op7_simhash, op8_language, op9_url_filter, op10_embedding_dedup)
+    found = (
+        op1_packing,
+        op2_site_tree,
+        op3_exact_dedup,
+        op4_bpe_automaton,
+        op5_token_counts,
+        op6_license_scan,
+        op7_simhash,
+        op8_language,
+        op9_url_filter,
+        op10_embedding_dedup,
+    )
     return {f.__name__: f for f in found}
 
 

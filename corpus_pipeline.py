@@ -1,30 +1,60 @@
-"""From ``documents`` to training sequences, one written table per stage."""
+"""From ``documents`` to training sequences: four stages, each over all that the one before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's documents. All but the last return the columns
+of ``documents``. Null and blank texts have no language and go in the first stage;
+repeated rows (same id, same text) are one document and share every verdict; a document
+with a null id is never dropped as a copy's or near copy's double of another id; empty
+input gives empty output; further columns come along, whatever their names.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from backhaul.llm.exact_dedup import exact_duplicates
+from backhaul.llm.language import UNKNOWN, identify
+from backhaul.llm.packing import pack
+from backhaul.llm.simhash import simhash_groups
 from backhaul.session import scratch_root
 
 
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language can be told; those without any letter go."""
+    return identify(docs, carry=docs.columns).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
-    verdicts = exact_duplicates(docs, carry=docs.columns)
-    return verdicts.where("kept").select("row.*")
+    return exact_duplicates(docs, carry=docs.columns).where("kept").select("row.*")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their fingerprints, the one with the smallest id stays."""
+    gone = simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of equal length and balanced cost."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
+    ("language ID", with_language),
     ("exact dedup", without_copies),
+    ("SimHash near-dedup", without_near_copies),
+    ("packing", packed),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # SQL has neither the classifier nor the tokenizer
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over all that the one before kept, each result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{scratch_root(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
