@@ -10,8 +10,8 @@ element of the tree, with m pages that have it:
 * a branch: the mean of what its elements have, weighted by pages and by ``DECAY`` for
   every level further down.
 
-A branch below ``LEAST`` is not important, if ``FEW_PAGES`` or more pages show it. Some
-presentation says by itself that a branch is no content, whatever varies in it: elements
+A branch is removed if it and all within it are below ``LEAST``, and ``FEW_PAGES`` or
+more pages show it. Some presentation says by itself that a branch is no content, whatever varies in it: elements
 and class names for menus, headers, footers, sidebars, notices, adverts, forms, comments.
 Other presentation says the opposite: ``article`` and ``main``, and plain paragraphs,
 headings, lists and tables in them, whose repeats are copied articles, not furniture.
@@ -223,20 +223,14 @@ def parse(source: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     return elements, blocks
 
 
-def main_text(source: str, unimportant: list[str]) -> str:
-    """Text of a page without the branches whose paths are unimportant on its host."""
+def main_text(source: str, paths: list[str]) -> str:
+    """Text of a page without the elements that are in unimportant branches of its host."""
     elements, blocks = parse(source)
     if any(e.in_main for e, _ in blocks):
         blocks = [(e, t) for e, t in blocks if e.in_main]
-    out = set(unimportant)
+    out = set(paths)
 
-    def removed(element: Element) -> bool:
-        if not out or element.plain:
-            return False
-        parts = element.path.split(" ")
-        return any(" ".join(parts[:k]) in out for k in range(1, len(parts) + 1))
-
-    return "\n".join(t for e, t in blocks if not e.no_content and not removed(e))
+    return "\n".join(t for e, t in blocks if not e.no_content and (e.plain or e.path not in out))
 
 
 def _hash(text: str) -> int:
@@ -285,21 +279,33 @@ def site_trees(pages: DataFrame) -> DataFrame:
     own = own.where("m IS NOT NULL").select(
         "host", "path", "m", F.when(F.col("text").isNull(), style).otherwise(F.greatest(style, text)).alias("own")
     )
+    weight = F.col("m") * F.pow(F.lit(DECAY), F.col("below"))
+    return _for_ancestors(own).groupBy("host", "path").agg(
+        F.max("m").alias("pages"), (F.sum(weight * F.col("own")) / F.sum(weight)).alias("importance")
+    )
+
+
+def _for_ancestors(elements: DataFrame) -> DataFrame:
+    """Every row for its own path and each path above it, ``below`` levels up."""
     parts = F.split("path", " ")
-    up = own.select("host", "m", "own", parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("level"))
-    weight = F.col("m") * F.pow(F.lit(DECAY), F.size("parts") - F.col("level"))
-    up = up.select("host", F.concat_ws(" ", F.slice("parts", F.lit(1), F.col("level"))).alias("path"), "m", "own", weight.alias("w"))
-    return up.groupBy("host", "path").agg(
-        F.max("m").alias("pages"), (F.sum(F.col("w") * F.col("own")) / F.sum("w")).alias("importance")
+    up = elements.withColumns({"parts": parts, "level": F.explode(F.sequence(F.lit(1), F.size(parts)))})
+    up = up.withColumn("path", F.concat_ws(" ", F.slice("parts", F.lit(1), F.col("level"))))
+    return up.withColumn("below", F.size("parts") - F.col("level")).drop("parts", "level")
+
+
+def unimportant(trees: DataFrame, least: float = LEAST, few_pages: int = FEW_PAGES) -> DataFrame:
+    """(host, unimportant): the paths of branches that are unimportant throughout."""
+    most = _for_ancestors(trees).groupBy("host", "path").agg(
+        F.max("importance").alias("most"), F.max("pages").alias("pages")
     )
+    low = most.where((F.col("most") < least) & (F.col("pages") >= few_pages))
+    return low.groupBy("host").agg(F.collect_list("path").alias("unimportant"))
 
 
 def extract(pages: DataFrame, least: float = LEAST, few_pages: int = FEW_PAGES) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
     hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(pages["url"]).alias("host"))
-    trees = site_trees(hosted.where("host <> ''"))
-    low = trees.where((F.col("importance") < least) & (F.col("pages") >= few_pages))
-    low = written(low.groupBy("host").agg(F.collect_list("path").alias("unimportant")), "unimportant")
+    low = written(unimportant(site_trees(hosted.where("host <> ''")), least, few_pages), "unimportant")
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
