@@ -23,6 +23,7 @@ from .numbers import (
     percent_text,
     return_quantity,
     safe_ratio_pct,
+    whole_units,
 )
 from .text import (
     first_nonblank,
@@ -61,6 +62,7 @@ __all__ = [
     "return_quantity",
     "row_hash",
     "safe_ratio_pct",
+    "whole_units",
     "trimmed",
     "week_number",
     "week_of",

@@ -45,6 +45,14 @@ def return_quantity(number: Column | str) -> Column:
     return F.when(F.coalesce(value, F.lit(0)) == 0, F.lit(1)).otherwise(value)
 
 
+def whole_units(number: Column | str) -> Column:
+    """Tables hold whole units: a fraction is rounded, halves away from zero.
+
+    To be applied after a default, so that 0.5 is a quantity and no missing one.
+    """
+    return F.round(as_column(number), 0).try_cast("bigint")
+
+
 def safe_ratio_pct(
     num: Column | str, den: Column | str, places: int = 1, missing: float | None = None
 ) -> Column:

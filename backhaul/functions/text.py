@@ -22,8 +22,8 @@ def as_column(value: Column | str) -> Column:
 
 
 def _printable(char: Column) -> Column:
-    """Whether the first character's code lies in 33..126, reading the code once."""
-    return F.abs(F.ascii(char) * 2 - (33 + 126)) <= 126 - 33
+    """Whether the first character is a printable one of ASCII, and no blank."""
+    return F.ascii(char).between(33, 126)
 
 
 def trimmed(value: Column | str) -> Column:

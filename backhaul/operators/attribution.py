@@ -5,6 +5,9 @@ order line that shares its id, and a blank id matches every blank id. Joined row
 row, ids with m returns and n lines give m * n rows. Both sides are therefore summed
 per id first, which combines before the shuffle: sum(quantity) over the join equals
 the sum of (units per id) * (lines per id).
+
+Units times lines of one id, blank ids above all, can pass the range of BIGINT. Units,
+products and their sums are therefore DECIMAL(38,0), which is exact.
 """
 
 from __future__ import annotations
@@ -17,6 +20,13 @@ from pyspark.sql import functions as F
 from ..functions import non_blank
 
 ORDER_ID = "_order_id"
+UNITS = "decimal(20,0)"  # of one row or id: all that BIGINT holds
+EXACT = "decimal(38,0)"
+
+
+def total_units(units: Column, lines: Column) -> Column:
+    """Sum of units per id times lines per id."""
+    return F.sum((units * lines.cast(UNITS)).cast(EXACT))
 
 
 def units_per_order(
@@ -28,7 +38,8 @@ def units_per_order(
     """Sums of the measures per order id (and ``keys``)."""
     named = returns.withColumnRenamed("order_id", ORDER_ID)
     named = named.filter(F.col(ORDER_ID).isNotNull() if match_blank_ids else non_blank(ORDER_ID))
-    return named.groupBy(ORDER_ID, *keys).agg(*[F.sum(m).alias(n) for n, m in measures.items()])
+    sums = [F.sum(m.cast(UNITS)).alias(n) for n, m in measures.items()]
+    return named.groupBy(ORDER_ID, *keys).agg(*sums)
 
 
 def lines_per_order(
@@ -47,15 +58,11 @@ def attribute_returns(
     measures: Mapping[str, Column],
     match_blank_ids: bool = True,
 ) -> DataFrame:
-    """Sums of return measures by attributes of the order, over the many-to-many join.
-
-    Sums are BIGINT; like the join they replace, they raise an error rather than
-    wrap around should a product overflow.
-    """
+    """Sums of return measures by attributes of the order, over the many-to-many join."""
     units = units_per_order(returns, measures, match_blank_ids=match_blank_ids)
     lines = lines_per_order(orders, {"_lines": F.lit(1)}, order_keys)
     return (
         units.join(lines, ORDER_ID)
         .groupBy(*order_keys)
-        .agg(*[F.sum(F.col(n) * F.col("_lines")).alias(n) for n in measures])
+        .agg(*[total_units(F.col(n), F.col("_lines")).alias(n) for n in measures])
     )

@@ -17,6 +17,7 @@ from ..functions import (
     row_hash,
     trimmed,
     week_of,
+    whole_units,
     year_month,
 )
 from ..sources.sheets import Sheet
@@ -71,7 +72,7 @@ def normalize_orders(sheet: Sheet) -> DataFrame:
         *sheet.carried,
         *[trimmed(c).alias(c) for c in ORDER_TEXTS],
         parse_date("purchase_date").alias("purchase_date"),
-        order_quantity(parse_num("quantity").try_cast("bigint")).alias("quantity"),
+        whole_units(order_quantity(parse_num("quantity"))).alias("quantity"),
         parse_num("item_price").try_cast(schema.MONEY).alias("item_price"),
         parse_num("item_tax").try_cast(schema.MONEY).alias("item_tax"),
         row_hash("identifier", "asin", "hash_date", "hash_price").alias("row_hash"),
@@ -94,12 +95,12 @@ def normalize_returns(sheet: Sheet) -> DataFrame:
         *sheet.carried,
         *[trimmed(c).alias(c) for c in texts],
         *[parse_date(c).alias(c) for c in dates],
-        parse_num("quantity").try_cast("bigint").alias("quantity"),
+        parse_num("quantity").alias("quantity"),
     )
     date = F.col("return_date")
     dated = parsed.withColumns(
         {
-            "quantity": return_quantity("quantity"),
+            "quantity": whole_units(return_quantity("quantity")),
             "return_month": derive_return_month("return_month", date),
             "return_year": derive_return_year("return_year", date),
             "row_hash": row_hash("order_id", "asin", date, "reason"),

@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import non_blank, not_placeholder, page_count
+from ..sources.staging import written
 
 SEARCHED = ("product_name", "sku", "asin", "order_id")
-
-# A page is taken by keeping the first offset + 50 rows of every task in memory.
-# Beyond this many, the groups in front of the page are counted and skipped first.
-DEEP = 50_000
+SHORT = 1_000_000  # pairs that a page is ranked from, at most
 
 
 def contains_text(column: str, text: str) -> Column:
@@ -68,62 +66,43 @@ def page_totals(returns: DataFrame, page: int = 1, **constraints: str) -> DataFr
 
 
 def returns_page(
-    returns: DataFrame,
-    page: int = 1,
-    page_size: int = schema.PAGE_SIZE,
-    deep: int = DEEP,
-    **constraints: str,
+    returns: DataFrame, page: int = 1, page_size: int = schema.PAGE_SIZE, **constraints: str
 ) -> DataFrame:
-    """One page of the records found, newest return date first, ties by id."""
+    """One page of the records found, newest return date first, ties by id.
+
+    However deep the page, the way there is the same. The (date, id) pairs found are
+    dealt into ranges and written, and the ranges that hold the page (told by a number
+    of rows per task) are dealt again until they are short. Only those pairs are ranked,
+    and the page's own, ``page_size`` at most, pick the records. What lies before the
+    page is counted and nothing else, and a date that holds most records is cut into
+    ranges by id.
+    """
     rows = search_returns(returns, **constraints)
     offset = (max(page, 1) - 1) * page_size
-    if offset + page_size > deep:
-        rows, offset = _skip_ahead(rows, offset, deep)
-    return rows.orderBy(F.desc_nulls_last("return_date"), "id").offset(offset).limit(page_size)
-
+    order = [F.desc_nulls_last("return_date"), F.asc_nulls_first("id")]
+    keys = rows.select("return_date", "id")
+    while True:
+        dealt = written(keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+        counts = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}
+        begin, wanted = 0, {}
+        for number in sorted(counts):
+            if begin < offset + page_size and begin + counts[number] > offset:
+                wanted.setdefault(number, begin)
+            begin += counts[number]
+        held = sum(counts[number] for number in wanted)
+        keys = dealt.filter(F.col("range").isin(list(wanted))).select("return_date", "id")
+        offset -= min(wanted.values(), default=0)
+        if held <= SHORT or held == begin:  # Spark leaves a range whole if it is a small one
+            break
+    found = keys.orderBy(*order).offset(offset).limit(page_size).collect() if wanted else []
+    return rows.filter(_any_of("id", found) & _any_of("return_date", found)).orderBy(*order).limit(page_size)
 
-def _skip_ahead(rows: DataFrame, offset: int, deep: int) -> tuple[DataFrame, int]:
-    """Rows from the page's group on, and the offset within them.
 
-    Groups are rows sharing a date prefix, then a date, then an id prefix that
-    grows by two characters: each step counts the groups within the last one (a few
-    hundred at most come to the driver), skips those that end before the page, and
-    stops once the rest of the way is short. However deep the page, no task has to
-    hold more than ``deep`` rows.
-    """
-    date, row_id = F.col("return_date"), F.col("id")
-    group, rest, inside = F.lit(True), F.lit(True), rows
-    steps = [(date, n, True) for n in (4, 7, 10, None)]
-    steps += [(row_id, n, False) for n in range(2, 66, 2)]
-    for column, length, newest_first in steps:
-        if offset <= deep:
-            break
-        prefix = column if length is None else F.left(column, F.lit(length))
-        order = F.desc_nulls_last("g") if newest_first else F.asc_nulls_first("g")
-        counted = inside.groupBy(prefix.alias("g")).agg(F.count("*").alias("n"))
-        for found in counted.orderBy(order).collect():
-            if offset < found["n"]:
-                break
-            offset -= found["n"]
-        else:
-            return rows.filter(F.lit(False)), 0  # the page lies behind the last row
-        at = F.lit(found["g"])
-        behind = (prefix < at) | prefix.isNull() if newest_first else prefix > at
-        if found["g"] is None:
-            behind = F.lit(False) if newest_first else prefix.isNotNull()
-        # ``rest`` so far: the current group and everything behind it.
-        same = prefix.eqNullSafe(at)
-        rest = rest & (~group | same | behind)
-        group = group & same
-        inside = inside.filter(_with_prefix(column, length, found["g"]))
-    return rows.filter(rest), offset
-
-
-def _with_prefix(column: Column, length: int | None, prefix: str | None) -> Column:
-    """Rows of a group in a form that scans can take as a pushed filter."""
-    if prefix is None:
-        return column.isNull()
-    return column == prefix if length is None or len(prefix) < length else column.startswith(prefix)
+def _any_of(column: str, found: list) -> Column:
+    """Filter that scans can take: the column has one of the values found."""
+    values = [r[column] for r in found]
+    some = F.col(column).isin([v for v in values if v is not None])
+    return some | F.col(column).isNull() if None in values else some
 
 
 def export_returns(returns: DataFrame, **constraints: str) -> DataFrame:

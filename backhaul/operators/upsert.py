@@ -1,4 +1,11 @@
-"""Returns import: insert new records, fill blank dispositions of known ones."""
+"""Returns import: insert new records, fill blank dispositions of known ones.
+
+All that matters per hash of a batch is where its first row and its first filled row
+stand, what that fills in, and whether the table has the hash and still blank. That
+state aggregates before the shuffle, and one state serves counts, inserts and fills:
+functions here take it as ``state``. A loader writes it first (``plans.load``), so that
+joining rows with it is a join of two scans, which AQE splits where a hash is hot.
+"""
 
 from __future__ import annotations
 
@@ -9,70 +16,85 @@ from pyspark.sql import functions as F
 
 from ..functions import is_blank, non_blank
 from ..schema import SEQ
-from .keep import insert_ignore, keep_first, new_by_key, stored_matches
+from .keep import insert_ignore, stored_matches
 
 ADDED, UPDATED, SKIPPED = "added", "updated", "skipped"
 
-# A hash with this many rows in one batch is joined by broadcast. At most
-# rows / HOT_ROWS hashes can be that hot, so even 10^12 rows give a broadcast of at
-# most 10^6 narrow rows (about 100 MB), and real batches far less.
-HOT_ROWS = 1_000_000
-
 
-def upsert_disposition(stored: DataFrame, batch: DataFrame, order_by: str = SEQ) -> DataFrame:
-    """The table after the import.
+def hash_state(stored: DataFrame, batch: DataFrame, order_by: str = SEQ) -> DataFrame:
+    """(row_hash, n, first_at, filled_at, fill, stored_blank) of the batch's hashes.
 
-    New hashes are inserted (first row wins). A row that is still blank then takes
-    the first non-blank disposition the batch has for its hash. Only blank rows are
-    shuffled for that; rows with a disposition pass straight through.
+    ``stored_blank`` is NULL for hashes the table does not have.
     """
-    columns = stored.columns
-    filled_rows = non_blank("disposition") & F.col("row_hash").isNotNull()
-    fills = keep_first(
-        batch.filter(filled_rows).select("row_hash", "disposition", order_by), ["row_hash"], [order_by]
-    ).select("row_hash", F.col("disposition").alias("_fill"))
-
-    def fill(rows: DataFrame) -> DataFrame:
-        kept = F.nullif(F.col("disposition"), F.lit(""))
-        joined = rows.join(fills, "row_hash", "left")
-        return joined.withColumn("disposition", F.coalesce(kept, "_fill", "disposition")).select(*columns)
-
-    # New rows are partitioned by hash already, as the fills are. Of the stored rows
-    # only blank ones take part. Rows without a hash stay out of every join.
-    no_hash, blank = F.col("row_hash").isNull(), is_blank("disposition")
-    parts = [
-        stored.filter(no_hash | non_blank("disposition")),
-        fill(stored.filter(~no_hash & blank)),
-        fill(new_by_key(batch, stored, [order_by]).select(*columns)),
-        batch.filter(no_hash).select(*columns),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    rows = batch.select("row_hash", order_by, "disposition").filter(F.col("row_hash").isNotNull())
+    filled = F.when(non_blank("disposition"), F.struct(F.col(order_by).alias("at"), "disposition"))
+    per_hash = rows.groupBy("row_hash").agg(
+        F.count("*").alias("n"), F.min(order_by).alias("first_at"), F.min(filled).alias("filled")
+    )
+    known = stored_matches(stored, rows, "row_hash", is_blank("disposition").alias("blank"))
+    known = known.groupBy("row_hash").agg(F.bool_or("blank").alias("stored_blank"))
+    return per_hash.join(known, "row_hash", "left").select(
+        "row_hash", "n", "first_at", F.col("filled.at").alias("filled_at"),
+        F.col("filled.disposition").alias("fill"), "stored_blank",
+    )
+
+
+def added_rows(batch: DataFrame, state: DataFrame, order_by: str = SEQ) -> DataFrame:
+    """Rows to insert: the first of each hash the table does not have, and those without a
+    hash. A first row that is blank takes the first disposition the batch fills in."""
+    columns = batch.columns
+    fresh = state.filter(F.col("stored_blank").isNull()).select(
+        "row_hash", F.col("first_at").alias("_first"), F.col("fill").alias("_fill")
+    )
+    own = F.nullif(F.col("disposition"), F.lit(""))
+    first = batch.join(fresh, "row_hash").filter(F.col(order_by) == F.col("_first"))
+    first = first.withColumn("disposition", F.coalesce(own, "_fill", "disposition")).select(*columns)
+    return first.unionByName(batch.filter(F.col("row_hash").isNull()))
+
+
+def fills(state: DataFrame) -> DataFrame:
+    """(row_hash, fill) of the hashes whose stored row is blank and gets a disposition."""
+    return state.filter(F.col("stored_blank") & F.col("fill").isNotNull()).select("row_hash", "fill")
+
+
+def fill_blanks(stored: DataFrame, fill: DataFrame) -> DataFrame:
+    """Stored rows with their blanks filled; rows that are not blank pass without a join."""
+    open_ = is_blank("disposition") & F.col("row_hash").isNotNull()
+    filled = stored.filter(open_).join(fill, "row_hash", "left")
+    filled = filled.withColumn("disposition", F.coalesce("fill", "disposition")).select(*stored.columns)
+    rest = stored.filter(F.col("row_hash").isNull() | non_blank("disposition"))
+    return rest.unionByName(filled)
+
+
+def upsert_disposition(
+    stored: DataFrame, batch: DataFrame, order_by: str = SEQ, state: DataFrame | None = None
+) -> DataFrame:
+    """The table after the import: blanks filled, new hashes inserted (first row wins)."""
+    state = hash_state(stored, batch, order_by) if state is None else state
+    added = added_rows(batch, state, order_by).select(*stored.columns)
+    return fill_blanks(stored, fills(state)).unionByName(added)
 
 
 def upsert_actions(
-    stored: DataFrame, batch: DataFrame, order_by: str = SEQ, hot_rows: int = HOT_ROWS
+    stored: DataFrame, batch: DataFrame, order_by: str = SEQ, state: DataFrame | None = None
 ) -> DataFrame:
     """What happens to each row of the batch: (row_hash, order, still_blank, action).
 
     In arrival order, the first row of an unknown hash is added. Any other row is
     updated if the stored disposition is still blank when it arrives (even if the
-    row brings a blank itself), else skipped. So all that matters per hash is where
-    its first row and its first non-blank row stand, which aggregates before the
-    shuffle; no group is ever walked through in order.
+    row brings a blank itself), else skipped.
     """
-    state = _hash_state(stored, batch, order_by)
+    state = hash_state(stored, batch, order_by) if state is None else state
     narrow = batch.select("row_hash", order_by)
     without_hash = narrow.filter(F.col("row_hash").isNull()).select(
         "row_hash", order_by, F.lit(False).alias("still_blank"), F.lit(ADDED).alias("action")
     )
-    decided = _join_state(narrow, state, hot_rows).select(
-        "row_hash", order_by, *_decide(F.col(order_by))
-    )
+    decided = narrow.join(state, "row_hash").select("row_hash", order_by, *_decide(F.col(order_by)))
     return decided.unionByName(without_hash)
 
 
 def upsert_counts(
-    stored: DataFrame, batch: DataFrame, order_by: str = SEQ, hot_rows: int = HOT_ROWS
+    stored: DataFrame, batch: DataFrame, order_by: str = SEQ, state: DataFrame | None = None
 ) -> DataFrame:
     """Counts of a returns import: one row (added, updated, skipped).
 
@@ -81,19 +103,17 @@ def upsert_counts(
     or never filled. Rows are looked up only for hashes where blanks come first and
     are filled later within the batch.
     """
-    is_new = F.col("stored_blank").isNull()
+    state = hash_state(stored, batch, order_by) if state is None else state
     # Rows up to the first filled one: those find the disposition blank.
     leading = (
         F.when(~F.coalesce("stored_blank", F.lit(True)), F.lit(0))
         .when(F.col("filled_at").isNull(), F.col("n"))
         .when(F.col("filled_at") == F.col("first_at"), F.lit(1))
     )
-    state = _hash_state(stored, batch, order_by).withColumns(
-        {"is_new": is_new.cast("int"), "leading": leading}
-    )
-    looked_up = _join_state(
-        batch.select("row_hash", order_by), state.filter(F.col("leading").isNull()), hot_rows
-    ).filter(F.col(order_by) <= F.col("filled_at"))
+    state = state.withColumns({"is_new": F.col("stored_blank").isNull().cast("int"), "leading": leading})
+    open_ = state.filter(F.col("leading").isNull()).select("row_hash", "filled_at")
+    looked_up = batch.select("row_hash", order_by).join(open_, "row_hash")
+    looked_up = looked_up.filter(F.col(order_by) <= F.col("filled_at"))
     nothing = F.lit(0)
     parts = [
         # An added row is one of the leading ones, but not updated.
@@ -110,34 +130,6 @@ def upsert_counts(
     return sums.select(F.col("is_new").alias(ADDED), UPDATED, skipped.alias(SKIPPED))
 
 
-def _hash_state(stored: DataFrame, batch: DataFrame, order_by: str) -> DataFrame:
-    """Per hash of the batch: rows, first row, first filled row, stored state."""
-    rows = batch.select("row_hash", order_by, "disposition")
-    per_hash = (
-        rows.filter(F.col("row_hash").isNotNull())
-        .groupBy("row_hash")
-        .agg(
-            F.count("*").alias("n"),
-            F.min(order_by).alias("first_at"),
-            F.min(F.when(non_blank("disposition"), F.col(order_by))).alias("filled_at"),
-        )
-    )
-    known = stored_matches(
-        stored, rows, "row_hash", is_blank("disposition").alias("stored_blank")
-    )
-    return per_hash.join(known, "row_hash", "left")
-
-
-def _join_state(rows: DataFrame, state: DataFrame, hot_rows: int) -> DataFrame:
-    """Rows with the state of their hash. Hot hashes never meet in one partition: they
-    are taken out by broadcast."""
-    hot = F.broadcast(state.filter(F.col("n") >= hot_rows))
-    cold = state.filter(F.col("n") < hot_rows)
-    of_hot = rows.join(hot, "row_hash")
-    of_cold = rows.join(hot.select("row_hash"), "row_hash", "left_anti").join(cold, "row_hash")
-    return of_hot.unionByName(of_cold)
-
-
 def _decide(at: Column) -> list[Column]:
     stored = F.col("stored_blank").isNotNull()
     is_new = ~stored & (at == F.col("first_at"))
@@ -165,4 +157,3 @@ def ingest_actions(stored: DataFrame, batch: DataFrame, order_by: str = SEQ) ->
 def action_counts(actions: DataFrame) -> DataFrame:
     """(action, n) of an import."""
     return actions.groupBy("action").agg(F.count("*").alias("n"))
-

@@ -1,6 +1,6 @@
 from .audit import diagnostic_samples, returns_audit, returns_by_year, returns_diagnostic
 from .exports import export_monthly, export_weekly
-from .load import load_payload, load_sheet, load_sheet_file, load_workbook, open_tables
+from .load import Tables, load_payload, load_sheet, load_sheet_file, load_workbook, open_tables
 from .maintain import maintain
 from .periods import (
     period_disposition_names,
@@ -36,6 +36,7 @@ from .summary import (
 )
 
 __all__ = [
+    "Tables",
     "breakdowns",
     "daily_orders",
     "dashboard_cards",

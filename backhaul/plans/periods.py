@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import current_ym, label_disposition, non_blank, safe_ratio_pct
-from ..operators.attribution import ORDER_ID, lines_per_order, units_per_order
+from ..operators.attribution import EXACT, ORDER_ID, lines_per_order, total_units, units_per_order
 
 RANK = "month_rank"
 LONGEST = max(schema.PERIODS.values())
@@ -24,16 +24,20 @@ FIRST_SHARE = 7  # table position of the rows that repeat per disposition
 
 
 def ranked_months(orders: DataFrame, as_of: dt.date) -> DataFrame:
-    """(purchase_ym, order_units, month_rank) of the latest twelve months: 12 rows at most."""
+    """(purchase_ym, order_units, month_rank) of the latest twelve months, newest first.
+
+    Twelve rows at most, and every period report needs them twice. They are fetched when
+    a report is built, and are literals in it from then on.
+    """
     units = F.when(F.col("order_status") != schema.ON_TRIAL, F.col("quantity"))
     months = (
         orders.filter(non_blank("purchase_date") & (F.col("purchase_ym") < current_ym(as_of)))
         .groupBy("purchase_ym")
         .agg(F.sum(units).alias("order_units"))
     )
-    latest = months.orderBy(F.desc("purchase_ym")).limit(LONGEST)
-    # A window without partitions, over the twelve rows the limit leaves.
-    return latest.withColumn(RANK, F.row_number().over(Window.orderBy(F.desc("purchase_ym"))))
+    latest = months.orderBy(F.desc("purchase_ym")).limit(LONGEST).collect()
+    ranked = [(*row, rank) for rank, row in enumerate(latest, 1)]
+    return orders.sparkSession.createDataFrame(ranked, f"purchase_ym string, order_units bigint, {RANK} int")
 
 
 def period_months(orders: DataFrame, as_of: dt.date) -> DataFrame:
@@ -68,7 +72,10 @@ def _per_period(row: DataFrame, measures: list[str], keys: Sequence[str] = ()) -
 
 def period_order_units(orders: DataFrame, as_of: dt.date) -> DataFrame:
     """(period, months, orders_units); periods without months count 0."""
-    months = ranked_months(orders, as_of)
+    return _order_units(ranked_months(orders, as_of))
+
+
+def _order_units(months: DataFrame) -> DataFrame:
     sums = [
         F.coalesce(F.sum(F.when(F.col(RANK) <= n, F.col("order_units"))), F.lit(0)).alias(f"orders_units_{n}")
         for n in schema.PERIODS.values()
@@ -77,15 +84,15 @@ def period_order_units(orders: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def _returned(
-    orders: DataFrame, returns: DataFrame, as_of: dt.date, match_blank_ids: bool = True
+    orders: DataFrame, returns: DataFrame, months: DataFrame, match_blank_ids: bool = True
 ) -> DataFrame:
     """Units and matches per disposition and period, one row per disposition.
 
     The twelve ranked months are broadcast onto the orders, where they also prune
     month partitions. Each order id then carries its line counts of all periods.
     """
-    months = F.broadcast(ranked_months(orders, as_of).select("purchase_ym", RANK))
-    inside = orders.select("amazon_order_id", "purchase_ym").join(months, "purchase_ym")
+    ranks = F.broadcast(months.select("purchase_ym", RANK))
+    inside = orders.select("amazon_order_id", "purchase_ym").join(ranks, "purchase_ym")
     lines = lines_per_order(
         inside,
         {f"lines_{n}": (F.col(RANK) <= n).cast("bigint") for n in schema.PERIODS.values()},
@@ -93,7 +100,7 @@ def _returned(
     units = units_per_order(returns, {"units": F.col("quantity")}, ["disposition"], match_blank_ids)
     sums = []
     for n in schema.PERIODS.values():
-        sums.append(F.sum(F.col("units") * F.col(f"lines_{n}")).alias(f"units_{n}"))
+        sums.append(total_units(F.col("units"), F.col(f"lines_{n}")).alias(f"units_{n}"))
         sums.append(F.max(F.col(f"lines_{n}") > 0).alias(f"seen_{n}"))
     return units.join(lines, ORDER_ID).groupBy("disposition").agg(*sums)
 
@@ -109,7 +116,7 @@ def period_returns(
 
     Blank dispositions count in the total only.
     """
-    return _totals(_returned(orders, returns, as_of, match_blank_ids))
+    return _totals(_returned(orders, returns, ranked_months(orders, as_of), match_blank_ids))
 
 
 def _totals(returned: DataFrame) -> DataFrame:
@@ -121,7 +128,8 @@ def _totals(returned: DataFrame) -> DataFrame:
             ("sellable", F.when(F.col("disposition") == schema.SELLABLE, units)),
             ("unsellable", F.when(_is_unsellable(), units)),
         ):
-            sums.append(F.coalesce(F.sum(value), F.lit(0)).alias(f"{measure}_{n}"))
+            total = F.coalesce(F.sum(value), F.lit(0)).cast(EXACT)
+            sums.append(total.alias(f"{measure}_{n}"))
     return _per_period(returned.agg(*sums), ["returns_total", "sellable", "unsellable"])
 
 
@@ -129,7 +137,7 @@ def period_dispositions(
     orders: DataFrame, returns: DataFrame, as_of: dt.date, match_blank_ids: bool = True
 ) -> DataFrame:
     """(period, months, disposition, units) of unsellable returns, most units first."""
-    returned = _returned(orders, returns, as_of, match_blank_ids)
+    returned = _returned(orders, returns, ranked_months(orders, as_of), match_blank_ids)
     return _dispositions(returned).orderBy("months", F.desc("units"), "disposition")
 
 
@@ -167,16 +175,13 @@ def period_stats(
     orders: DataFrame, returns: DataFrame, as_of: dt.date, match_blank_ids: bool = True
 ) -> DataFrame:
     """(period, months, orders_units, returns_total, sellable, unsellable): three rows."""
-    back = period_returns(orders, returns, as_of, match_blank_ids)
-    return _with_orders(back, orders, as_of).orderBy("months")
-
-
-def _with_orders(back: DataFrame, orders: DataFrame, as_of: dt.date) -> DataFrame:
-    # Three rows by construction on either side.
-    sold = F.broadcast(period_order_units(orders, as_of).drop("months"))
-    return back.join(sold, "period").select(
+    months = ranked_months(orders, as_of)
+    back = _totals(_returned(orders, returns, months, match_blank_ids))
+    sold = F.broadcast(_order_units(months).drop("months"))  # three rows by construction
+    stats = back.join(sold, "period").select(
         "period", "months", "orders_units", "returns_total", "sellable", "unsellable"
     )
+    return stats.orderBy("months")
 
 
 def _pct(num: str, den: str) -> Column:
@@ -192,27 +197,44 @@ def period_table(
     (position, metric, disposition, label, last_month, last_3_months,
     last_12_months); percentages are NULL where there is nothing to relate.
     """
-    returned = _returned(orders, returns, as_of, match_blank_ids)
-    stats = _with_orders(_totals(returned), orders, as_of)
-    of_all = stats.select("period", F.inline(_metrics([
-        (1, "orders_units", F.col("orders_units")),
+    months = ranked_months(orders, as_of)
+    returned = _returned(orders, returns, months, match_blank_ids)
+    # A few dozen rows: every disposition in every period, and a row per period for the
+    # orders. Totals of a period stand beside each of its rows, so the attribution is
+    # computed once for both.
+    weight = F.col(f"units_{LONGEST}").alias("weight")
+    each = _per_period(returned.select("*", weight), ["units", "seen"], ["disposition", "weight"])
+    rows = each.unionByName(_order_units(months), allowMissingColumns=True)
+    period = Window.partitionBy("period")
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value).over(period), F.lit(0))
+
+    rows = rows.select(
+        "*",
+        F.max("orders_units").over(period).alias("sold"),
+        total(F.col("units")).alias("returns_total"),
+        total(F.when(F.col("disposition") == schema.SELLABLE, F.col("units"))).alias("sellable"),
+        total(F.when(_is_unsellable(), F.col("units"))).alias("unsellable"),
+    )
+    of_all = rows.filter(F.col("orders_units").isNotNull()).select("period", F.inline(_metrics([
+        (1, "orders_units", F.col("sold")),
         (2, "returns", F.col("returns_total")),
-        (3, "returns_pct_of_orders", _pct("returns_total", "orders_units")),
+        (3, "returns_pct_of_orders", _pct("returns_total", "sold")),
         (4, "unsellable", F.col("unsellable")),
-        (5, "unsellable_pct_of_orders", _pct("unsellable", "orders_units")),
+        (5, "unsellable_pct_of_orders", _pct("unsellable", "sold")),
         (6, "unsellable_pct_of_returns", _pct("unsellable", "returns_total")),
         (10, "sellable", F.col("sellable")),
-        (11, "sellable_pct_of_orders", _pct("sellable", "orders_units")),
+        (11, "sellable_pct_of_orders", _pct("sellable", "sold")),
         (12, "sellable_pct_of_returns", _pct("sellable", "returns_total")),
-    ]))).withColumns({"disposition": F.lit(""), "weight": F.lit(None).cast("bigint")})
-    shares = _dispositions(returned, f"units_{LONGEST}").join(
-        F.broadcast(stats.select("period", "returns_total", "unsellable")), "period"
+    ]))).withColumns({"disposition": F.lit(""), "weight": F.lit(None).cast(EXACT)})
+    of_each = rows.filter(F.col("seen") & _is_unsellable()).select(
+        "period", "disposition", "weight", F.inline(_metrics([
+            (7, "units", F.col("units")),
+            (8, "units_pct_of_returns", _pct("units", "returns_total")),
+            (9, "units_pct_of_unsellable", _pct("units", "unsellable")),
+        ]))
     )
-    of_each = shares.select("period", "disposition", "weight", F.inline(_metrics([
-        (7, "units", F.col("units")),
-        (8, "units_pct_of_returns", _pct("units", "returns_total")),
-        (9, "units_pct_of_unsellable", _pct("units", "unsellable")),
-    ])))
     names = list(schema.PERIODS)
     table = (
         of_all.unionByName(of_each)

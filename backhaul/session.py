@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 # splits skewed join partitions.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
+    # Sums that leave their type's range are errors, never wrapped or NULL.
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

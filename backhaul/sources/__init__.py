@@ -1,4 +1,4 @@
-from .files import file_md5, list_files
+from .files import file_md5, fingerprint, list_files
 from .log import append_upload, upload_history
 from .payload import read_orders_payload, read_returns_payload
 from .sheets import Sheet, detect_kind, read_sheet, read_typed_sheet, read_workbook, route
@@ -11,6 +11,7 @@ __all__ = [
     "append_upload",
     "detect_kind",
     "file_md5",
+    "fingerprint",
     "list_files",
     "read_orders_payload",
     "read_returns_payload",

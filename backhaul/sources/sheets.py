@@ -115,13 +115,13 @@ def read_sheet(
     path: str,
     headers: Sequence[str] | None = None,
     sep: str | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> Sheet:
     """Read one delimited sheet (a file, or a folder of parts with equal headers).
 
-    Everything is text, nothing is inferred. ``multiline`` lets quoted comments
-    hold line breaks, at the price that a file is not split between tasks; switch
-    it off for very large files known to have one record per line.
+    Everything is text, nothing is inferred. One record per line is assumed, so that
+    large files are split between tasks; ``multiline`` lets quoted comments hold line
+    breaks, at the price that a file is read by one task.
     """
     sep = sep or separator_for(path)
     headers = list(headers) if headers is not None else read_headers(spark, path, sep)

@@ -16,9 +16,10 @@ from .files import hadoop_path
 def staged(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` written once to the shared scratch folder, to be read while in the block.
 
-    Loading a batch ranks it, compares it with the table and counts it. From the
-    written copy each of these reads only its columns, parsing is done once, and an
-    executor lost half-way costs no parsing again. The copy goes when the block ends.
+    Loading a batch decides on it, counts it and writes it. From the written copy each
+    of these reads only its columns, parsing is done once, an executor lost half-way
+    costs no parsing again, and a join with it has a plain scan on this side, which
+    AQE can split where a key is hot. The copy goes when the block ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/staged-{uuid.uuid4().hex}"
@@ -28,3 +29,15 @@ def staged(df: DataFrame) -> Iterator[DataFrame]:
     finally:
         fs, target = hadoop_path(spark, path)
         fs.delete(target, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared scratch folder, for a result that is computed later.
+
+    The copy stays there, as nobody knows when the result was read; whoever owns the
+    scratch folder empties it.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

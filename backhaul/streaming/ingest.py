@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.keep import insert_ignore
-from ..plans.load import Tables, load_sheet
+from ..plans.load import Tables, insert_new, load_sheet, numbered
 from ..sources.log import append_upload
 from ..sources.sheets import SEQ, Sheet, header_names, positional_schema
 from ..sources.staging import staged
@@ -32,14 +31,14 @@ def stream_ingest(
     checkpoint: str,
     kind: str | None = None,
     sep: str = ",",
-    multiline: bool = True,
+    multiline: bool = False,
     max_files_per_trigger: int | None = None,
     uploaded_by: str = "Team Member",
 ) -> StreamingQuery:
     """Load every file of ``folder`` not loaded before, then stop.
 
-    All files share ``headers``. Returns the started query; call
-    ``awaitTermination`` on it.
+    All files share ``headers``. ``multiline`` as for ``read_sheet``. Returns the started
+    query; call ``awaitTermination`` on it.
     """
     reader = (
         spark.readStream.schema(positional_schema(headers))
@@ -90,8 +89,8 @@ def stream_rows(
     """Load a stream of canonical rows (with row_hash and an ordering column)."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        with staged(batch) as arrived:
-            table.append(insert_ignore(arrived, table.read(), [order_by]))
+        with staged(numbered(batch, order_by)) as arrived:
+            insert_new(table, arrived)
 
     return _start(rows, load, checkpoint)
 

@@ -83,6 +83,11 @@ def pct_text(num: str, den: str) -> str:
     return f"CASE WHEN {den} > 0 THEN printf('%.2f%%', {pct(num, den, 2)}) ELSE '0%' END"
 
 
+def exact(x: str) -> str:
+    """Sums that may pass BIGINT are DECIMAL(38,0); they are compared as DOUBLE."""
+    return f"CAST({x} AS DOUBLE)"
+
+
 def big(x: str) -> str:
     return f"CAST({x} AS BIGINT)"
 
@@ -227,7 +232,7 @@ mo AS (
   FROM o WHERE purchase_date <> '' GROUP BY purchase_ym
 ),
 mr AS (
-  SELECT purchase_ym AS month, {big('sum(r.quantity)')} AS return_units
+  SELECT purchase_ym AS month, {exact('sum(r.quantity)')} AS return_units
   FROM {JOINED} WHERE o.purchase_date <> '' GROUP BY purchase_ym
 ),
 monthly AS (
@@ -270,14 +275,14 @@ p_joined AS (
   FROM period_rows JOIN o ON purchase_ym = month JOIN r ON r.order_id = o.amazon_order_id
 ),
 p_returns AS (
-  SELECT period, months, {big('coalesce(sum(quantity), 0)')} AS returns_total,
-    {big("coalesce(sum(CASE WHEN disposition = 'SELLABLE' THEN quantity ELSE 0 END), 0)")} AS sellable,
-    {big("coalesce(sum(CASE WHEN disposition <> '' AND disposition <> 'SELLABLE' THEN quantity ELSE 0 END), 0)")}
+  SELECT period, months, {exact('coalesce(sum(quantity), 0)')} AS returns_total,
+    {exact("coalesce(sum(CASE WHEN disposition = 'SELLABLE' THEN quantity ELSE 0 END), 0)")} AS sellable,
+    {exact("coalesce(sum(CASE WHEN disposition <> '' AND disposition <> 'SELLABLE' THEN quantity ELSE 0 END), 0)")}
       AS unsellable
   FROM periods LEFT JOIN p_joined USING (period, months) GROUP BY period, months
 ),
 p_disp AS (
-  SELECT period, months, disposition, {big('sum(quantity)')} AS units
+  SELECT period, months, disposition, {exact('sum(quantity)')} AS units
   FROM p_joined WHERE disposition <> '' AND disposition <> 'SELLABLE' GROUP BY period, months, disposition
 ),
 p_stats AS (SELECT * FROM p_returns JOIN p_units USING (period, months))"""
@@ -285,11 +290,12 @@ p_stats AS (SELECT * FROM p_returns JOIN p_units USING (period, months))"""
 # Returns import, told row by row in arrival order (batch, id).
 UPSERT_CTE = f"""{R_CTE},
 incoming AS (
-  SELECT 1 AS batch, id, row_hash, disposition FROM r
+  SELECT 1 AS batch, * EXCLUDE (flag, sk, ln) FROM r
   UNION ALL
-  SELECT 2, id, row_hash, CASE WHEN sk % 10 = 0 THEN 'DEFECTIVE' ELSE '' END FROM r WHERE sk % 5 = 0
+  SELECT 2, * EXCLUDE (flag, sk, ln) REPLACE (CASE WHEN sk % 10 = 0 THEN 'DEFECTIVE' ELSE '' END AS disposition)
+  FROM r WHERE sk % 5 = 0
   UNION ALL
-  SELECT 2, id, row_hash, disposition FROM any_r WHERE flag = 'A' AND sk % 5 = 0
+  SELECT 2, * EXCLUDE (flag, sk, ln) FROM any_r WHERE flag = 'A' AND sk % 5 = 0
 ),
 told AS (
   SELECT *, row_number() OVER w AS nth,
@@ -301,14 +307,20 @@ acted AS (
   SELECT *, nth > 1 AND filled = 0 AS still_blank,
     CASE WHEN nth = 1 THEN 'added' WHEN filled = 0 THEN 'updated' ELSE 'skipped' END AS action
   FROM told
+),
+filled AS (
+  SELECT row_hash, arg_min(disposition, batch || '|' || id) AS fill FROM acted WHERE disposition <> '' GROUP BY row_hash
+),
+imported AS (
+  SELECT acted.* REPLACE (coalesce(fill, '') AS disposition) FROM acted LEFT JOIN filled USING (row_hash) WHERE nth = 1
 )"""
 
 # Orders load: everything twice, the hash being (identifier, id).
 LOAD_CTE = f"""{O_CTE},
 resent AS (
-  SELECT 1 AS batch, md5(identifier || '|' || id) AS row_hash, id, identifier FROM o WHERE id < '5'
+  SELECT 1 AS batch, * REPLACE (md5(identifier || '|' || id) AS row_hash) FROM o WHERE id < '5'
   UNION ALL
-  SELECT 2, md5(identifier || '|' || id), id, identifier FROM o
+  SELECT 2, * REPLACE (md5(identifier || '|' || id) AS row_hash) FROM o
 ),
 loaded AS (
   SELECT *, row_number() OVER (PARTITION BY row_hash ORDER BY batch, id) AS nth FROM resent
@@ -344,11 +356,13 @@ def _dedup_returns(source: str) -> str:
 
 
 NUMBER_CELLS = """
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 13
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 16
     WHEN 0 THEN '$' || format('{:,.2f}', l_extendedprice) WHEN 1 THEN '' WHEN 2 THEN '--' || l_linenumber
     WHEN 3 THEN l_linenumber || '-2' WHEN 4 THEN l_linenumber || '.2.3' WHEN 5 THEN '-.' || l_linenumber
     WHEN 6 THEN l_linenumber || '.' WHEN 7 THEN '(' || l_suppkey || ')' WHEN 8 THEN 'abc'
-    WHEN 9 THEN l_linenumber || 'e5' WHEN 10 THEN '-' WHEN 11 THEN '.' ELSE 'USD ' || l_suppkey END AS cell
+    WHEN 9 THEN l_linenumber || 'e5' WHEN 10 THEN '-' WHEN 11 THEN '.'
+    WHEN 12 THEN 'USD ' || l_suppkey WHEN 13 THEN '0.5' WHEN 14 THEN l_linenumber || '.5'
+    ELSE '-' || l_linenumber || '.25' END AS cell
   FROM lineitem"""
 
 DATE_CELLS = """
@@ -398,7 +412,14 @@ FACETS_CTE = """
   )"""
 
 SEARCH = "(product_name ILIKE '%GEAR%' OR sku ILIKE '%GEAR%' OR asin ILIKE '%GEAR%' OR order_id ILIKE '%GEAR%')"
-FILTERED = f"{SEARCH} AND reason = 'DEFECTIVE' AND disposition = 'SELLABLE'"
+SEARCHES = [
+    f"{SEARCH} AND reason = 'DEFECTIVE' AND disposition = 'SELLABLE'",
+    "brand = 'Brand#2'",
+    "return_month = 'March 1999'",
+    f"{SEARCH} AND brand = 'Brand#2' AND reason = 'NOT_AS_DESCRIBED'",
+    "brand = 'Brand#2' AND return_month = 'March 1999' AND reason = 'DEFECTIVE' AND disposition = 'SELLABLE' "
+    "AND (product_name ILIKE '%a%' OR sku ILIKE '%a%' OR asin ILIKE '%a%' OR order_id ILIKE '%a%')",
+]
 
 
 def _table_rows() -> str:
@@ -444,19 +465,19 @@ def _table_rows() -> str:
     )
 
 
-def oracle_sql() -> dict[str, str]:
-    keys = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
-    return {
-        # --- sources and imports ------------------------------------------------
-        "ingest_orders": f"""WITH {RAW_ORDERS_CTE}
+def _ingest_orders() -> str:
+    return f"""WITH {RAW_ORDERS_CTE}
             SELECT id, {trim('raw_identifier')} AS identifier, {trim('purchase_month')} AS purchase_month,
               purchase_date, {week('purchase_date')} AS purchase_week, {trim('c_brand')} AS brand,
               amazon_order_id, order_status, product_name, sku, asin, item_status,
               CAST(coalesce({parse_num('c_quantity')}, 0) AS BIGINT) AS quantity,
               {parse_num('c_price')} AS item_price, {parse_num('c_tax')} AS item_tax,
               md5(raw_identifier || '|' || asin || '|' || hash_date || '|' || hash_price) AS row_hash,
-              {ym('purchase_date')} AS purchase_ym, {yr('purchase_date')} AS purchase_y FROM dated""",
-        "ingest_returns": f"""WITH {RAW_RETURNS_CTE}
+              {ym('purchase_date')} AS purchase_ym, {yr('purchase_date')} AS purchase_y FROM dated"""
+
+
+def _ingest_returns() -> str:
+    return f"""WITH {RAW_RETURNS_CTE}
             SELECT id, purchase_month, CAST(NULL AS VARCHAR) AS purchase_date,
               coalesce(nullif({trim('c_month')}, ''), strftime({iso('return_date')}, '%B %Y'), '') AS return_month,
               coalesce(nullif(c_year, ''), strftime({iso('return_date')}, '%Y'), '') AS return_year,
@@ -465,7 +486,52 @@ def oracle_sql() -> dict[str, str]:
                 ELSE {parse_num('c_quantity')} END AS BIGINT) AS quantity,
               disposition, reason, status, gender, brand, customer_comments,
               md5(order_id || '|' || asin || '|' || coalesce(return_date, '') || '|' || reason) AS row_hash,
-              {ym('return_date')} AS return_ym, {yr('return_date')} AS return_y FROM dated""",
+              {ym('return_date')} AS return_ym, {yr('return_date')} AS return_y FROM dated"""
+
+
+def _loaded(rows: str) -> str:
+    """A first-wins load of rows that arrive in the order of their ids."""
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_hash ORDER BY id) AS rn FROM ({rows}))
+      WHERE rn = 1"""
+
+
+def _load_log() -> str:
+    """A workbook of both sheets, then its returns sheet alone, twice (logged once)."""
+    return f"""WITH o_all AS ({_ingest_orders()}), r_all AS ({_ingest_returns()}),
+      n AS (SELECT (SELECT count(*) FROM o_all) AS o_seen, (SELECT count(DISTINCT row_hash) FROM o_all) AS o_new,
+        (SELECT count(*) FROM r_all) AS r_seen, (SELECT count(DISTINCT row_hash) FROM r_all) AS r_new)
+      SELECT 'book' AS filename, 'auto' AS type, o_new + r_new AS rows_added,
+        o_seen + r_seen - o_new - r_new AS rows_skipped FROM n
+      UNION ALL SELECT 'returns.csv', 'auto', 0, r_seen FROM n"""
+
+
+def _maintained() -> str:
+    return f"""WITH o AS ({_loaded(_ingest_orders())}), r AS ({_loaded(_ingest_returns())}),
+      good AS (SELECT * FROM o WHERE amazon_order_id <> '' OR coalesce(purchase_date, '') <> '' OR order_status <> ''),
+      best AS (SELECT *, row_number() OVER (PARTITION BY amazon_order_id, sku ORDER BY
+          CASE WHEN coalesce(item_price, 0) <> 0 THEN 0 ELSE 1 END,
+          CASE WHEN coalesce(purchase_date, '') <> '' THEN 0 ELSE 1 END, id) AS place FROM good),
+      filled AS (SELECT * FROM r WHERE disposition <> ''),
+      first AS (SELECT *, row_number() OVER (PARTITION BY order_id, asin, return_date, reason ORDER BY id) AS place
+        FROM filled),
+      n AS (SELECT (SELECT count(*) FROM o) AS n_o, (SELECT count(*) FROM good) AS n_good,
+        (SELECT count(*) FROM best WHERE place = 1 OR amazon_order_id = '' OR sku = '') AS n_best,
+        (SELECT count(*) FROM r) AS n_r, (SELECT count(*) FROM filled) AS n_filled,
+        (SELECT count(*) FROM first WHERE place = 1 OR order_id = '' OR coalesce(return_date, '') = '') AS n_first)
+      SELECT 'cleanup_bad_orders' AS operation, n_o - n_good AS deleted, n_good AS remaining FROM n
+      UNION ALL SELECT 'dedup_orders', n_good - n_best, n_best FROM n
+      UNION ALL SELECT 'cleanup_empty_disposition', n_r - n_filled, n_filled FROM n
+      UNION ALL SELECT 'dedup_returns', n_filled - n_first, n_first FROM n
+      UNION ALL SELECT 'truncate_orders', n_best, 0 FROM n
+      UNION ALL SELECT 'truncate_returns', n_first, 0 FROM n"""
+
+
+def oracle_sql() -> dict[str, str]:
+    keys = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+    return {
+        # --- sources and imports ------------------------------------------------
+        "ingest_orders": _ingest_orders(),
+        "ingest_returns": _ingest_returns(),
         "import_orders": f"""WITH {LOAD_CTE} SELECT count(*) FILTER (nth = 1) AS added,
             count(*) FILTER (nth > 1) AS skipped FROM loaded WHERE batch = 2""",
         "import_returns": f"WITH {UPSERT_CTE} SELECT action, count(*) AS n FROM acted WHERE batch = 2 GROUP BY action",
@@ -500,9 +566,11 @@ def oracle_sql() -> dict[str, str]:
             strftime({iso(trim('cell'))}, '%B %Y'), '') AS return_month FROM ({DATE_CELLS})""",
         "derive_return_year": f"""SELECT {keys}, coalesce(CASE WHEN l_linenumber = 1 THEN '1999' END,
             strftime({iso(trim('cell'))}, '%Y'), '') AS return_year FROM ({DATE_CELLS})""",
-        "default_quantity": f"""SELECT {keys}, coalesce({parse_num('cell')}, 0) AS of_order,
-            CASE WHEN coalesce({parse_num('cell')}, 0) = 0 THEN 1 ELSE {parse_num('cell')} END AS of_return
-            FROM ({NUMBER_CELLS})""",
+        "default_quantity": f"""SELECT *, CAST(round(of_order) AS BIGINT) AS order_units,
+            CAST(round(of_return) AS BIGINT) AS return_units FROM (
+              SELECT {keys}, coalesce({parse_num('cell')}, 0) AS of_order,
+                CASE WHEN coalesce({parse_num('cell')}, 0) = 0 THEN 1 ELSE {parse_num('cell')} END AS of_return
+              FROM ({NUMBER_CELLS}))""",
         "year_month": f"SELECT {keys}, {ym('cell')} AS ym FROM ({DATE_CELLS})",
         "year_text": f"SELECT {keys}, {yr('cell')} AS year FROM ({DATE_CELLS})",
         "current_ym": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS ym FROM orders",
@@ -531,8 +599,10 @@ def oracle_sql() -> dict[str, str]:
             WHERE purchase_ym IN (SELECT month FROM ranked WHERE month_rank <= 12)"""),
         "placeholder_filter": _r("SELECT id, brand FROM r WHERE brand <> '' AND brand <> '-'"),
         "unsellable_filter": _r("SELECT id, disposition FROM r WHERE disposition <> '' AND disposition <> 'SELLABLE'"),
-        "search_returns": _r(f"SELECT {RETURN_COLUMNS} FROM r WHERE {FILTERED}"),
-        "filtered_count": _r(f"SELECT count(*) AS total FROM r WHERE {FILTERED}"),
+        "search_returns": _r(" UNION ALL ".join(
+            f"SELECT {i} AS part, {RETURN_COLUMNS} FROM r WHERE {where}" for i, where in enumerate(SEARCHES))),
+        "filtered_count": _r(" UNION ALL ".join(
+            f"SELECT {i} AS part, count(*) AS total FROM r WHERE {where}" for i, where in enumerate(SEARCHES))),
         "all_orders": _o(f"SELECT {ORDER_COLUMNS} FROM o"),
         "all_returns": _r(f"SELECT {RETURN_COLUMNS} FROM r"),
         "cleanup_bad_orders": _o("""SELECT id, amazon_order_id, purchase_date, order_status FROM o
@@ -541,7 +611,7 @@ def oracle_sql() -> dict[str, str]:
         "cleanup_empty_disposition": _r("SELECT id, disposition FROM r WHERE NOT (disposition IS NULL OR disposition = '')"),
         # --- joins and aggregations ------------------------------------------------------
         "returns_by_purchase_month": _both("x AS (SELECT 1)", f"""
-            SELECT purchase_ym AS month, r.disposition, {big('sum(r.quantity)')} AS units, count(*) AS matches
+            SELECT purchase_ym AS month, r.disposition, {exact('sum(r.quantity)')} AS units, {exact('count(*)')} AS matches
             FROM {JOINED} GROUP BY purchase_ym, r.disposition"""),
         "order_stats": _o(f"""SELECT count(*) AS total,
             {big("sum(CASE WHEN order_status = 'Shipped' THEN 1 ELSE 0 END)")} AS shipped,
@@ -610,14 +680,18 @@ def oracle_sql() -> dict[str, str]:
               SELECT disposition, CASE months WHEN 12 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS list_no, units FROM p_disp)
             QUALIFY row_number() OVER (PARTITION BY disposition ORDER BY list_no) = 1"""),
         # --- modification -----------------------------------------------------------------------
-        "insert_ignore": f"WITH {LOAD_CTE} SELECT id, identifier, row_hash FROM loaded WHERE batch = 2 AND nth = 1",
-        "insert_ignore_batch": f"WITH {LOAD_CTE} SELECT id, identifier, row_hash FROM loaded WHERE nth = 1",
-        "upsert_disposition": f"""WITH {UPSERT_CTE}
-            SELECT row_hash, arg_min(id, batch || '|' || id) AS id,
-              coalesce(arg_min(disposition, batch || '|' || id) FILTER (disposition <> ''), '') AS disposition
-            FROM acted GROUP BY row_hash""",
-        "stream_ingest": _r(f"""SELECT id, order_id, asin, return_date, reason, disposition, quantity, row_hash FROM (
+        "insert_ignore": f"WITH {LOAD_CTE} SELECT {ORDER_COLUMNS} FROM loaded WHERE batch = 2 AND nth = 1",
+        "insert_ignore_batch": f"WITH {LOAD_CTE} SELECT {ORDER_COLUMNS} FROM loaded WHERE nth = 1",
+        "upsert_disposition": f"WITH {UPSERT_CTE} SELECT {RETURN_COLUMNS} FROM imported",
+        "stream_ingest": _r(f"""SELECT {RETURN_COLUMNS} FROM (
             SELECT *, row_number() OVER (PARTITION BY row_hash ORDER BY id) AS rn FROM r) WHERE rn = 1"""),
+        # --- the way of a file: sheet, table, log -----------------------------------------------
+        "load_orders": f"SELECT * EXCLUDE (id, rn) FROM ({_loaded(_ingest_orders())})",
+        "load_returns": f"SELECT * EXCLUDE (id, rn) FROM ({_loaded(_ingest_returns())})",
+        "stream_sheets": f"SELECT * EXCLUDE (id, rn) FROM ({_loaded(_ingest_returns())})",
+        "load_log": _load_log(),
+        "load_payload": f"WITH {UPSERT_CTE} SELECT {RETURN_COLUMNS.removeprefix('id, ')} FROM imported",
+        "maintain_tables": _maintained(),
         # --- reports --------------------------------------------------------------------------------
         "dashboard_cards": _both("x AS (SELECT 1)", f"""
             SELECT units AS order_units, revenue, return_records, return_units,
@@ -647,10 +721,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT {RETURN_COLUMNS}, count(*) OVER () AS total FROM r WHERE {SEARCH}
             ORDER BY return_date DESC NULLS LAST, id LIMIT 50 OFFSET 50)"""),
         "filter_options": _both(FACETS_CTE, "SELECT * FROM facets"),
-        "returns_audit": _r("""SELECT 'total' AS item, count(*) AS records FROM r
-            UNION ALL SELECT 'with_order_id', count(*) FROM r WHERE order_id <> ''
-            UNION ALL SELECT 'no_order_id', count(*) FROM r WHERE coalesce(order_id, '') = ''
-            UNION ALL SELECT return_y, count(*) FROM r WHERE return_date <> '' GROUP BY return_y"""),
+        "returns_audit": _r("""SELECT 'totals' AS part, 'total' AS item, count(*) AS records, NULL AS detail FROM r
+            UNION ALL SELECT 'totals', 'with_order_id', count(*), NULL FROM r WHERE order_id <> ''
+            UNION ALL SELECT 'totals', 'no_order_id', count(*), NULL FROM r WHERE coalesce(order_id, '') = ''
+            UNION ALL SELECT 'dates', 'earliest', NULL, min(return_date) FROM r WHERE return_date <> ''
+            UNION ALL SELECT 'dates', 'latest', NULL, max(return_date) FROM r WHERE return_date <> ''
+            UNION ALL SELECT 'years', return_y, count(*), NULL FROM r WHERE return_date <> '' GROUP BY return_y
+            UNION ALL (SELECT 'samples', 'no_order_id', NULL, concat_ws('|', coalesce(order_id, ''), asin, return_date,
+              reason, coalesce(disposition, '')) FROM r WHERE order_id = '' OR order_id IS NULL ORDER BY id LIMIT 3)
+            UNION ALL (SELECT 'samples', 'with_order_id', NULL, concat_ws('|', order_id, asin, return_date, reason,
+              coalesce(disposition, '')) FROM r WHERE order_id <> '' ORDER BY id LIMIT 3)"""),
         "rate_series": _both(MONTHLY_CTE, f"""SELECT month,
             coalesce(strftime(CAST(month || '-01' AS DATE), '%b ''%y'), '') AS label, order_units, return_units,
             {pct('return_units', 'order_units', 2, '0')} AS return_rate

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +13,24 @@ from pyspark.sql import functions as F
 from backhaul import functions as fn
 from backhaul import operators as op
 from backhaul import plans, schema
+from backhaul.operators.attribution import ORDER_ID, lines_per_order, total_units, units_per_order
 from backhaul.session import apply_runtime, scratch_root
-from backhaul.sources import SnapshotTable, upload_history
-from backhaul.sources import star
+from backhaul.sources import Sheet, SnapshotTable, star, upload_history
 from backhaul.sources.log import append_log, log_entries
+from backhaul.sources.payload import read_returns_payload
+from backhaul.streaming import stream_ingest as stream_folder
 from backhaul.streaming import stream_rows
 
 AS_OF = star.AS_OF
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 SEARCH = {"search": "GEAR"}
-FILTER = {"search": "GEAR", "reason": "DEFECTIVE", "disposition": "SELLABLE"}
+SEARCHES = [
+    {"search": "GEAR", "reason": "DEFECTIVE", "disposition": "SELLABLE"},
+    {"brand": "Brand#2"},
+    {"month": "March 1999"},
+    {"search": "GEAR", "brand": "Brand#2", "reason": "NOT_AS_DESCRIBED"},
+    {"search": "a", "brand": "Brand#2", "month": "March 1999", "reason": "DEFECTIVE", "disposition": "SELLABLE"},
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -81,6 +90,9 @@ def _number_cells(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("-"),
         F.lit("."),
         F.concat(F.lit("USD "), supplier),
+        F.lit("0.5"),
+        F.concat(line, F.lit(".5")),
+        F.concat(F.lit("-"), line, F.lit(".25")),
     ]
     return _cells(spark, folder, shapes)
 
@@ -123,13 +135,13 @@ def ingest_returns(spark, folder):
 
 @register
 def import_orders(spark, folder):
-    first, second = star.order_batches(spark, folder, with_part=False)
+    first, second = star.order_batches(spark, folder)
     return op.ingest_actions(op.first_by_hash(first, ["id"]), second, "id")
 
 
 def _stored_returns(spark, folder) -> tuple[DataFrame, DataFrame]:
     """The returns table after the first batch, and the second batch."""
-    first, second = star.return_batches(spark, folder, with_part=False)
+    first, second = star.return_batches(spark, folder)
     return op.upsert_disposition(first.filter(F.lit(False)), first, "id"), second
 
 
@@ -256,12 +268,20 @@ def derive_return_year(spark, folder):
 
 @register
 def default_quantity(spark, folder):
+    """The defaults as functions, and what loading a sheet makes of the same cells."""
     number = fn.parse_num("cell")
-    return _number_cells(spark, folder).select(
+    cells = _number_cells(spark, folder).select(
         *LINE_KEY,
         fn.order_quantity(number).cast("double").alias("of_order"),
         fn.return_quantity(number).cast("double").alias("of_return"),
+        "cell",
     )
+    carried = [*LINE_KEY, "of_order", "of_return"]
+    sold = Sheet.of(cells.withColumn("quantity", F.col("cell")), [*carried, "cell"])
+    sold = op.normalize_orders(sold).withColumnRenamed("quantity", "order_units")
+    back = sold.select(*carried, "order_units", F.col("cell").alias("Quantity"))
+    back = op.normalize_returns(Sheet.of(back, [*carried, "order_units"]))
+    return back.select(*carried, "order_units", F.col("quantity").alias("return_units"))
 
 
 @register
@@ -374,14 +394,22 @@ def unsellable_filter(spark, folder):
     return kept.select("id", "disposition")
 
 
+def _in_parts(found: Callable[[dict[str, str]], DataFrame]) -> DataFrame:
+    parts = [found(c).select(F.lit(i).alias("part"), "*") for i, c in enumerate(SEARCHES)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register
 def search_returns(spark, folder):
-    return op.search_returns(star.return_records(spark, folder), **FILTER)
+    """Every constraint alone or with others."""
+    rows = star.return_records(spark, folder)
+    return _in_parts(lambda constraints: op.search_returns(rows, **constraints))
 
 
 @register
 def filtered_count(spark, folder):
-    return op.filtered_count(star.return_records(spark, folder), **FILTER)
+    rows = star.return_records(spark, folder)
+    return _in_parts(lambda constraints: op.filtered_count(rows, **constraints))
 
 
 @register
@@ -411,8 +439,6 @@ def cleanup_empty_disposition(spark, folder):
 
 @register
 def returns_by_purchase_month(spark, folder):
-    from backhaul.operators.attribution import ORDER_ID, lines_per_order, units_per_order
-
     back, sold = returns(spark, folder), orders(spark, folder)
     units = units_per_order(
         back, {"units": F.col("quantity"), "records": F.lit(1)}, keys=["disposition"]
@@ -420,11 +446,11 @@ def returns_by_purchase_month(spark, folder):
     lines = lines_per_order(
         sold.withColumnRenamed("purchase_ym", "month"), {"lines": F.lit(1)}, keys=["month"]
     )
-    joined = units.join(lines, ORDER_ID).groupBy("month", "disposition")
-    return joined.agg(
-        F.sum(F.col("units") * F.col("lines")).alias("units"),
-        F.sum(F.col("records") * F.col("lines")).alias("matches"),
+    sums = units.join(lines, ORDER_ID).groupBy("month", "disposition").agg(
+        total_units(F.col("units"), F.col("lines")).alias("units"),
+        total_units(F.col("records"), F.col("lines")).alias("matches"),
     )
+    return as_double(sums, "units", "matches")
 
 
 @register
@@ -444,7 +470,7 @@ def monthly_orders(spark, folder):
 
 @register
 def monthly_returns(spark, folder):
-    return plans.monthly_returns(orders(spark, folder), returns(spark, folder))
+    return as_double(plans.monthly_returns(orders(spark, folder), returns(spark, folder)), "return_units")
 
 
 @register
@@ -505,8 +531,8 @@ def maintenance_counts(spark, folder):
 @register
 def ingest_counts(spark, folder):
     """Counts per dataset, load and action of two order loads and two return imports."""
-    o1, o2 = star.order_batches(spark, folder, with_part=False)
-    r1, r2 = star.return_batches(spark, folder, with_part=False)
+    o1, o2 = star.order_batches(spark, folder)
+    r1, r2 = star.return_batches(spark, folder)
     no_orders, no_returns = o1.filter(F.lit(False)), r1.filter(F.lit(False))
 
     def load(stored, batch, n):
@@ -572,7 +598,7 @@ def blank_state(spark, folder):
 
 @register
 def recent_months(spark, folder):
-    return plans.recent_months(monthly_summary(spark, folder)).select("month", "order_units", "return_units")
+    return as_double(plans.recent_months(monthly_summary(spark, folder)).select("month", "order_units", "return_units"), "return_units")
 
 
 # --- sorts and limits -----------------------------------------------------------------------------
@@ -585,8 +611,7 @@ def returns_page(spark, folder):
 
 @register
 def returns_page_deep(spark, folder):
-    """A page far down, found by skipping counted groups instead of sorting up to it."""
-    return op.returns_page(star.return_records(spark, folder), page=31, deep=500)
+    return op.returns_page(star.return_records(spark, folder), page=31)
 
 
 @register
@@ -602,7 +627,7 @@ def diagnostic_samples(spark, folder):
 @register
 def unsellable_rank(spark, folder):
     ranked = plans.period_dispositions(orders(spark, folder), returns(spark, folder), AS_OF)
-    return ranked.filter(F.col("months") == 12).select("disposition", "units")
+    return as_double(ranked.filter(F.col("months") == 12).select("disposition", "units"), "units")
 
 
 # --- sets ---------------------------------------------------------------------------------------------
@@ -625,7 +650,7 @@ def distinct_years(spark, folder):
 
 @register
 def period_disposition_names(spark, folder):
-    return plans.period_disposition_names(orders(spark, folder), returns(spark, folder), AS_OF)
+    return as_double(plans.period_disposition_names(orders(spark, folder), returns(spark, folder), AS_OF), "units")
 
 
 # --- modification --------------------------------------------------------------------------------------
@@ -633,41 +658,146 @@ def period_disposition_names(spark, folder):
 
 @register
 def insert_ignore(spark, folder):
-    first, second = star.order_batches(spark, folder, with_part=False)
-    fresh = op.insert_ignore(second, op.first_by_hash(first, ["id"]), ["id"])
-    return fresh.select("id", "identifier", "row_hash")
+    first, second = star.order_batches(spark, folder)
+    return as_double(op.insert_ignore(second, op.first_by_hash(first, ["id"]), ["id"]), "item_price", "item_tax")
 
 
 @register
 def insert_ignore_batch(spark, folder):
-    first, second = star.order_batches(spark, folder, with_part=False)
+    first, second = star.order_batches(spark, folder)
     stored = op.first_by_hash(first, ["id"])
     table = stored.unionByName(op.insert_ignore(second, stored, ["id"]))
-    return table.select("id", "identifier", "row_hash")
+    return as_double(table, "item_price", "item_tax")
 
 
 @register
 def upsert_disposition(spark, folder):
     stored, batch = _stored_returns(spark, folder)
     table = op.upsert_disposition(stored, batch, "id")
-    return table.select("row_hash", "id", F.coalesce("disposition", F.lit("")).alias("disposition"))
+    return table.withColumn("disposition", F.coalesce("disposition", F.lit("")))
 
 
 @register
 def stream_ingest(spark, folder):
     """All line items as a file stream, made returns and loaded first-wins into a table."""
-    root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    root = _scratch(spark, "stream")
     table = SnapshotTable(spark, f"{root}/returns", schema.RETURNS, "return_ym", ["order_id"])
+    part = spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", "p_name", "p_brand")
     lines = (
         spark.readStream.schema(_lines(spark, folder).schema)
         .parquet(f"{folder}/lineitem.parquet*")  # a glob: the source takes folders or patterns
         .filter(F.col("l_returnflag") == "R")
-        .withColumns({c: F.lit(None).cast("string") for c in ("p_name", "p_brand")})
+        .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     )
     stream_rows(star.return_rows(lines), table, f"{root}/checkpoint", "id").awaitTermination()
-    return table.read().select(
-        "id", "order_id", "asin", "return_date", "reason", "disposition", "quantity", "row_hash"
-    )
+    return table.read()
+
+
+# --- the way of a file: sheet, table, log ----------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def export_sheet(spark: SparkSession, sheet: Sheet, path: str) -> list[str]:
+    """Write a sheet as text under its raw headers, rows in the order of their ids.
+
+    Some headers differ in case only, and some cells begin or end with blanks.
+    """
+    in_order = sheet.rows.orderBy("id").select(*sheet.headers.values())
+    case = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        writer = in_order.toDF(*sheet.headers).write.option("header", True).option("escape", '"')
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", case)
+    return list(sheet.headers)
+
+
+def _without_id(rows: DataFrame) -> DataFrame:
+    """Ids of loaded rows say when they were loaded."""
+    money = [c for c in ("item_price", "item_tax") if c in rows.columns]
+    return as_double(rows.drop("id"), *money)
+
+
+@register
+def load_orders(spark, folder):
+    """The raw orders sheet, written as delimited text and loaded by its headers."""
+    root = _scratch(spark, "load")
+    export_sheet(spark, star.raw_orders(spark, folder), f"{root}/orders.csv")
+    tables = plans.open_tables(spark, f"{root}/tables")
+    plans.load_sheet_file(spark, tables, f"{root}/orders.csv")
+    return _without_id(tables.orders.read())
+
+
+@register
+def load_returns(spark, folder):
+    """The raw returns sheet, loaded twice; the second time adds nothing."""
+    root = _scratch(spark, "load")
+    export_sheet(spark, star.raw_returns(spark, folder), f"{root}/returns.csv")
+    tables = plans.open_tables(spark, f"{root}/tables")
+    for _ in range(2):
+        plans.load_sheet_file(spark, tables, f"{root}/returns.csv")
+    return _without_id(tables.returns.read())
+
+
+def _load_book(spark: SparkSession, folder: str) -> tuple[plans.Tables, str]:
+    """Both raw sheets as a workbook of the two sheets that always load."""
+    root = _scratch(spark, "load")
+    export_sheet(spark, star.raw_orders(spark, folder), f"{root}/orders.csv")
+    export_sheet(spark, star.raw_returns(spark, folder), f"{root}/returns.csv")
+    tables = plans.open_tables(spark, f"{root}/tables")
+    sheets = {schema.ORDERS_SHEET: f"{root}/orders.csv", schema.RETURNS_SHEET: f"{root}/returns.csv"}
+    plans.load_workbook(spark, tables, sheets, filename="book")
+    return tables, root
+
+
+@register
+def load_log(spark, folder):
+    """The log of a workbook, and of its returns sheet sent again twice."""
+    tables, root = _load_book(spark, folder)
+    for _ in range(2):
+        plans.load_sheet_file(spark, tables, f"{root}/returns.csv")
+    return upload_history(tables.log.read()).select("filename", "type", "rows_added", "rows_skipped")
+
+
+@register
+def load_payload(spark, folder):
+    """Two returns imports from JSON records, which come without ids."""
+    root = _scratch(spark, "load")
+    tables = plans.open_tables(spark, f"{root}/tables")
+    for n, batch in enumerate(star.return_batches(spark, folder)):
+        records = batch.orderBy("id").withColumnRenamed("return_month", "return_date_parsed")
+        records.select(*schema.RETURNS_PAYLOAD.names).write.json(f"{root}/batch-{n}")
+        plans.load_payload(tables, read_returns_payload(spark, f"{root}/batch-{n}"), "returns")
+    loaded = _without_id(tables.returns.read())
+    return loaded.withColumn("disposition", F.coalesce("disposition", F.lit("")))
+
+
+@register
+def stream_sheets(spark, folder):
+    """The raw returns sheet as files arriving in a folder."""
+    root = _scratch(spark, "load")
+    headers = export_sheet(spark, star.raw_returns(spark, folder), f"{root}/returns.csv")
+    tables = plans.open_tables(spark, f"{root}/tables")
+    stream_folder(spark, f"{root}/returns.csv", headers, tables, f"{root}/checkpoint").awaitTermination()
+    return _without_id(tables.returns.read())
+
+
+@register
+def maintain_tables(spark, folder):
+    """What maintenance removes from loaded tables, one operation after the other."""
+    tables, _ = _load_book(spark, folder)
+    done = []
+    for operation in ("cleanup_bad_orders", "dedup_orders", "cleanup_empty_disposition", "dedup_returns"):
+        counts = plans.maintain(tables, operation)
+        done.append((operation, counts["deleted"], counts["remaining"]))
+    for kind, deleted in tables.truncate().items():
+        if kind != "log":
+            done.append((f"truncate_{kind}", deleted, tables.of(kind).read().count()))
+    return spark.createDataFrame(done, "operation string, deleted bigint, remaining bigint")
 
 
 # --- reports --------------------------------------------------------------------------------------------
@@ -685,17 +815,17 @@ def period_order_units(spark, folder):
 
 @register
 def period_returns(spark, folder):
-    return plans.period_returns(orders(spark, folder), returns(spark, folder), AS_OF)
+    return as_double(plans.period_returns(orders(spark, folder), returns(spark, folder), AS_OF), "returns_total", "sellable", "unsellable")
 
 
 @register
 def period_dispositions(spark, folder):
-    return plans.period_dispositions(orders(spark, folder), returns(spark, folder), AS_OF)
+    return as_double(plans.period_dispositions(orders(spark, folder), returns(spark, folder), AS_OF), "units")
 
 
 @register
 def period_stats(spark, folder):
-    return plans.period_stats(orders(spark, folder), returns(spark, folder), AS_OF)
+    return as_double(plans.period_stats(orders(spark, folder), returns(spark, folder), AS_OF), "returns_total", "sellable", "unsellable")
 
 
 @register
@@ -705,7 +835,7 @@ def period_table(spark, folder):
 
 @register
 def monthly_summary(spark, folder):
-    return plans.monthly_summary(orders(spark, folder), returns(spark, folder))
+    return as_double(plans.monthly_summary(orders(spark, folder), returns(spark, folder)), "return_units")
 
 
 @register
@@ -739,14 +869,34 @@ def filter_options(spark, folder):
 
 @register
 def returns_audit(spark, folder):
+    """All parts of the audit: totals, first and last date, years, samples."""
     audit = plans.returns_audit(returns(spark, folder))
-    items = ("total", "with_order_id", "no_order_id")
-    totals = audit["diagnostic"].select(
-        F.inline(F.array(*[F.struct(F.lit(i).alias("item"), F.col(i).alias("records")) for i in items]))
+    columns = ("part", "item", "records", "detail")
+
+    def part(name: str, df: DataFrame, item: str, records: Column, detail: Column) -> DataFrame:
+        rows = df.select(F.lit(name), F.col(item), records.cast("bigint"), detail.cast("string"))
+        return rows.toDF(*columns)
+
+    def unfolded(df: DataFrame, *names: str) -> DataFrame:
+        pairs = [F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in names]
+        return df.select(F.inline(F.array(*pairs)))
+
+    nothing = F.lit(None)
+    totals = unfolded(audit["diagnostic"], "total", "with_order_id", "no_order_id")
+    dates = unfolded(audit["diagnostic"], "earliest", "latest")
+    sample = ("order_id", "asin", "return_date", "reason", "disposition")
+    shown = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in sample])
+    return reduce(
+        DataFrame.unionAll,
+        [
+            part("totals", totals, "item", F.col("value"), nothing),
+            part("dates", dates, "item", nothing, F.col("value")),
+            part("years", audit["by_year"], "year", F.col("records"), nothing),
+            part("samples", audit["samples"], "sample", nothing, shown),
+        ],
     )
-    return totals.unionAll(audit["by_year"].select(F.col("year").alias("item"), "records"))
 
 
 @register
 def rate_series(spark, folder):
-    return plans.rate_series(monthly_summary(spark, folder))
+    return as_double(plans.rate_series(monthly_summary(spark, folder)), "return_units")
