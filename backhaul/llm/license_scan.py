@@ -25,6 +25,8 @@ table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,18 +57,15 @@ def required(words: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * words - 1e-9))
 
 
-def _phrase_places(words: Column, joined: Column, phrase: str) -> Column:
+def _phrase_places(phrase: str) -> Column:
+    """Places where the words of a phrase stand in column ``words``, which is NULL without any phrase."""
     parts = phrase.split(" ")
 
     def here(i: Column) -> Column:
-        same = [F.get(words, i + k) == part for k, part in enumerate(parts)]
-        found = same[0]
-        for s in same[1:]:
-            found = found & s
-        return F.coalesce(found, F.lit(False))
+        same = [F.get("words", i + k) == part for k, part in enumerate(parts)]
+        return F.coalesce(reduce(and_, same), F.lit(False))
 
-    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
-    return F.when(F.contains(joined, F.lit(f" {phrase} ")), places).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.sequence(F.lit(0), F.size("words") - 1), here)
 
 
 def _comma_joined(labels: Column) -> Column:
@@ -76,7 +75,6 @@ def _comma_joined(labels: Column) -> Column:
 def read_texts(docs: DataFrame, phrases: list[tuple[str, str]], vocabulary: list[str], least: int) -> DataFrame:
     """A narrow row per document: what phrases say, and its blocks' template words."""
     text = F.coalesce(docs["text"], F.lit(""))
-    known = F.array(*[F.lit(w) for w in vocabulary])
     lines = F.transform(
         F.split(text, "\n"), lambda line: F.trim(F.lower(F.regexp_replace(line, BETWEEN_WORDS, " ")))
     )
@@ -85,17 +83,24 @@ def read_texts(docs: DataFrame, phrases: list[tuple[str, str]], vocabulary: list
         "doc_id",
         F.array_join(F.filter("lines", lambda line: line != ""), " ").alias("joined"),
         F.filter(
-            F.transform("lines", lambda line: F.array_intersect(F.split(line, " "), known)),
+            F.transform("lines", lambda line: F.array_distinct(F.filter(F.split(line, " "), lambda w: w.isin(vocabulary)))),
             lambda words: F.size(words) >= least,
         ).alias("blocks"),
     )
-    words = F.split("joined", " ")
+    spaced = F.concat(F.lit(" "), "joined", F.lit(" "))
+    has_phrase = reduce(or_, [F.contains(spaced, F.lit(f" {phrase} ")) for phrase, _ in phrases])
+    spaces = F.octet_length("joined") - F.octet_length(F.replace("joined", F.lit(" "), F.lit("")))
+    # The words are a column of their own: within the search for places they would be split for each place
     read = read.select(
         "doc_id",
-        F.when(F.col("joined") == "", F.lit(0)).otherwise(F.size(words)).cast("long").alias("n_words"),
-        F.array(*[_phrase_places(words, F.concat(F.lit(" "), "joined", F.lit(" ")), p) for p, _ in phrases]).alias("places"),
+        F.when(F.col("joined") == "", F.lit(0)).otherwise(spaces + 1).cast("long").alias("n_words"),
+        F.when(has_phrase, F.split("joined", " ")).alias("words"),
         "blocks",
     )
+    places = F.when(F.col("words").isNull(), F.array(*[F.array().cast("array<int>")] * len(phrases)))
+    read = read.select(
+        "doc_id", "n_words", places.otherwise(F.array(*[_phrase_places(p) for p, _ in phrases])).alias("places"), "blocks"
+    )
     all_places = F.flatten("places")
     labels = [F.when(F.size(F.get("places", F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]
     return read.select(
