@@ -29,8 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, table, written
@@ -75,55 +74,54 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return out
 
 
-def tiles(classes: DataFrame, axes: np.ndarray, n: int, tile: int) -> DataFrame:
-    """Classes along the first axis, in tiles: (tile, nodes, sizes, vectors, low, high)."""
+def tiles(classes: DataFrame, axes: np.ndarray, tile: int) -> DataFrame:
+    """Classes along the first axis, in tiles: (tile, nodes, sizes, vectors, low, high).
+
+    Classes are dealt into ranges of the axis and written in order; the numbers of rows
+    per range, one per task, give every class its position, and ``tile`` positions at a
+    time are a tile.
+    """
     size = len(axes)
     first = F.aggregate(
         F.zip_with("vector", F.array(*[F.lit(float(x)) for x in axes[:, 0]]), lambda v, a: F.coalesce(v, F.lit(0.0)) * F.coalesce(a, F.lit(0.0))),
         F.lit(0.0),
         lambda total, x: total + x,
     ) / F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, v: total + v * v))
-    dealt = classes.withColumn("along", first).repartitionByRange(max(1, -(-n // tile)), "along").sortWithinPartitions("along", "node")
-
-    def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 32, 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            nonlocal made
-            nodes, sizes, vectors = (np.concatenate(x) for x in zip(*rows))
-            turned = unit(vectors) @ axes[:, :RANGES]
-            made += 1
-            values = [[base + made], [nodes.tobytes()], [sizes.tobytes()], [vectors.tobytes()], [turned.min(axis=0).tolist()], [turned.max(axis=0).tolist()]]
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["tile", "nodes", "sizes", "vectors", "low", "high"])
-
-        for batch in frames:
-            for at in range(0, batch.num_rows, tile):
-                part = batch.slice(at, tile)
-                held.append((part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(part.column(2), size)))
-                while sum(len(x[0]) for x in held) >= tile:
-                    whole = [np.concatenate(x) for x in zip(*held)]
-                    yield flush([tuple(x[:tile] for x in whole)])
-                    held = [tuple(x[tile:] for x in whole)] if len(whole[0]) > tile else []
-        if held:
-            yield flush(held)
+    dealt = classes.withColumn("along", first).repartitionByRange("along").sortWithinPartitions("along", "node")
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = written(dealt.select("node", "size", "vector", F.spark_partition_id().alias("range"), row.alias("row")), "ranges")
+    begin, begins = 0, []
+    for part in sorted(dealt.groupBy("range").count().collect()):
+        begins.append((part["range"], begin))
+        begin += part["count"]
+    starts = classes.sparkSession.createDataFrame(begins, "range int, begin long")
+    placed = dealt.join(F.broadcast(starts), "range")  # a row per task
+    placed = placed.select(F.expr(f"(begin + row) div {tile}").alias("tile"), "node", "size", "vector")
+
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        nodes, sizes, vectors = (rows.column(c).chunk(0) for c in ("node", "size", "vector"))
+        matrix = _matrix(vectors, size)
+        turned = unit(matrix) @ axes[:, :RANGES]
+        data = [x.to_numpy().tobytes() for x in (nodes, sizes)]
+        values = [rows.column("tile")[0].as_py(), *data, matrix.tobytes(), turned.min(axis=0).tolist(), turned.max(axis=0).tolist()]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        names = ["tile", "nodes", "sizes", "vectors", "low", "high"]
+        return pa.table({n: pa.array([v], k) for n, v, k in zip(names, values, kinds)})
 
     schema = "tile long, nodes binary, sizes binary, vectors binary, low array<double>, high array<double>"
-    return dealt.select("node", "size", "vector").mapInArrow(work, schema)
+    return placed.groupBy("tile").applyInArrow(work, schema)  # groups of ``tile`` rows
 
 
-def tile_pairs(index: DataFrame, threshold: float) -> DataFrame:
-    """(i, j) of tiles, i <= j, that can hold a pair of the threshold. ``index`` has one narrow row per tile."""
-    total = index.count()
-    numbered = written(index.withColumn("n", F.row_number().over(Window.orderBy("tile")).cast("long")), "tiles")
-    left = numbered.select(F.col("tile").alias("i"), "low", "high", F.explode(F.sequence("n", F.lit(total).cast("long"))).alias("n"))
-    right = numbered.select("n", F.col("tile").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+def tile_pairs(index: DataFrame, last: int, threshold: float) -> DataFrame:
+    """(i, j) of tiles, i <= j <= last, that can hold a pair of the threshold. ``index`` has a narrow row per tile."""
+    left = index.select(F.col("tile").alias("i"), "low", "high", F.explode(F.sequence("tile", F.lit(last).cast("long"))).alias("j"))
+    right = index.select(F.col("tile").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
     # Unit vectors with cosine t are sqrt(2 - 2 t) apart; boxes further apart hold no such pair
     gaps = F.zip_with("low", "high_j", lambda a, b: F.greatest(a - b, F.lit(0.0)))
     back = F.zip_with("low_j", "high", lambda a, b: F.greatest(a - b, F.lit(0.0)))
     apart = F.aggregate(F.zip_with(gaps, back, lambda a, b: a * a + b * b), F.lit(0.0), lambda total, x: total + x)
-    return left.join(right, "n").where(apart <= 2 - 2 * threshold + SLACK).select("i", "j")
+    return left.join(right, "j").where(apart <= 2 - 2 * threshold + SLACK).select("i", "j")
 
 
 def compare_tiles(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -223,8 +221,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         return alone.withColumn("kept", F.lit(True))
     values, axes = np.linalg.eigh(second_moments(classes, size))
     axes = np.ascontiguousarray(axes[:, ::-1])
-    stored = written(tiles(classes, axes, n, tile), "tiles")
-    pairs = tile_pairs(stored.select("tile", "low", "high"), threshold)
+    stored = written(tiles(classes, axes, tile), "tiles")
+    pairs = tile_pairs(stored.select("tile", "low", "high"), (n - 1) // tile, threshold)
     parts = [
         stored.select(F.col("tile").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("nodes", "sizes", "vectors")])
         for k in "ij"
