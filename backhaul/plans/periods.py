@@ -88,11 +88,12 @@ def _returned(
 ) -> DataFrame:
     """Units and matches per disposition and period, one row per disposition.
 
-    The twelve ranked months are broadcast onto the orders, where they also prune
-    month partitions. Each order id then carries its line counts of all periods.
+    The twelve ranked months prune month folders, and are broadcast onto the orders. Each order id then carries its line counts of all periods.
     """
     ranks = F.broadcast(months.select("purchase_ym", RANK))
-    inside = orders.select("amazon_order_id", "purchase_ym").join(ranks, "purchase_ym")
+    names = [r["purchase_ym"] for r in months.select("purchase_ym").collect()]  # literals by now
+    inside = orders.select("amazon_order_id", "purchase_ym").filter(F.col("purchase_ym").isin(names))
+    inside = inside.join(ranks, "purchase_ym")
     lines = lines_per_order(
         inside,
         {f"lines_{n}": (F.col(RANK) <= n).cast("bigint") for n in schema.PERIODS.values()},

@@ -48,7 +48,7 @@ def test_loading_again_adds_nothing(spark, tmp_path, tables):
 
 def test_first_row_of_a_hash_wins(spark, tmp_path, tables):
     path = write(tmp_path / "a.csv", [order(1), order(1).replace("Shipped", "Cancelled")])
-    plans.load_sheet_file(spark, tables, path, multiline=False)
+    plans.load_sheet_file(spark, tables, path, multiline=True)
     assert [r["order_status"] for r in tables.orders.read().collect()] == ["Shipped"]
 
 
@@ -181,3 +181,69 @@ def test_staged_copies_are_removed(spark, tmp_path, tables):
 
     plans.load_sheet_file(spark, tables, write(tmp_path / "a.csv", [order(1)]))
     assert not [n for n in list_files(spark, scratch_root(spark)) if n.startswith("staged-")]
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def returns_body(spark, path, rows):
+    lines = [{"row_hash": h, "disposition": d, "return_date": date, "quantity": 1} for h, d, date in rows]
+    path.write_text("\n".join(json.dumps(x) for x in lines))
+    return read_returns_payload(spark, str(path))
+
+
+def test_a_load_that_died_is_not_read(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), schema.UPLOAD_LOG)
+    row = spark.createDataFrame([("1", "f", "h", "orders", 1, 0, "me", None)], schema.UPLOAD_LOG)
+    table.replace(row)
+    table.append(row)
+    (tmp_path / "t" / "snapshot-00000001" / "load=2" / "_SUCCESS").unlink()
+    assert table.read().count() == 1
+    table.append(row)  # a new folder, beside the one that died
+    assert table.read().count() == 2
+
+
+def test_an_import_that_fills_nothing_writes_nothing(spark, tmp_path, tables):
+    rows = [("a", "", "2024-01-05"), ("b", "X", "2024-02-05")]
+    plans.load_payload(tables, returns_body(spark, tmp_path / "1.json", rows), "returns")
+    before = files_of(tmp_path / "tables")
+    again = plans.load_payload(tables, returns_body(spark, tmp_path / "2.json", rows), "returns")
+    assert again == {"added": 0, "updated": 1, "skipped": 1}
+    assert files_of(tmp_path / "tables") == before
+
+
+def test_one_fill_rewrites_one_month(spark, tmp_path, tables):
+    rows = [(f"h{i}", "" if i % 2 else "X", f"2024-0{1 + i % 5}-05") for i in range(20)] + [("odd", "", "5/1/2024")]
+    plans.load_payload(tables, returns_body(spark, tmp_path / "1.json", rows), "returns")
+    before = files_of(tmp_path / "tables")
+    counts = plans.load_payload(tables, returns_body(spark, tmp_path / "2.json", [("h1", "NEW", "2024-02-05")]), "returns")
+    assert counts == {"added": 0, "updated": 1, "skipped": 0}
+    after = files_of(tmp_path / "tables")
+    changed = {k.split("/")[-2] for k in before.keys() ^ after.keys()}
+    assert changed == {"return_ym=2024-02"}
+    stored = {r["row_hash"]: r["disposition"] or "" for r in tables.returns.read().collect()}
+    assert stored == {h: d for h, d, _ in rows} | {"h1": "NEW"}
+
+
+def test_maintenance_touches_months_with_a_removed_row_only(spark, tmp_path, tables):
+    rows = [order(i, f"2024-0{1 + i % 3}-05") for i in range(9)]
+    plans.load_sheet_file(spark, tables, write(tmp_path / "a.csv", rows))
+    plans.load_sheet_file(spark, tables, write(tmp_path / "b.csv", ["again" + order(4, "2024-02-05"), ",,,,,s,a9,1,5"]))
+    before = files_of(tmp_path / "tables" / "orders")
+    assert plans.maintain(tables, "dedup_orders") == {"deleted": 1, "remaining": 10}
+    after = files_of(tmp_path / "tables" / "orders")
+    # the second load's February held nothing else, so its folder is gone
+    assert {k.split("/", 1)[1].rsplit("/", 1)[0] for k in before.keys() ^ after.keys()} == {"load=2/purchase_ym=2024-02"}
+    assert plans.maintain(tables, "cleanup_bad_orders") == {"deleted": 1, "remaining": 9}
+    assert plans.maintain(tables, "cleanup_bad_orders") == {"deleted": 0, "remaining": 9}
+    assert {r["identifier"] for r in tables.orders.read().collect()} == {f"id{i}" for i in range(9)}
+
+
+def test_files_of_a_load_follow_their_path(spark, tmp_path, tables):
+    (tmp_path / "parts").mkdir()
+    for n in ("10", "2", "1"):
+        write(tmp_path / "parts" / f"{n}.csv", [order(f"{n}-{i}") for i in range(3)])
+    plans.load_sheet_file(spark, tables, str(tmp_path / "parts"))
+    found = [r["identifier"] for r in tables.orders.read().orderBy("id").collect()]
+    assert found == [f"id{n}-{i}" for n in ("1", "10", "2") for i in range(3)]

@@ -1,7 +1,7 @@
 import pytest
 
 from backhaul import operators as op
-from backhaul.sources import detect_kind, file_md5, read_sheet, read_workbook, route
+from backhaul.sources import detect_kind, file_md5, fingerprint, read_sheet, read_workbook, route
 from backhaul.sources.sheets import Sheet, trim_headers
 
 RETURNS_CSV = '''Return Date2 , Reason,reason,Order ID,ASIN,Quantity,Detailed-disposition,Customer-comments
@@ -20,7 +20,7 @@ def returns_file(tmp_path):
 
 
 def test_headers_may_differ_in_case_only(spark, returns_file):
-    rows = {r["order_id"]: r for r in op.normalize_returns(read_sheet(spark, returns_file)).collect()}
+    rows = {r["order_id"]: r for r in op.normalize_returns(read_sheet(spark, returns_file, multiline=True)).collect()}
     assert rows["o1"]["reason"] == "TOO_SMALL"  # Reason is empty, reason is filled
     assert rows["o2"]["reason"] == "DEFECTIVE"  # Reason comes first
     assert rows["o1"]["customer_comments"] == 'said "no",\ntwice'
@@ -111,6 +111,29 @@ def test_read_workbook_detects_the_kind(spark, returns_file):
 def test_file_md5(spark, returns_file):
     import hashlib
 
-    row = file_md5(spark, returns_file).first()
-    assert row["filename"] == "returns.csv"
-    assert row["file_hash"] == hashlib.md5(RETURNS_CSV.encode()).hexdigest()
+    assert file_md5(spark, returns_file) == hashlib.md5(RETURNS_CSV.encode()).hexdigest()
+    assert fingerprint(spark, returns_file) == file_md5(spark, returns_file)
+
+
+def test_fingerprint_of_a_folder(spark, tmp_path):
+    for n in ("a", "b"):
+        (tmp_path / n).mkdir()
+        (tmp_path / n / "1.csv").write_text("x\ny\n")
+        (tmp_path / n / "2.csv").write_text("x\n")
+    same = fingerprint(spark, str(tmp_path / "a"))
+    assert same == fingerprint(spark, str(tmp_path / "b"))
+    (tmp_path / "b" / "2.csv").write_text("x\nx\n")
+    assert same != fingerprint(spark, str(tmp_path / "b"))
+
+
+def test_file_md5_beyond_two_gigabytes(spark, tmp_path):
+    import hashlib
+
+    path = tmp_path / "large"
+    with path.open("wb") as file:  # a hole, which takes no space
+        file.truncate((1 << 31) + 5)
+    expected = hashlib.md5()
+    for _ in range(1 << 7):
+        expected.update(bytes(1 << 24))
+    expected.update(bytes(5))
+    assert file_md5(spark, str(path)) == expected.hexdigest()
