@@ -2,10 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's documents. All but the last return the columns
-of ``documents``. Null and blank texts have no language and go in the first stage;
-repeated rows (same id, same text) are one document and share every verdict; a document
-with a null id is never dropped as a copy's or near copy's double of another id; empty
-input gives empty output; further columns come along, whatever their names.
+of ``documents``. Null and blank texts have no language and go in the first stage. Rows that
+share an id are one document and share every verdict; documents without an id are no
+copies of others and stay. Empty input gives empty output; further columns come along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from backhaul.llm.common import written
 from backhaul.llm.exact_dedup import exact_duplicates
 from backhaul.llm.language import UNKNOWN, identify
 from backhaul.llm.packing import pack
@@ -30,13 +31,19 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
-    return exact_duplicates(docs, carry=docs.columns).where("kept").select("row.*")
+    return _without(docs, exact_duplicates(docs).where("NOT kept"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their fingerprints, the one with the smallest id stays."""
-    gone = simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, simhash_groups(docs).where("doc_id <> component_id"))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less those ids. The list is written first: Spark then knows its size, and
+    moves no text where it is small enough to broadcast."""
+    ids = written(gone.select("doc_id").distinct(), "gone")
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
