@@ -6,6 +6,7 @@ import base64
 import functools
 import json
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import tiktoken
@@ -39,9 +40,6 @@ class ByteBpe:
                 ranks = {base64.b64decode(word): int(i) for word, i in map(bytes.split, lines)}
             self.special = []
         else:
-            library = Tokenizer.from_file(path)
-            library.no_truncation()
-            library.no_padding()
             with open(path) as file:
                 spec = json.load(file)
             letters = byte_letters()
@@ -52,12 +50,21 @@ class ByteBpe:
                 raise ValueError("ids have to follow the order of the merges")
             self.special = [t["content"] for t in spec["added_tokens"]]
         self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        if path.endswith(".tiktoken"):
-            self.whole = self.words.encode_ordinary
-        else:
-            self.whole = lambda text: library.encode(text, add_special_tokens=False).ids
+        self.path = path
         self._empty()
 
+    @functools.cached_property
+    def _library(self) -> Tokenizer:
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
+    def _whole(self, text: str) -> list[int]:
+        if self.path.endswith(".tiktoken"):
+            return self.words.encode_ordinary(text)
+        return self._library.encode(text, add_special_tokens=False).ids
+
     def _empty(self) -> None:
         self.slot: dict[str, int] = {}
         self.ids, self.starts, self.counts = array("I"), array("q"), array("q")
@@ -78,37 +85,40 @@ class ByteBpe:
     def _odd(self, text: str) -> bool:
         return any(s in text for s in self.special) or has_unknown(text)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds): text t has ids[bounds[t]:bounds[t + 1]]."""
-        all_ids, sizes = [], []
+    def _parts(self, texts: list[str]) -> Iterator[tuple[int, dict[int, list[int]], np.ndarray, np.ndarray]]:
+        """By batches: number of texts, ids of odd texts, slots of all pieces, bounds of the texts' pieces."""
         for part in batches(texts):
             found = texts[part]
-            odd = {i: self.whole(t) for i, t in enumerate(found) if self._odd(t)}
+            odd = {i: self._whole(t) for i, t in enumerate(found) if self._odd(t)}
             pieces = split(["" if i in odd else t for i, t in enumerate(found)], spaces_join=True)
-            slots = self._slots(pieces.words)[pieces.index]
-            counts = np.frombuffer(self.counts, np.int64)[slots] if len(slots) else np.zeros(0, np.int64)
+            slots = self._slots(pieces.words)
+            yield len(found), odd, slots[pieces.index] if len(slots) else slots, pieces.bounds
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): text t has ids[bounds[t]:bounds[t + 1]]."""
+        each = []
+        for n, odd, slots, bounds in self._parts(texts):
+            counts = np.frombuffer(self.counts, np.int64)[slots]
             upto = np.concatenate([[0], np.cumsum(counts)])
-            if len(slots):
-                begin = np.frombuffer(self.starts, np.int64)[slots] - upto[:-1]
-                ids = np.frombuffer(self.ids, np.uint32)[np.repeat(begin, counts) + np.arange(upto[-1])]
-            else:
-                ids = np.zeros(0, np.uint32)
-            bounds = upto[pieces.bounds]
-            if odd:
-                own = [ids[bounds[i] : bounds[i + 1]] for i in range(len(found))]
-                for i, whole in odd.items():
-                    own[i] = np.array(whole, np.uint32)
-                ids, sizes_here = np.concatenate(own), np.array([len(x) for x in own])
-            else:
-                sizes_here = np.diff(bounds)
-            all_ids.append(ids)
-            sizes.append(sizes_here)
-        if not all_ids:
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        return np.concatenate(all_ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            begin = np.frombuffer(self.starts, np.int64)[slots] - upto[:-1]
+            ids = np.frombuffer(self.ids, np.uint32)[np.repeat(begin, counts) + np.arange(upto[-1])]
+            own = [ids[a:b] for a, b in zip(upto[bounds[:-1]], upto[bounds[1:]])]
+            for i, whole in odd.items():
+                own[i] = np.array(whole, np.uint32)
+            each += own
+        bounds = np.cumsum([0, *map(len, each)])
+        return np.concatenate([np.zeros(0, np.uint32), *each]), bounds
 
     def count(self, texts: list[str]) -> np.ndarray:
-        return np.diff(self.encode(texts)[1])
+        """Number of ids of each text, without making them."""
+        each = []
+        for _, odd, slots, bounds in self._parts(texts):
+            upto = np.concatenate([[0], np.cumsum(np.frombuffer(self.counts, np.int64)[slots])])
+            own = np.diff(upto[bounds])
+            for i, whole in odd.items():
+                own[i] = len(whole)
+            each.append(own)
+        return np.concatenate([np.zeros(0, np.int64), *each])
 
 
 @functools.cache
