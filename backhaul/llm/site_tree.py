@@ -73,8 +73,10 @@ NO_CONTENT_WORDS = set(
     "navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget related share sharing social "
     "footer masthead header cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
     "subscribe subscription signup login comment comments commentlist disqus reply replies respond skip contentinfo "
-    "complementary search".split()
+    "complementary search alert toolbar topbar sidenav disclaimer feedback discussion".split()
 )
+BEGINNINGS = ("comments", "cookie", "advert", "sidebar", "sponsor", "breadcrumb", "newsletter")
+WITHOUT = {"has", "with", "no", "without"}  # "has-sidebar" is about what stands beside
 
 _TAG = re.compile(
     r"""<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|[a-zA-Z/][^>]*+>)""",
@@ -82,7 +84,7 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 @functools.lru_cache(10_000)
@@ -95,11 +97,15 @@ def _presentation(tag: str, attributes: str) -> tuple[str, bool, bool]:
     marks = [f".{m}" for m in sorted(set(found.get("class", "").split()))]
     if name := "_".join(found.get("id", "").split()):
         marks.append(f"#{name}")
-    words = set(_WORD.findall(" ".join([found.get("class", ""), found.get("id", ""), found.get("role", "")]).lower()))
+    named = False
+    for mark in " ".join([found.get("class", ""), found.get("id", ""), found.get("role", "")]).split():
+        words = [w.lower() for w in _WORD.findall(mark)]
+        for before, word in zip(["", *words], words):
+            named |= before not in WITHOUT and (word in NO_CONTENT_WORDS or word.startswith(BEGINNINGS))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    furniture = tag in NO_CONTENT or bool(words & NO_CONTENT_WORDS) or hidden
-    if tag in ("html", "body"):  # their classes describe the page
-        furniture = False
+    if tag in ("html", "body", "main"):  # their classes describe the page
+        named = False
+    furniture = tag in NO_CONTENT or named or hidden
     return tag + "".join(marks), bool(marks), furniture
 
 

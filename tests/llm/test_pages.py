@@ -79,6 +79,8 @@ def test_article_without_furniture():
         ("plain", "plain"),
         ("<p>a</p><div class='sidebar'>b</div>c", "a\nc"),
         ("<main><p>x</p></main><p>y</p>", "x"),
+        ("<div class='has-sidebar'><p>x</p><div id=siteFooter>y</div><div class='adBanner'>z</div></div>", "x"),
+        ("<main class='with-header header'><p class=gradient>x</p><p class=commentsList>y</p></main>", "x"),
         ("<p>cut <b", "cut <b"),
         ("</p></div><p>a</p></p>b", "a\nb"),
         ("<script>never closed <p>a</p>", ""),
