@@ -8,6 +8,9 @@ after that (earliest dates as text, joins, sorts) is small.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ from ..functions import (
     year_text,
 )
 from ..operators.attribution import attribute_returns
+from ..sources.staging import staged
 
 
 def _status(name: str) -> Column:
@@ -274,22 +278,21 @@ def breakdowns(returns: DataFrame) -> DataFrame:
     return counts.filter(~is_brand).unionAll(top).orderBy("dimension", F.desc("records"), "value")
 
 
-def summary(orders: DataFrame, returns: DataFrame, cache_daily: bool = True) -> dict[str, DataFrame]:
-    """Every part of the summary page, by name.
+@contextmanager
+def summary(orders: DataFrame, returns: DataFrame) -> Iterator[dict[str, DataFrame]]:
+    """Every part of the summary page, by name, to be read within the block.
 
-    Months and weeks share the daily rollup; cached (a few rows per day), the order
-    table is scanned once for both.
+    Months and weeks share the daily rollup: it is written (a few rows per day), so the
+    order table is scanned once for both, and goes when the block ends.
     """
-    daily = daily_orders(orders)
-    if cache_daily:
-        daily = daily.persist()
-    return {
-        "order_stats": order_stats(orders),
-        "return_stats": return_stats(returns),
-        "monthly": monthly_summary(orders, returns, daily=daily),
-        "weekly": weekly_summary(orders, returns, daily=daily),
-        "by_reason": returns_by_reason(returns),
-        "by_disposition": returns_by_disposition(returns),
-        "by_brand": returns_by_brand(returns),
-        "by_gender": returns_by_gender(returns),
-    }
+    with staged(daily_orders(orders)) as daily:
+        yield {
+            "order_stats": order_stats(orders),
+            "return_stats": return_stats(returns),
+            "monthly": monthly_summary(orders, returns, daily=daily),
+            "weekly": weekly_summary(orders, returns, daily=daily),
+            "by_reason": returns_by_reason(returns),
+            "by_disposition": returns_by_disposition(returns),
+            "by_brand": returns_by_brand(returns),
+            "by_gender": returns_by_gender(returns),
+        }

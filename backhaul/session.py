@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Runtime settings every plan here relies on. AQE sizes the shuffles, turns a
@@ -64,6 +69,12 @@ def scratch_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    import tempfile
+    return _local_scratch(spark.sparkContext.applicationId)
+
 
-    return tempfile.mkdtemp(prefix="backhaul-")
+@functools.cache
+def _local_scratch(application: str) -> str:
+    """One folder per application, which goes when this process ends."""
+    folder = tempfile.mkdtemp(prefix="backhaul-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from backhaul import plans, schema
-from backhaul.sources import star
+from backhaul.session import scratch_root
+from backhaul.sources import list_files, star
 
 
 @pytest.fixture(scope="module")
@@ -91,15 +92,20 @@ def test_money_sums_are_null_only_without_any_price(spark):
     assert row["revenue"] is None and row["order_units"] == 1
 
 
-def test_summary_has_every_part(orders, returns):
-    parts = plans.summary(orders, returns)
-    assert set(parts) == {
-        "order_stats", "return_stats", "monthly", "weekly",
-        "by_reason", "by_disposition", "by_brand", "by_gender",
-    }
-    whole = parts["monthly"].agg(F.sum("order_units")).first()[0]
-    assert whole == plans.monthly_orders(orders).agg(F.sum("order_units")).first()[0]
-    assert parts["by_brand"].count() <= schema.TOP_BRANDS
+def test_summary_has_every_part(spark, orders, returns):
+    def copies():
+        return [n for n in list_files(spark, scratch_root(spark)) if n.startswith("staged-")]
+
+    with plans.summary(orders, returns) as parts:
+        assert set(parts) == {
+            "order_stats", "return_stats", "monthly", "weekly",
+            "by_reason", "by_disposition", "by_brand", "by_gender",
+        }
+        whole = parts["monthly"].agg(F.sum("order_units")).first()[0]
+        assert whole == plans.monthly_orders(orders).agg(F.sum("order_units")).first()[0]
+        assert parts["by_brand"].count() <= schema.TOP_BRANDS
+        assert len(copies()) == 1
+    assert copies() == []
 
 
 def test_weekly_year_filter(orders, returns):
