@@ -38,10 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from .byte_bpe import byte_letters
-from .common import table
+from .common import small_batches, table
 from .words import Pieces, batches, has_unknown, split
 
-MAX_WORDS = 3 << 18
+MAX_WORDS = 3 << 17
 MAX_ARCS = 1 << 21
 START = 0
 
@@ -289,7 +289,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, schema)
+    return small_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(work, schema)
 
 
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

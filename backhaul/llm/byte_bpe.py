@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from .words import batches, has_unknown, split
 
-MAX_WORDS = 1 << 19
+MAX_WORDS = 1 << 18
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 

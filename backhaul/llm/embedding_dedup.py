@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, table, written
+from .common import connected_components, small_batches, table, written
 
 THRESHOLD = 0.95
 TILE = 4096
@@ -201,7 +201,7 @@ def links(pairs: DataFrame, axes: np.ndarray, threshold: float) -> DataFrame:
                 number = [None] * len(edges) + total.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (first, second, number)], ["a", "b", "n"])
 
-    return pairs.mapInArrow(work, "a long, b long, n long")
+    return small_batches(pairs).mapInArrow(work, "a long, b long, n long")
 
 
 def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:

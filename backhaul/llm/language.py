@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .words import LETTER, kinds
 
 PER_LANGUAGE = 250
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     more = [F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out, *more)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(work, f"{schema}, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(work, f"{schema}, lang_pred string, score double")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import byte_bpe
-from .common import table
+from .common import small_batches, table
 
 CAPACITY = 1024
 BLOCK = 4096
@@ -142,7 +142,7 @@ def pack(
             yield flush()
 
     schema = SCHEMA + (", ids array<long>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(work, schema)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import connected_components, table, written
+from .common import connected_components, small_batches, table, written
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             bits = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), bits], ["doc_id", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, "doc_id long, fp long")
+    return small_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(work, "doc_id long, fp long")
 
 
 def linked(fps: DataFrame, max_bits: int = MAX_BITS, long_list: int = LONG_LIST) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, written
 from .url_filter import host_of
 
 DECAY = 0.9
@@ -264,7 +264,7 @@ def site_trees(pages: DataFrame) -> DataFrame:
             names = ["host", "path", "is_text", "value", "pages"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    counted = pages.select("host", "html").mapInArrow(
+    counted = small_batches(pages.select("host", "html")).mapInArrow(
         work, "host string, path string, is_text boolean, value long, pages long"
     )
     values = counted.groupBy("host", "path", "is_text", "value").agg(F.sum("pages").alias("c"))
@@ -321,7 +321,7 @@ def extract(pages: DataFrame, least: float = LEAST, few_pages: int = FEW_PAGES)
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     judged = hosted.join(low, "host", "left").select("page_id", "url", "html", "unimportant")
-    return judged.mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    return small_batches(judged).mapInArrow(work, "page_id long, url string, text string, n_chars long")
 
 
 def op2_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

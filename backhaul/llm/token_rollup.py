@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_root
 from ..sources.files import exists, list_files
 from .byte_bpe import byte_bpe
-from .common import table, written
+from .common import small_batches, table, written
 
 KEYS = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, tokenizer string, source string, lang string, documents long, tokens long"
@@ -50,7 +50,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, carry: list[str]) -> DataFrame
 
     rows = docs.select("text", *carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(work, f"{schema}, n_tokens long")
+    return small_batches(rows).mapInArrow(work, f"{schema}, n_tokens long")
 
 
 class TokenRollup:
