@@ -10,11 +10,13 @@ element of the tree, with m pages that have it:
 * a branch: the mean of what its elements have, weighted by pages and by ``DECAY`` for
   every level further down.
 
-A branch is removed if it and all within it are below ``LEAST``, and ``FEW_PAGES`` or
-more pages show it. Some presentation says by itself that a branch is no content, whatever varies in it: elements
-and class names for menus, headers, footers, sidebars, notices, adverts, forms, comments.
-Other presentation says the opposite: ``article`` and ``main``, and plain paragraphs,
-headings, lists and tables in them, whose repeats are copied articles, not furniture.
+All elements of the page are counted. Importance is smoothed for few pages: the less often
+a branch was seen, the more counts how rare it is on its host. It is then weighted by what
+the presentation says: elements and words for menus, footers, adverts, comments weigh
+``FURNITURE``, words that name content as well ``DOUBTFUL``, all else 1. A branch is
+removed if it and all within it are below ``LEAST`` of the host's most important text. So
+text under such words stays where it is what the host has to say, and where all pages are
+alike the weights alone decide, so copied articles stay.
 
 The tree is counted with one row for a page, element and value, combined in the task
 before the shuffle; there is no gathering by host, so a hot host does no harm. A page is
@@ -22,7 +24,8 @@ joined with its host's unimportant paths, by broadcast where Spark finds them sm
 otherwise by a shuffle that AQE can split.
 
 Defined cases: null html is the empty page, whose text is empty. Pages without a host
-make no tree; presentation alone decides. Repeated rows count as pages of their own and
+make no tree; presentation alone decides: furniture goes, and all outside ``article`` and
+``main`` where a page has them. What is not rendered (scripts, hidden elements) is never text. Repeated rows count as pages of their own and
 stay. Null ids and urls are kept. An empty table gives an empty result. Other columns
 are not read.
 """
@@ -46,6 +49,9 @@ from .url_filter import host_of
 DECAY = 0.9
 LEAST = 0.15
 FEW_PAGES = 10
+PRIOR = 0.1  # importance of what stands on all pages, before any two were compared
+FURNITURE = 0.1
+DOUBTFUL = 0.5
 
 # Roles of HTML elements
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,7 +64,9 @@ NO_CONTENT = set(
     "head script style title noscript template iframe nav header footer aside menu form button input select "
     "option textarea label dialog svg canvas object applet audio video map".split()
 )
-PLAIN = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption hr br".split()) | INLINE
+NOT_RENDERED = set(
+    "head script style title noscript template iframe svg canvas object applet audio video map input select option textarea".split()
+)
 MAIN = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES_P = (
@@ -75,6 +83,11 @@ NO_CONTENT_WORDS = set(
     "subscribe subscription signup login comment comments commentlist disqus reply replies respond skip contentinfo "
     "complementary search alert toolbar topbar sidenav disclaimer feedback discussion".split()
 )
+# Of these, the words that often name content as well
+DOUBTFUL_WORDS = set(
+    "advertising alert banner comment disclaimer discussion feedback header menu navigation notice notices notification "
+    "promotion related replies reply respond search share sharing skip social sponsor subscription".split()
+)
 BEGINNINGS = ("comments", "cookie", "advert", "sidebar", "sponsor", "breadcrumb", "newsletter")
 WITHOUT = {"has", "with", "no", "without"}  # "has-sidebar" is about what stands beside
 
@@ -88,8 +101,8 @@ _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 @functools.lru_cache(10_000)
-def _presentation(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Name in the tree, whether class or id are given, whether it says that there is no content."""
+def _presentation(tag: str, attributes: str) -> tuple[str, float, bool]:
+    """Name in the tree, weight, whether it is not rendered."""
     found: dict[str, str] = {}
     if attributes and not attributes.isspace():
         for key, value in _ATTRIBUTE.findall(attributes):
@@ -97,38 +110,40 @@ def _presentation(tag: str, attributes: str) -> tuple[str, bool, bool]:
     marks = [f".{m}" for m in sorted(set(found.get("class", "").split()))]
     if name := "_".join(found.get("id", "").split()):
         marks.append(f"#{name}")
-    named = False
-    for mark in " ".join([found.get("class", ""), found.get("id", ""), found.get("role", "")]).split():
-        words = [w.lower() for w in _WORD.findall(mark)]
-        for before, word in zip(["", *words], words):
-            named |= before not in WITHOUT and (word in NO_CONTENT_WORDS or word.startswith(BEGINNINGS))
+    if role := "_".join(found.get("role", "").split()):
+        marks.append(f"[{role}]")
+    weight = FURNITURE if tag in NO_CONTENT else 1.0
+    if tag not in ("html", "body", "main"):  # their classes describe the page
+        for mark in " ".join([found.get("class", ""), found.get("id", ""), found.get("role", "")]).split():
+            words = [w.lower() for w in _WORD.findall(mark)]
+            for before, word in zip(["", *words], words):
+                if before not in WITHOUT and (word in NO_CONTENT_WORDS or word.startswith(BEGINNINGS)):
+                    weight = min(weight, DOUBTFUL if word in DOUBTFUL_WORDS else FURNITURE)
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    if tag in ("html", "body", "main"):  # their classes describe the page
-        named = False
-    furniture = tag in NO_CONTENT or named or hidden
-    return tag + "".join(marks), bool(marks), furniture
+    return tag + "".join(marks), weight, hidden or tag in NOT_RENDERED
 
 
 class Element:
-    __slots__ = ("tag", "path", "name", "children", "no_content", "in_main", "plain", "head")
+    __slots__ = ("tag", "path", "name", "children", "weight", "hidden", "no_content", "in_main", "head")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag = tag
-        self.name, marked, furniture = _presentation(tag, attributes)
+        self.name, self.weight, self.hidden = _presentation(tag, attributes)
         self.children: list[str] = []
         if parent is None:
             self.path = self.name
-            self.no_content = self.head = self.in_main = self.plain = False
+            self.no_content = self.head = self.in_main = False
             return
         inside = parent.in_main
         self.path = f"{parent.path} {self.name}"
         self.head = tag == "header" and inside or parent.head
-        if parent.no_content:
-            self.no_content = not (parent.head and tag in HEADINGS)  # the headline in an article's header
+        self.hidden = self.hidden or parent.hidden
+        if parent.no_content and parent.head and tag in HEADINGS:  # the headline in an article's header
+            self.weight = 1.0
         else:
-            self.no_content = furniture
+            self.weight = min(self.weight, parent.weight)
+        self.no_content = self.weight < 1 or self.hidden
         self.in_main = inside or tag in MAIN and not self.no_content
-        self.plain = inside and not marked and tag in PLAIN and (parent.plain or parent.tag in MAIN)
         if not parent.children or parent.children[-1] != self.name:
             parent.children.append(self.name)
 
@@ -211,7 +226,7 @@ def parse(source: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         if element.no_content and not stack[-1].no_content:
             flush()
         if tag in VOID or attributes.endswith("/"):
-            if tag not in INLINE:
+            if tag not in INLINE or element.no_content:
                 elements.append(element)
             continue
         if tag in RAW:
@@ -223,20 +238,22 @@ def parse(source: str) -> tuple[list[Element], list[tuple[Element, str]]]:
                 at = close + 1 if close >= 0 else len(source)
             continue
         stack.append(element)
-        if tag not in INLINE:
+        if tag not in INLINE or element.no_content:
             elements.append(element)
     flush()
     return elements, blocks
 
 
-def main_text(source: str, paths: list[str]) -> str:
-    """Text of a page without the elements that are in unimportant branches of its host."""
+def main_text(source: str, paths: list[str], judged: bool = False) -> str:
+    """Text of a page without the elements that are in unimportant branches of its host;
+    by presentation alone if it is not ``judged`` by a tree."""
     elements, blocks = parse(source)
+    if judged:
+        out = set(paths)
+        return "\n".join(t for e, t in blocks if not e.hidden and e.path not in out)
     if any(e.in_main for e, _ in blocks):
         blocks = [(e, t) for e, t in blocks if e.in_main]
-    out = set(paths)
-
-    return "\n".join(t for e, t in blocks if not e.no_content and (e.plain or e.path not in out))
+    return "\n".join(t for e, t in blocks if not e.no_content)
 
 
 def _hash(text: str) -> int:
@@ -244,50 +261,70 @@ def _hash(text: str) -> int:
     return zlib.crc32(data) << 31 | zlib.adler32(data) & 0x7FFFFFFF
 
 
-def site_trees(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every element of every host's tree; ``pages`` has host and html."""
+def site_values(pages: DataFrame) -> DataFrame:
+    """(host, path, weight, is_text, value, c): on how many pages of a host an element has which
+    presentation or text; ``pages`` has host and html."""
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            counts: Counter[tuple[str, str, bool, int]] = Counter()
+            counts: Counter[tuple[str, str, float, bool, int]] = Counter()
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 elements, blocks = parse(source or "")
-                styles: dict[str, list[str]] = {}
+                styles: dict[tuple[str, float], list[str]] = {}
                 for e in elements:
-                    if not e.no_content:
-                        styles.setdefault(e.path, []).append(",".join(e.children))
-                seen = {(p, False, _hash("|".join(dict.fromkeys(s)))) for p, s in styles.items()}
-                seen |= {(e.path, True, _hash(t)) for e, t in blocks if not e.no_content}
+                    styles.setdefault((e.path, e.weight), []).append(",".join(e.children))
+                seen = {(*p, False, _hash("|".join(dict.fromkeys(s)))) for p, s in styles.items()}
+                seen |= {(e.path, e.weight, True, _hash(t)) for e, t in blocks if not e.hidden}
                 counts.update((host, *s) for s in seen)
-            columns = list(zip(*[(*k, n) for k, n in counts.items()])) or [()] * 5
-            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
-            names = ["host", "path", "is_text", "value", "pages"]
+            columns = list(zip(*[(*k, n) for k, n in counts.items()])) or [()] * 6
+            kinds = [pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
+            names = ["host", "path", "weight", "is_text", "value", "pages"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     counted = small_batches(pages.select("host", "html")).mapInArrow(
-        work, "host string, path string, is_text boolean, value long, pages long"
+        work, "host string, path string, weight double, is_text boolean, value long, pages long"
     )
-    values = counted.groupBy("host", "path", "is_text", "value").agg(F.sum("pages").alias("c"))
+    return counted.groupBy("host", "path", "weight", "is_text", "value").agg(F.sum("pages").alias("c"))
+
+
+def site_trees(pages: DataFrame) -> DataFrame:
+    """``trees`` of the pages; ``pages`` has host and html."""
+    return trees(site_values(pages))
+
+
+def trees(values: DataFrame) -> DataFrame:
+    """(host, path, pages, importance, weight, has_text) of every element of every host's tree."""
     kinds_ = values.groupBy("host", "path", "is_text").agg(
+        F.max("weight").alias("weight"),
         F.sum("c").alias("total"),
         F.sum(F.col("c") * F.log("c")).alias("c_log_c"),
         F.sum(F.log("c")).alias("log_c"),
         F.count("*").alias("n"),
     )
     own = kinds_.groupBy("host", "path").agg(
+        F.max("weight").alias("weight"),
         F.max(F.when(~F.col("is_text"), F.col("total"))).alias("m"),
         F.max(F.when(~F.col("is_text"), F.col("c_log_c"))).alias("style"),
         F.max(F.when(F.col("is_text"), F.col("log_c") / F.col("n"))).alias("text"),
     )
+    own = written(own.where("m IS NOT NULL"), "elements")
     base = F.log("m")
     style = F.when(F.col("m") > 1, 1 - F.col("style") / F.col("m") / base).otherwise(1.0)
     text = F.when(F.col("m") > 1, 1 - F.col("text") / base).otherwise(1.0)
-    own = own.where("m IS NOT NULL").select(
-        "host", "path", "m", F.when(F.col("text").isNull(), style).otherwise(F.greatest(style, text)).alias("own")
-    )
-    weight = F.col("m") * F.pow(F.lit(DECAY), F.col("below"))
+    seen = F.when(F.col("text").isNull(), style).otherwise(F.greatest(style, text))
+    # Few pages say little: then it counts on how many of the host's pages the branch is not
+    rare = 1 - (1 - PRIOR) * F.col("m") / F.col("of")
+    own = own.join(own.groupBy("host").agg(F.max("m").alias("of")), "host").select(
+        "host", "path", "m", "weight", F.col("text").isNotNull().alias("has_text"),
+        (((F.col("m") - 1) * seen + rare) / F.col("m")).alias("own"),
+    )
+    pages = F.col("m") * F.pow(F.lit(DECAY), F.col("below"))
+    itself = F.col("below") == 0
     return _for_ancestors(own).groupBy("host", "path").agg(
-        F.max("m").alias("pages"), (F.sum(weight * F.col("own")) / F.sum(weight)).alias("importance")
+        F.max("m").alias("pages"),
+        (F.sum(pages * F.col("own")) / F.sum(pages)).alias("importance"),
+        F.max(F.when(itself, F.col("weight"))).alias("weight"),
+        F.max(F.when(itself, F.col("has_text"))).alias("has_text"),
     )
 
 
@@ -300,27 +337,32 @@ def _for_ancestors(elements: DataFrame) -> DataFrame:
 
 
 def unimportant(trees: DataFrame, least: float = LEAST, few_pages: int = FEW_PAGES) -> DataFrame:
-    """(host, unimportant): the paths of branches that are unimportant throughout."""
-    most = _for_ancestors(trees).groupBy("host", "path").agg(
-        F.max("importance").alias("most"), F.max("pages").alias("pages")
+    """(host, path) of branches that are unimportant throughout."""
+    scored = trees.withColumn("score", F.col("importance") * F.col("weight"))
+    scored = written(scored, "trees")
+    most = _for_ancestors(scored).groupBy("host", "path").agg(
+        F.max("score").alias("most"), F.max("pages").alias("pages"), F.max(F.when(F.col("below") == 0, F.col("weight"))).alias("weight")
     )
-    low = most.where((F.col("most") < least) & (F.col("pages") >= few_pages))
-    return low.groupBy("host").agg(F.collect_list("path").alias("unimportant"))
+    best = scored.where("has_text").groupBy("host").agg(F.max("score").alias("best"))
+    low = most.join(best, "host").where(F.col("most") < least * F.col("best"))
+    return low.where((F.col("pages") >= few_pages) | (F.col("weight") < 1)).select("host", "path")
 
 
 def extract(pages: DataFrame, least: float = LEAST, few_pages: int = FEW_PAGES) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
     hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(pages["url"]).alias("host"))
-    low = written(unimportant(site_trees(hosted.where("host <> ''")), least, few_pages), "unimportant")
+    low = unimportant(site_trees(hosted.where("host <> ''")), least, few_pages)
+    low = written(low.groupBy("host").agg(F.collect_list("path").alias("unimportant")), "unimportant")
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            sources, paths = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            texts = [main_text(s or "", p or []) for s, p in zip(sources, paths)]
+            sources, paths, judged = (batch.column(c).to_pylist() for c in (2, 3, 4))
+            texts = [main_text(s or "", p or [], j) for s, p, j in zip(sources, paths, judged)]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    judged = hosted.join(low, "host", "left").select("page_id", "url", "html", "unimportant")
+    has_host = F.coalesce(F.col("host") != "", F.lit(False)).alias("judged")
+    judged = hosted.join(low, "host", "left").select("page_id", "url", "html", "unimportant", has_host)
     return small_batches(judged).mapInArrow(work, "page_id long, url string, text string, n_chars long")
 
 

@@ -121,3 +121,19 @@ def test_copied_articles_stay(spark):
     page = "<nav>Menu</nav><article><h1>Copied</h1><p>again and again</p></article>"
     pages = spark.createDataFrame([(i, "http://a.net/", page) for i in range(40)], "page_id long, url string, html string")
     assert {r["text"] for r in extract(pages).collect()} == {"Copied\nagain and again"}
+
+
+def judged_pages(spark, pages):
+    rows = [(i, f"http://a.net/{i}", p) for i, p in enumerate(pages)]
+    found = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["page_id"])]
+
+
+def test_the_tree_decides_beside_and_within_articles(spark):
+    page = """<nav>Menu</nav><div class="body"><p>Long text {0}</p><section id="discussion"><p>Result {0}</p></section></div>
+      <article><p>Read our guide</p></article><div class="ad">Buy {0}</div><footer>Us</footer>"""
+    assert judged_pages(spark, [page.format(i) for i in range(20)]) == [f"Long text {i}\nResult {i}" for i in range(20)]
+    page = "<article><p>Story {0}</p><ul><li>Follow us</li></ul></article>"
+    assert judged_pages(spark, [page.format(i) for i in range(20)]) == [f"Story {i}" for i in range(20)]
+    page = "<nav>Menu</nav><aside><p>All that is here {0}</p></aside>"
+    assert judged_pages(spark, [page.format(i) for i in range(20)]) == [f"All that is here {i}" for i in range(20)]
