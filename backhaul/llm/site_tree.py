@@ -16,7 +16,7 @@ the presentation says: elements and words for menus, footers, adverts, comments
 ``FURNITURE``, words that name content as well ``DOUBTFUL``, all else 1. A branch is
 removed if it and all within it are below ``LEAST`` of the host's most important text. So
 text under such words stays where it is what the host has to say, and where all pages are
-alike the weights alone decide, so copied articles stay.
+alike the weights alone decide, so copied articles stay. Hosts of one page share one tree.
 
 The tree is counted with one row for a page, element and value, combined in the task
 before the shuffle; there is no gathering by host, so a hot host does no harm. A page is
@@ -48,7 +48,7 @@ from .url_filter import host_of
 
 DECAY = 0.9
 LEAST = 0.15
-FEW_PAGES = 10
+LONE = "/"  # no host has this name
 PRIOR = 0.1  # importance of what stands on all pages, before any two were compared
 FURNITURE = 0.1
 DOUBTFUL = 0.5
@@ -293,7 +293,7 @@ def site_trees(pages: DataFrame) -> DataFrame:
 
 
 def trees(values: DataFrame) -> DataFrame:
-    """(host, path, pages, importance, weight, has_text) of every element of every host's tree."""
+    """(host, path, importance, weight, has_text) of every element of every host's tree."""
     kinds_ = values.groupBy("host", "path", "is_text").agg(
         F.max("weight").alias("weight"),
         F.sum("c").alias("total"),
@@ -321,7 +321,6 @@ def trees(values: DataFrame) -> DataFrame:
     pages = F.col("m") * F.pow(F.lit(DECAY), F.col("below"))
     itself = F.col("below") == 0
     return _for_ancestors(own).groupBy("host", "path").agg(
-        F.max("m").alias("pages"),
         (F.sum(pages * F.col("own")) / F.sum(pages)).alias("importance"),
         F.max(F.when(itself, F.col("weight"))).alias("weight"),
         F.max(F.when(itself, F.col("has_text"))).alias("has_text"),
@@ -336,23 +335,34 @@ def _for_ancestors(elements: DataFrame) -> DataFrame:
     return up.withColumn("below", F.size("parts") - F.col("level")).drop("parts", "level")
 
 
-def unimportant(trees: DataFrame, least: float = LEAST, few_pages: int = FEW_PAGES) -> DataFrame:
+def unimportant(trees: DataFrame, least: float = LEAST) -> DataFrame:
     """(host, path) of branches that are unimportant throughout."""
-    scored = trees.withColumn("score", F.col("importance") * F.col("weight"))
-    scored = written(scored, "trees")
-    most = _for_ancestors(scored).groupBy("host", "path").agg(
-        F.max("score").alias("most"), F.max("pages").alias("pages"), F.max(F.when(F.col("below") == 0, F.col("weight"))).alias("weight")
-    )
+    scored = written(trees.withColumn("score", F.col("importance") * F.col("weight")), "trees")
+    most = _for_ancestors(scored).groupBy("host", "path").agg(F.max("score").alias("most"))
     best = scored.where("has_text").groupBy("host").agg(F.max("score").alias("best"))
-    low = most.join(best, "host").where(F.col("most") < least * F.col("best"))
-    return low.where((F.col("pages") >= few_pages) | (F.col("weight") < 1)).select("host", "path")
-
-
-def extract(pages: DataFrame, least: float = LEAST, few_pages: int = FEW_PAGES) -> DataFrame:
+    return most.join(best, "host").where(F.col("most") < least * F.col("best")).select("host", "path")
+
+
+def unimportant_of_pages(pages: DataFrame, least: float = LEAST) -> DataFrame:
+    """(host, unimportant): ``unimportant`` paths of every host, by the tree of all such hosts
+    if it has one page only; ``pages`` has host and html."""
+    values = written(site_values(pages), "values")
+    roots = values.where((F.col("path") == "html") & ~F.col("is_text"))  # one for each page
+    lone = roots.groupBy("host").agg(F.sum("c").alias("pages")).where("pages = 1")
+    lone = written(lone.select("host", F.lit(LONE).alias("tree")), "lone")
+    of_tree = values.join(lone, "host", "left").withColumn("host", F.coalesce("tree", "host")).drop("tree")
+    merged = of_tree.groupBy("host", "path", "weight", "is_text", "value").agg(F.sum("c").alias("c"))
+    low = written(unimportant(trees(merged), least), "low")
+    own = values.join(lone, "host").select("host", "path").distinct()
+    of_lone = own.join(low.where(F.col("host") == LONE).select("path"), "path").select("host", "path")
+    low = low.where(F.col("host") != LONE).unionByName(of_lone)
+    return low.groupBy("host").agg(F.collect_list("path").alias("unimportant"))
+
+
+def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
     hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(pages["url"]).alias("host"))
-    low = unimportant(site_trees(hosted.where("host <> ''")), least, few_pages)
-    low = written(low.groupBy("host").agg(F.collect_list("path").alias("unimportant")), "unimportant")
+    low = written(unimportant_of_pages(hosted.where("host <> ''"), least), "unimportant")
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:

@@ -137,3 +137,14 @@ def test_the_tree_decides_beside_and_within_articles(spark):
     assert judged_pages(spark, [page.format(i) for i in range(20)]) == [f"Story {i}" for i in range(20)]
     page = "<nav>Menu</nav><aside><p>All that is here {0}</p></aside>"
     assert judged_pages(spark, [page.format(i) for i in range(20)]) == [f"All that is here {i}" for i in range(20)]
+
+
+@pytest.mark.parametrize("n", [2, 3, 9, 10])
+def test_repeated_branches_go_on_small_hosts(spark, n):
+    assert judged_pages(spark, [site_page(i) for i in range(n)]) == [f"Story {i} is new\nMore of {i} here" for i in range(n)]
+
+
+def test_hosts_of_one_page_share_a_tree(spark):
+    rows = [(i, f"http://{i}.net/", site_page(i)) for i in range(12)] + [(12, "http://x.net/", "<div class=rare>x</div>")]
+    found = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {12: "x", **{i: f"Story {i} is new\nMore of {i} here" for i in range(12)}}
