@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_root
@@ -40,6 +42,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a column that has a different long in every row, and its name.
+
+    The key is a row's file and place therein, so every read of it, in whatever splits,
+    gives the same. What is not a plain scan of Parquet files is written first.
+    """
+
+    def places(scan: DataFrame) -> list[Column]:
+        meta = scan.metadataColumn("_metadata")
+        return [meta["file_path"].alias(f"{key}_path"), meta["row_index"].alias(f"{key}_at")]
+
+    key = "row_key"
+    while any(c.lower().startswith(key) for c in df.columns):
+        key += "_"
+    plain = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    try:
+        plain = plain and bool(df.select(*places(df)).columns)
+    except AnalysisException:  # other formats do not number their rows
+        plain = False
+    scan = df if plain else written(df, "keyed")
+    paths = sorted(r[0] for r in scan.select(places(scan)[0]).distinct().collect())  # the names of its files
+    files = df.sparkSession.createDataFrame(list(enumerate(paths)), f"{key}_file long, {key}_path string")
+    number = F.shiftleft(f"{key}_file", 36) + F.col(f"{key}_at")
+    keyed = scan.select("*", *places(scan)).join(F.broadcast(files), f"{key}_path", "left")
+    return keyed.select(*[f"`{c}`" for c in df.columns], number.alias(key)), key
+
+
+def row_order(doc_id: Column, key: Column, no_id: int) -> Column:
+    """Rows by id, then by row key, as one number of fixed width; null ids stand at ``no_id``."""
+    first = F.coalesce(doc_id.cast("decimal(19,0)"), F.lit(Decimal(no_id)).cast("decimal(19,0)"))
+    return (first * F.lit(Decimal(10**19)).cast("decimal(20,0)") + key).cast("decimal(38,0)")
+
+
 def forget(df: DataFrame) -> None:
     """Delete what ``written`` wrote, once nothing reads it any more."""
     for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:

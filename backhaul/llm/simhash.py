@@ -18,7 +18,8 @@ a fingerprint, whatever the length of the list.
 Defined cases: a null or blank text has fingerprint zero, which links like any other;
 fewer words than a shingle are one shingle. Repeated rows stay. A row with a null doc_id
 has the component of its fingerprint; a component without any id has a null one. An empty
-table gives an empty result.
+table gives an empty result. With a row key, exactly one row of a component is kept: that
+of the smallest id, of equal ids that with the smallest key; rows without an id come last.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import connected_components, small_batches, table, written
+from .common import connected_components, row_order, small_batches, table, written
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -63,16 +64,18 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, and its ``key`` if one is named; fp holds the 64 bits as a signed long."""
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             found = [fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()]
             bits = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), bits], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), bits, *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return small_batches(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(work, "doc_id long, fp long")
+    more = ["key"] if key else []
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *[docs[key].alias("key") for _ in more])
+    return small_batches(rows).mapInArrow(work, "doc_id long, fp long" + ", key long" * len(more))
 
 
 def linked(fps: DataFrame, max_bits: int = MAX_BITS, long_list: int = LONG_LIST) -> DataFrame:
@@ -112,17 +115,26 @@ def linked(fps: DataFrame, max_bits: int = MAX_BITS, long_list: int = LONG_LIST)
     return pairs.select("a", "b").union(stars)
 
 
-def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, long_list: int = LONG_LIST) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id."""
-    prints = written(fingerprints(docs, shingle), "fingerprints")
-    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "different")
-    components = written(connected_components(linked(fps, max_bits, long_list)), "components")
+def simhash_groups(
+    docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, long_list: int = LONG_LIST, key: str | None = None
+) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id.
+
+    ``key`` names a column with a different long in every row; it adds ``key`` and ``kept``.
+    """
+    prints = written(fingerprints(docs, shingle, key), "fingerprints")
+    order = row_order(F.col("doc_id"), F.col("key"), 2**63) if key else None
+    least = [F.min(order).alias("least")] if key else []
+    also = ["least"] if key else []
+    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *least), "different")
+    components = written(connected_components(linked(fps.select("fp"), max_bits, long_list)), "components")
     named = fps.join(components, fps["fp"] == components["node"], "left")
-    named = named.select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = written(named.join(written(ids, "ids"), "component").select("fp", "component_id"), "named")
+    named = named.select("fp", "first", F.coalesce("component", "fp").alias("component"), *also)
+    ids = named.groupBy("component").agg(F.min("first").alias("component_id"), *[F.min(c).alias(c) for c in also])
+    named = written(named.drop(*also).join(written(ids, "ids"), "component").select("fp", "component_id", *also), "named")
     out = prints.join(named, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    verdict = ["key", (order == F.col("least")).alias("kept")] if key else []
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *verdict)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,21 +2,22 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next one's documents. All but the last return the columns
-of ``documents``. Null and blank texts have no language and go in the first stage. Rows that
-share an id are one document and share every verdict; documents without an id are no
-copies of others and stay. Empty input gives empty output; further columns come along,
+of ``documents``. Null and blank texts have no language and go in the first stage. Verdicts
+are for rows: of equal texts, and of near copies, exactly one row stays, whether or not rows
+share an id or have none. Empty input gives empty output; further columns come along,
 whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backhaul.llm.common import written
+from backhaul.llm.common import with_row_key, written
 from backhaul.llm.exact_dedup import exact_duplicates
 from backhaul.llm.language import UNKNOWN, identify
 from backhaul.llm.packing import pack
@@ -30,20 +31,21 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id stays."""
-    return _without(docs, exact_duplicates(docs).where("NOT kept"))
+    """Of equal texts, the row with the largest id stays."""
+    return _kept(docs, exact_duplicates)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints, the one with the smallest id stays."""
-    return _without(docs, simhash_groups(docs).where("doc_id <> component_id"))
+    """Of rows linked by their fingerprints, the one with the smallest id stays."""
+    return _kept(docs, simhash_groups)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less those ids. The list is written first: Spark then knows its size, and
-    moves no text where it is small enough to broadcast."""
-    ids = written(gone.select("doc_id").distinct(), "gone")
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+def _kept(docs: DataFrame, judge: Callable[..., DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that are kept. The keys of the others are written first: Spark then
+    knows the list's size, and moves no text where it is small enough to broadcast."""
+    keyed, key = with_row_key(docs)
+    gone = written(judge(keyed, key=key).where("NOT kept").select(F.col("key").alias(key)), "gone")
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,17 @@ def test_stages_of_odd_and_of_no_documents(spark, odd_docs, tmp_path):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_copies_go_by_row(spark, tmp_path):
+    first, second = "One text about the sea and the ships on it", "Another text, on mountains and on what grows there"
+    rows = [(9, first), (7, first), (7, second), (7, second), (None, first), (None, "Only here"), (None, "Only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = [(7, second), (9, first), (None, "Only here")]
+    for stage in (corpus_pipeline.without_copies, corpus_pipeline.without_near_copies):
+        near = stage is corpus_pipeline.without_near_copies
+        path = str(tmp_path / str(near))
+        docs.write.parquet(path)
+        for given in (docs, spark.read.parquet(path)):
+            found = [tuple(r) for r in stage(spark, given, "").collect()]
+            assert sorted(found, key=str) == sorted([(7, first) if near and r[0] == 9 else r for r in expected], key=str)
