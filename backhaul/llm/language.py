@@ -12,8 +12,10 @@ them one ridge regression per language separates it from the rest (target 1 or -
 two matrices are multiplied once, so predicting a batch is: presence matrix, times
 landmarks, divided by the norms, times coefficients.
 
-The model is fitted on the driver from at most ``PER_LANGUAGE`` texts of up to
-``MAX_CHARS`` characters for each language, chosen by a hash of the id; that bounds it.
+The model is fitted on the driver from at most ``PER_LANGUAGE`` different texts for each
+language, chosen by a hash of the text. Of a long one it takes a window of ``MAX_CHARS``
+characters, shorter ones if all would pass ``TOTAL_CHARS``; that bounds it. Landmarks are
+chosen by a hash as well.
 Whole texts are predicted, in batches within a task; nothing is shuffled.
 
 Defined cases: ``und`` with score 0 if a text is null or has no letter, or if there is
@@ -24,6 +26,7 @@ read, and lang and doc_id serve to choose and label training texts only.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +41,7 @@ from .words import LETTER, kinds
 
 PER_LANGUAGE = 250
 MAX_CHARS = 20_000
+TOTAL_CHARS = 20_000_000
 MAX_LETTERS = 200
 LANDMARKS_PER_LANGUAGE = 32
 RIDGE = 1e-2
@@ -142,20 +146,36 @@ class Model:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, text) of a bounded, repeatable choice of rows outside the held-out fold."""
+    """(lang, text) of a bounded, repeatable choice of different texts outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
-    fit = labelled.where((F.length("text") > 0) & (F.length("text") <= MAX_CHARS))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = fit.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= PER_LANGUAGE)
-    ids = [r["doc_id"] for r in chosen.select("doc_id").collect()]  # PER_LANGUAGE for each language at most
-    rows = fit.where(F.col("doc_id").isin(ids)).select("lang", "text", "doc_id").collect() if ids else []
-    once = {(r["doc_id"], r["lang"]): (r["lang"], r["text"]) for r in rows}
-    return sorted(once.values())
+    fit = labelled.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    different = fit.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    chosen = different.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= PER_LANGUAGE)
+    chosen = chosen.select("lang", "h", "doc_id").collect()  # PER_LANGUAGE for each language at most
+    if not chosen:
+        return []
+    ids, hashes = sorted({r["doc_id"] for r in chosen}), sorted({r["h"] for r in chosen})
+    rows = fit.where(F.col("doc_id").isin(ids) & F.col("h").isin(hashes))
+    wide = F.lit(max(1, min(MAX_CHARS, TOTAL_CHARS // len(chosen))))
+    begin = F.pmod("h", F.greatest(F.length("text") - wide, F.lit(0)) + 1).cast("int")
+    rows = rows.select("doc_id", "lang", "h", F.substring("text", begin + 1, wide).alias("text"))
+    rows = rows.groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text")).collect()  # repeated rows once
+    wanted = {(r["doc_id"], r["lang"], r["h"]) for r in chosen}
+    return sorted((r["lang"], r["text"]) for r in rows if (r["doc_id"], r["lang"], r["h"]) in wanted)
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.md5(text.encode()).digest()
+
+
+def has_letter(text: str) -> bool:
+    return bool((kinds()[np.frombuffer(text.encode("utf-32-le"), np.uint32)] == LETTER).any())
 
 
 def fit(sample: list[tuple[str, str]]) -> Model | None:
     """The model of (language, text) rows; None if no text has a letter."""
-    sample = [(lang, text) for lang, text in sample if (kinds()[[ord(c) for c in text]] == LETTER).any()]
+    sample = sorted({(lang, text) for lang, text in sample if has_letter(text)}, key=lambda r: (r[0], _digest(r[1])))
     if not sample:
         return None
     languages = sorted({lang for lang, _ in sample})
@@ -187,7 +207,8 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
 def identify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
-    ``carry`` names columns of ``docs`` that come along, in a struct ``row``.
+    ``carry`` names columns of ``docs`` that come along, in a struct ``row``, before which
+    ``has_letter`` tells of texts with a letter, whether or not there is a model.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(training_sample(docs.select("doc_id", "text", "lang"))))
@@ -211,13 +232,19 @@ def identify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
                     scores += score.tolist()
                 begin = end
             rest = [batch.column(i) for i in range(1, batch.num_columns)]
+            if carry:
+                rest.insert(-1, pa.array(map(has_letter, texts), pa.bool_()))
             columns = [*rest, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*names_out, "lang_pred", "score"])
 
     held_out = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
     more = [F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out, *more)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    fields = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields[1:]]
+    if carry:
+        fields.insert(-1, ("has_letter", "boolean"))
+    names_out = [name for name, _ in fields]
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in fields)
     return small_batches(rows).mapInArrow(work, f"{schema}, lang_pred string, score double")
 
 

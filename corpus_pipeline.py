@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from backhaul.llm.common import with_row_key, written
 from backhaul.llm.exact_dedup import exact_duplicates
-from backhaul.llm.language import UNKNOWN, identify
+from backhaul.llm.language import identify
 from backhaul.llm.packing import pack
 from backhaul.llm.simhash import simhash_groups
 from backhaul.session import scratch_root
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without any letter go."""
-    return identify(docs, carry=docs.columns).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    """Documents with letters, also if there is nothing to learn languages from."""
+    return identify(docs, carry=docs.columns).where("has_letter").select("row.*")
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,8 @@ def test_copies_go_by_row(spark, tmp_path):
         for given in (docs, spark.read.parquet(path)):
             found = [tuple(r) for r in stage(spark, given, "").collect()]
             assert sorted(found, key=str) == sorted([(7, first) if near and r[0] == 9 else r for r in expected], key=str)
+
+
+def test_no_labels_drop_no_documents(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "1 2", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.with_language(spark, docs, "").collect()] == [1]

@@ -127,3 +127,15 @@ def test_odd_texts(spark, odd_docs, no_docs):
     unlabelled = odd_docs.withColumn("lang", F.lit(None).cast("string"))
     assert {(r["lang_pred"], r["score"]) for r in identify(unlabelled).collect()} == {(UNKNOWN, 0.0)}
     assert fit([]) is None and fit([("en", "12 3")]) is None
+
+
+def test_long_texts_and_copies_are_learned_from(spark):
+    words = {"aa": "hello world today", "bb": "bonjour monde demain"}
+    rows = [(i, f"{words['aa']} {i}", "aa") for i in range(40)]
+    rows += [(100 + i, f"{words['bb']} {i} " * 2_000, "bb") for i in range(20)]
+    rows += [(200 + i, "aaa the same", "aa") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = training_sample(docs)
+    assert {lang for lang, _ in sample} == {"aa", "bb"} and len(set(sample)) == len(sample)
+    assert max(len(t) for _, t in sample) <= 20_000 and [t for _, t in sample].count("aaa the same") == 1
+    assert all(r["lang_pred"] == r["lang"] for r in identify(docs).join(docs, "doc_id").collect())
