@@ -7,6 +7,7 @@ the columns by position and keeps the exact header text in a driver-side map.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -104,9 +105,25 @@ def separator_for(path: str) -> str:
     return "\t" if path.lower().rstrip("/").endswith(TAB_SUFFIXES) else ","
 
 
-def read_headers(spark: SparkSession, path: str, sep: str | None = None) -> list[str]:
+def breaks_in_quotes(spark: SparkSession, paths: str | Sequence[str], sep: str) -> bool:
+    """Whether quotes are open at the end of any line: one pass in which tasks share large files.
+
+    A line has open quotes if their number is odd (doubled ones are escaped), or if a cell
+    still begins with a quote once all closed cells are taken out. A stray quote counts as
+    well: then the sheet is read by records, which is right for any.
+    """
+    begin = rf"(^|{re.escape(sep)})[ \t]*+\""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    rest = F.regexp_replace("value", begin + r"""[^"]*+(?:""[^"]*+)*+\"""" + rf"(?=\s*+(?:{re.escape(sep)}|$))", "$1")
+    return not spark.read.text(paths).where((quotes % 2 == 1) | rest.rlike(begin)).isEmpty()
+
+
+def read_headers(
+    spark: SparkSession, path: str, sep: str | None = None, multiline: bool = False
+) -> list[str]:
     """Header line of a delimited sheet (one row on the driver)."""
-    first = _csv(spark.read, sep or separator_for(path)).option("header", False).csv(path).first()
+    reader = _csv(spark.read, sep or separator_for(path)).option("multiLine", multiline)
+    first = reader.option("header", False).csv(path).first()
     return [] if first is None else [v or "" for v in first]
 
 
@@ -115,16 +132,18 @@ def read_sheet(
     path: str,
     headers: Sequence[str] | None = None,
     sep: str | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> Sheet:
     """Read one delimited sheet (a file, or a folder of parts with equal headers).
 
-    Everything is text, nothing is inferred. One record per line is assumed, so that
-    large files are split between tasks; ``multiline`` lets quoted comments hold line
-    breaks, at the price that a file is read by one task.
+    Everything is text, nothing is inferred. Quoted cells may hold line breaks, at the price
+    that a file is read by one task; where no quotes are open at the end of a line, large
+    files are split between tasks. ``multiline`` tells which it is and saves finding out.
     """
     sep = sep or separator_for(path)
-    headers = list(headers) if headers is not None else read_headers(spark, path, sep)
+    if multiline is None:
+        multiline = breaks_in_quotes(spark, path, sep)
+    headers = list(headers) if headers is not None else read_headers(spark, path, sep, multiline)
     reader = _csv(spark.read, sep).option("header", True).option("multiLine", multiline)
     rows = reader.schema(positional_schema(headers)).csv(path)
     return sheet_from_positions(rows, headers)

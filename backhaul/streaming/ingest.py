@@ -10,7 +10,9 @@ log those rows as skipped.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.load import Tables, insert_new, load_sheet, numbered
 from ..sources.log import append_upload
-from ..sources.sheets import SEQ, Sheet, header_names, positional_schema
+from ..sources.sheets import SEQ, Sheet, breaks_in_quotes, header_names, positional_schema
 from ..sources.staging import staged
 from ..sources.tables import SnapshotTable
 
@@ -31,23 +33,21 @@ def stream_ingest(
     checkpoint: str,
     kind: str | None = None,
     sep: str = ",",
-    multiline: bool = False,
+    multiline: bool | None = None,
     max_files_per_trigger: int | None = None,
     uploaded_by: str = "Team Member",
 ) -> StreamingQuery:
     """Load every file of ``folder`` not loaded before, then stop.
 
-    All files share ``headers``. ``multiline`` as for ``read_sheet``. Returns the started
-    query; call ``awaitTermination`` on it.
+    All files share ``headers``. ``multiline`` as for ``read_sheet``, found out for every
+    micro-batch's files. Returns the started query; call ``awaitTermination`` on it.
     """
-    reader = (
-        spark.readStream.schema(positional_schema(headers))
-        .option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-    )
+
+    def options(reader, by_record: bool):
+        reader = reader.schema(positional_schema(headers)).option("header", True).option("sep", sep)
+        return reader.option("quote", '"').option("escape", '"').option("multiLine", by_record)
+
+    reader = options(spark.readStream, bool(multiline))
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     places = [
@@ -57,6 +57,11 @@ def stream_ingest(
     named = header_names(headers)
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        if multiline is None:
+            session = batch.sparkSession
+            files = [_as_path(r["_file"]) for r in batch.select("_file").distinct().collect()]
+            if files and breaks_in_quotes(session, files, sep):
+                batch = options(session.read, True).csv(files).select("*", *places)
         sheet = Sheet(_in_order(batch), named)
         counts = load_sheet(tables, sheet, kind)
         batch_name = f"{checkpoint}#{batch_id}"
@@ -73,6 +78,11 @@ def stream_ingest(
     return _start(reader.csv(folder).select("*", *places), load, checkpoint)
 
 
+def _as_path(uri: str) -> str:
+    """A file's name as Spark's readers take it: nothing encoded, nothing a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(uri))
+
+
 def _in_order(batch: DataFrame) -> DataFrame:
     """Arrival order of a micro-batch, which still has the partitions of its scan."""
     order = F.struct(

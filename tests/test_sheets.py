@@ -1,8 +1,10 @@
 import pytest
 
 from backhaul import operators as op
+from backhaul import plans
 from backhaul.sources import detect_kind, file_md5, fingerprint, read_sheet, read_workbook, route
-from backhaul.sources.sheets import Sheet, trim_headers
+from backhaul.sources.sheets import Sheet, breaks_in_quotes, trim_headers
+from backhaul.streaming import stream_ingest
 
 RETURNS_CSV = '''Return Date2 , Reason,reason,Order ID,ASIN,Quantity,Detailed-disposition,Customer-comments
 2024-01-05T10:00:00+00:00,, TOO_SMALL ,o1 ,A1,0,SELLABLE,"said ""no"",
@@ -137,3 +139,26 @@ def test_file_md5_beyond_two_gigabytes(spark, tmp_path):
         expected.update(bytes(1 << 24))
     expected.update(bytes(5))
     assert file_md5(spark, str(path)) == expected.hexdigest()
+
+
+def test_line_breaks_in_quotes_are_found(spark, returns_file, tmp_path):
+    rows = {r["order_id"]: r for r in op.normalize_returns(read_sheet(spark, returns_file)).collect()}
+    assert set(rows) == {"o1", "o2", "o3"} and rows["o1"]["customer_comments"] == 'said "no",\ntwice'
+    cases = ['a,b\n1,"x ""y"""\n', 'a,b\n5" x,"y\nz"\n', 'a,b\n"1,2",""\n', 'a,b\n"","u\n\nv"\n']
+    found = []
+    for i, text in enumerate(cases):
+        (tmp_path / f"{i}.csv").write_text(text)
+        found.append(breaks_in_quotes(spark, str(tmp_path / f"{i}.csv"), ","))
+    assert found == [False, True, False, True]
+
+
+def test_streamed_line_breaks_in_quotes(spark, returns_file, tmp_path):
+    folder = tmp_path / "in [1] a"
+    folder.mkdir()
+    (folder / "r 1.csv").write_text(RETURNS_CSV)
+    headers = RETURNS_CSV.split("\n")[0].split(",")
+    tables = plans.open_tables(spark, str(tmp_path / "tables"))
+    source = str(tmp_path / "in*")
+    stream_ingest(spark, source, headers, tables, str(tmp_path / "check")).awaitTermination()
+    rows = {r["order_id"]: r["customer_comments"] for r in tables.returns.read().collect()}
+    assert set(rows) == {"o1", "o2", "o3"} and rows["o1"] == 'said "no",\ntwice'
