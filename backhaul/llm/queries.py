@@ -16,6 +16,7 @@ from .simhash import op7_simhash
 from .site_tree import op2_site_tree
 from .token_rollup import op5_token_counts
 from .url_filter import OP9_SQL, op9_url_filter
+from .whitening import op11_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_language,
         op9_url_filter,
         op10_embedding_dedup,
+        op11_whitening,
     )
     return {f.__name__: f for f in found}
 
