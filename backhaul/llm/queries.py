@@ -14,6 +14,7 @@ from .license_scan import OP6_SQL, op6_license_scan
 from .packing import op1_packing
 from .simhash import op7_simhash
 from .site_tree import op2_site_tree
+from .token_alignment import op12_token_alignment
 from .token_rollup import op5_token_counts
 from .url_filter import OP9_SQL, op9_url_filter
 from .whitening import op11_whitening
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_url_filter,
         op10_embedding_dedup,
         op11_whitening,
+        op12_token_alignment,
     )
     return {f.__name__: f for f in found}
 
