@@ -6,15 +6,16 @@ import re
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import non_blank, not_placeholder, page_count
-from ..sources.staging import written
+from ..sources.staging import forget, written
 
 SEARCHED = ("product_name", "sku", "asin", "order_id")
-SHORT = 1_000_000  # pairs that a page is ranked from, at most
+WIDE = 20_000  # whole records that a page is ranked from, at most
+SHORT = 1_000_000  # (date, id) pairs that a page is ranked from, at most
 
 
 def contains_text(column: str, text: str) -> Column:
@@ -66,41 +67,74 @@ def page_totals(returns: DataFrame, page: int = 1, **constraints: str) -> DataFr
 
 
 def returns_page(
-    returns: DataFrame, page: int = 1, page_size: int = schema.PAGE_SIZE, **constraints: str
+    returns: DataFrame,
+    page: int = 1,
+    page_size: int = schema.PAGE_SIZE,
+    dates: DataFrame | None = None,
+    **constraints: str,
 ) -> DataFrame:
     """One page of the records found, newest return date first, ties by id.
 
-    However deep the page, the way there is the same. The (date, id) pairs found are
-    dealt into ranges and written, and the ranges that hold the page (told by a number
-    of rows per task) are dealt again until they are short. Only those pairs are ranked,
-    and the page's own, ``page_size`` at most, pick the records. What lies before the
-    page is counted and nothing else, and a date that holds most records is cut into
-    ranges by id.
+    Records are counted by date, which combines before the shuffle and leaves a row a day, or
+    ``dates`` has those counts already (return_date, n, any number of rows a date, and return_ym
+    for tables by month). Added up from the newest date on they tell which dates hold the page
+    and how far in it begins: those are read, nothing else and nothing is written. Where they
+    hold more than WIDE records before the page's end, their (date, id) pairs are ranked first.
     """
     rows = search_returns(returns, **constraints)
     offset = (max(page, 1) - 1) * page_size
+    counts = rows.groupBy("return_date").agg(F.count("*").alias("n")) if dates is None else dates
+    months = [] if dates is None or "return_ym" not in dates.columns else [F.collect_set(F.struct("return_ym")).alias("months")]
+    counts = counts.filter(F.col("n") > 0).groupBy("return_date").agg(F.sum("n").alias("n"), *months)
+    # One row a date: the only order there is among dates is over all of them
+    newest = Window.orderBy(F.desc_nulls_last("return_date")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("begin", F.coalesce(F.sum("n").over(newest), F.lit(0)))
+    held = counts.filter((F.col("begin") < offset + page_size) & (F.col("begin") + F.col("n") > offset)).collect()
     order = [F.desc_nulls_last("return_date"), F.asc_nulls_first("id")]
+    if not held:
+        return rows.limit(0)
+    inside = rows.filter(_any_of("return_date", [r["return_date"] for r in held]))
+    if months:
+        inside = inside.filter(_any_of("return_ym", list({m["return_ym"] for r in held for m in r["months"]})))
+    offset -= min(r["begin"] for r in held)
+    if offset + page_size <= WIDE:
+        return inside.orderBy(*order).offset(offset).limit(page_size)
+    return _deep(inside, order, offset, page_size, sum(r["n"] for r in held))
+
+
+def _deep(rows: DataFrame, order: list[Column], offset: int, page_size: int, total: int) -> DataFrame:
+    """A page far into the ``total`` records of a few dates, by their (date, id) pairs. More than SHORT
+    are dealt into ranges, and the ranges that hold the page again, until they are short enough to rank."""
     keys = rows.select("return_date", "id")
-    while True:
+    copies = []
+    while total > SHORT:
         dealt = written(keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+        copies.append(dealt)
         counts = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}
         begin, wanted = 0, {}
         for number in sorted(counts):
             if begin < offset + page_size and begin + counts[number] > offset:
                 wanted.setdefault(number, begin)
             begin += counts[number]
-        held = sum(counts[number] for number in wanted)
+        total = sum(counts[number] for number in wanted)
         keys = dealt.filter(F.col("range").isin(list(wanted))).select("return_date", "id")
         offset -= min(wanted.values(), default=0)
-        if held <= SHORT or held == begin:  # Spark leaves a range whole if it is a small one
+        if total == begin:  # Spark leaves a range whole if it is a small one
             break
-    found = keys.orderBy(*order).offset(offset).limit(page_size).collect() if wanted else []
-    return rows.filter(_any_of("id", found) & _any_of("return_date", found)).orderBy(*order).limit(page_size)
-
-
-def _any_of(column: str, found: list) -> Column:
-    """Filter that scans can take: the column has one of the values found."""
-    values = [r[column] for r in found]
+    found = [(r["return_date"], r["id"]) for r in keys.orderBy(*order).offset(offset).limit(page_size).collect()]
+    for copy in copies:
+        forget(copy)
+    if not found:
+        return rows.limit(0)
+    kinds = [rows.schema[c].dataType for c in ("return_date", "id")]
+    pair = F.struct(F.col("return_date").alias("date"), F.col("id").alias("id"))
+    pairs = [F.struct(F.lit(d).cast(kinds[0]).alias("date"), F.lit(i).cast(kinds[1]).alias("id")) for d, i in found]
+    picked = rows.filter(_any_of("id", [i for _, i in found]) & F.exists(F.array(*pairs), lambda p: p.eqNullSafe(pair)))
+    return picked.orderBy(*order).limit(page_size)
+
+
+def _any_of(column: str, values: list) -> Column:
+    """Filter that scans can take: the column has one of the values."""
     some = F.col(column).isin([v for v in values if v is not None])
     return some | F.col(column).isNull() if None in values else some
 

@@ -1,3 +1,4 @@
+from . import rollups
 from .audit import diagnostic_samples, returns_audit, returns_by_year, returns_diagnostic
 from .exports import export_monthly, export_weekly
 from .load import Tables, load_payload, load_sheet, load_sheet_file, load_workbook, open_tables
@@ -71,6 +72,7 @@ __all__ = [
     "returns_by_reason",
     "returns_by_year",
     "returns_diagnostic",
+    "rollups",
     "summary",
     "top_reasons",
     "weekly_for_year",

@@ -71,11 +71,16 @@ def dashboard_cards(orders: DataFrame, returns: DataFrame) -> DataFrame:
 
     The overall rate relates all return units to all order units, without the join.
     """
+    return dashboard_of(order_stats(orders), return_stats(returns))
+
+
+def dashboard_of(sold: DataFrame, back: DataFrame) -> DataFrame:
+    """The cards of the rows of ``order_stats`` and ``return_stats``."""
     nothing = F.lit(None)
-    of_orders = order_stats(orders).select(
+    of_orders = sold.select(
         "units", "revenue", nothing.cast("bigint").alias("records"), nothing.cast("bigint").alias("r_units")
     )
-    of_returns = return_stats(returns).select(
+    of_returns = back.select(
         nothing.cast("bigint"), nothing.cast("double"), "total", "units"
     )
     # Two one-row results laid side by side: stacked, then folded by max.
@@ -91,20 +96,21 @@ def dashboard_cards(orders: DataFrame, returns: DataFrame) -> DataFrame:
 # --- months and weeks --------------------------------------------------------------
 
 
+def day_sums() -> list[Column]:
+    """What orders are summed to, by day or whatever they are grouped by."""
+    shipped = _status(schema.SHIPPED)
+    return [
+        F.sum(_units()).alias("order_units"),
+        F.sum(_revenue()).alias("revenue"),
+        _count(_status(schema.CANCELLED)).alias("cancelled"),
+        _count(shipped).alias("shipped_orders"),
+        F.sum(F.when(shipped, F.col("quantity")).otherwise(0)).alias("shipped_units"),
+    ]
+
+
 def daily_orders(orders: DataFrame) -> DataFrame:
     """Orders with a date, summed by (purchase date, week)."""
-    shipped = _status(schema.SHIPPED)
-    return (
-        orders.filter(non_blank("purchase_date"))
-        .groupBy("purchase_date", "purchase_week")
-        .agg(
-            F.sum(_units()).alias("order_units"),
-            F.sum(_revenue()).alias("revenue"),
-            _count(_status(schema.CANCELLED)).alias("cancelled"),
-            _count(shipped).alias("shipped_orders"),
-            F.sum(F.when(shipped, F.col("quantity")).otherwise(0)).alias("shipped_units"),
-        )
-    )
+    return orders.filter(non_blank("purchase_date")).groupBy("purchase_date", "purchase_week").agg(*day_sums())
 
 
 def monthly_orders(orders: DataFrame, daily: DataFrame | None = None) -> DataFrame:
@@ -185,7 +191,12 @@ def weekly_orders(orders: DataFrame, daily: DataFrame | None = None) -> DataFram
 
 def weekly_summary(orders: DataFrame, returns: DataFrame, daily: DataFrame | None = None) -> DataFrame:
     """Weeks with shipped orders, units, revenue, return records, rate and flag."""
-    joined = weekly_orders(orders, daily).join(weekly_returns(returns), ["year", "week"], "left")
+    return with_rates(weekly_orders(orders, daily), weekly_returns(returns))
+
+
+def with_rates(weekly: DataFrame, returned: DataFrame) -> DataFrame:
+    """Weeks of orders with the returns of the same week."""
+    joined = weekly.join(returned, ["year", "week"], "left")
     back = F.coalesce("returns", F.lit(0))
     return joined.select(
         "year",

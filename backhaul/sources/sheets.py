@@ -19,6 +19,8 @@ from .. import schema
 from ..functions import js_number_text
 from ..functions.text import BLANKS
 from ..schema import SEQ
+from .records import has_breaks, parsed, read_lines, records
+from .staging import forget
 
 ZERO = r"^-?0+(?:\.0*)?$"
 TAB_SUFFIXES = (".tsv", ".txt", ".tab")
@@ -40,10 +42,19 @@ def arrival_order() -> Column:
 
 @dataclass(frozen=True)
 class Sheet:
-    """Rows of one sheet: positional columns plus exact header -> column name."""
+    """Rows of one sheet: positional columns plus exact header -> column name.
+
+    ``parts`` is a written list that the rows are read with; ``release`` deletes it.
+    """
 
     rows: DataFrame
     headers: Mapping[str, str]
+    parts: DataFrame | None = None
+
+    def release(self) -> None:
+        """To be called when the rows are not read any more."""
+        if self.parts is not None:
+            forget(self.parts)
 
     @classmethod
     def of(cls, df: DataFrame, keep: Sequence[str] = ("id", SEQ)) -> Sheet:
@@ -106,20 +117,12 @@ def separator_for(path: str) -> str:
 
 
 def breaks_in_quotes(spark: SparkSession, paths: str | Sequence[str], sep: str) -> bool:
-    """Whether quotes are open at the end of any line: one pass in which tasks share large files.
-
-    A line has open quotes if their number is odd (doubled ones are escaped), or if a cell
-    still begins with a quote once all closed cells are taken out. A stray quote counts as
-    well: then the sheet is read by records, which is right for any.
-    """
-    begin = rf"(^|{re.escape(sep)})[ \t]*+\""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    rest = F.regexp_replace("value", begin + r"""[^"]*+(?:""[^"]*+)*+\"""" + rf"(?=\s*+(?:{re.escape(sep)}|$))", "$1")
-    return not spark.read.text(paths).where((quotes % 2 == 1) | rest.rlike(begin)).isEmpty()
+    """Whether a quote is open at the end of any line: one pass in which tasks share large files."""
+    return has_breaks(read_lines(spark, paths), sep)
 
 
 def read_headers(
-    spark: SparkSession, path: str, sep: str | None = None, multiline: bool = False
+    spark: SparkSession, path: str, sep: str | None = None, multiline: bool = True
 ) -> list[str]:
     """Header line of a delimited sheet (one row on the driver)."""
     reader = _csv(spark.read, sep or separator_for(path)).option("multiLine", multiline)
@@ -136,17 +139,31 @@ def read_sheet(
 ) -> Sheet:
     """Read one delimited sheet (a file, or a folder of parts with equal headers).
 
-    Everything is text, nothing is inferred. Quoted cells may hold line breaks, at the price
-    that a file is read by one task; where no quotes are open at the end of a line, large
-    files are split between tasks. ``multiline`` tells which it is and saves finding out.
+    Everything is text, nothing is inferred. Quoted cells may hold line breaks; large files are
+    split between tasks with and without them (``records``). ``multiline`` tells whether there
+    are any and saves finding out: False reads lines as records, True has each file
+    read by one task of Spark's own reader.
     """
     sep = sep or separator_for(path)
+    headers = list(headers) if headers is not None else read_headers(spark, path, sep, multiline is not False)
+    shape = positional_schema(headers)
     if multiline is None:
-        multiline = breaks_in_quotes(spark, path, sep)
-    headers = list(headers) if headers is not None else read_headers(spark, path, sep, multiline)
-    reader = _csv(spark.read, sep).option("header", True).option("multiLine", multiline)
-    rows = reader.schema(positional_schema(headers)).csv(path)
-    return sheet_from_positions(rows, headers)
+        lines = read_lines(spark, path)
+        if has_breaks(lines, sep):
+            return sheet_of_records(lines, headers, sep)
+    reader = _csv(spark.read, sep).option("header", True).option("multiLine", bool(multiline))
+    return sheet_from_positions(reader.schema(shape).csv(path), headers)
+
+
+def sheet_of_records(lines: DataFrame, headers: Sequence[str], sep: str) -> Sheet:
+    """The sheet of ``read_lines``, records of several lines put together."""
+    found = records(lines, sep)
+    return Sheet(placed(parsed(found.rows, positional_schema(headers), sep)), header_names(headers), found.parts)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Parsed records with their arrival order."""
+    return rows.withColumn(SEQ, F.struct("file", "start", "row")).drop("file", "start", "row")
 
 
 def positional_schema(headers: Sequence[str]) -> T.StructType:

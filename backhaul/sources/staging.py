@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 
 from ..session import scratch_root
-from .files import hadoop_path
+from .paths import hadoop_path
 
 
 @contextmanager
@@ -32,12 +32,15 @@ def staged(df: DataFrame) -> Iterator[DataFrame]:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared scratch folder, for a result that is computed later.
-
-    The copy stays there, as nobody knows when the result was read; whoever owns the
-    scratch folder empties it.
-    """
+    """``df`` written once to the shared scratch folder, until ``forget`` is called on the result."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``written`` wrote, once nothing reads it any more."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        fs, target = hadoop_path(df.sparkSession, path)
+        fs.delete(target, True)

@@ -25,7 +25,9 @@ def _text(column: str) -> Column:
 
 
 def _row_id() -> Column:
-    return F.concat_ws("|", *[_text(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    """Of all that tells lines apart: order, line, part and supplier alone repeat in a few."""
+    keys = [_text(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return F.concat_ws("|", *keys, F.col("l_quantity").cast("bigint").cast("string"), _money("l_extendedprice").cast("string"))
 
 
 def _mod(column: str, n: int) -> Column:
@@ -143,7 +145,8 @@ def _gender() -> Column:
 
 
 def _comment() -> Column:
-    text = F.concat(F.lit('said "'), F.lower(_reason()), F.lit('", sent back'))
+    gap = F.when(_mod("l_suppkey", 2) == 0, "\n").otherwise(" ")
+    text = F.concat(F.lit('said "'), F.lower(_reason()), F.lit('",'), gap, F.lit("sent back"))
     return F.when(_mod("l_linenumber", 4) == 0, text).otherwise("")
 
 

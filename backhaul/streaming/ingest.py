@@ -2,17 +2,15 @@
 
 The stream keeps no state of its own. A row is new if its hash is not in the table,
 for all time, so there is nothing a watermark could expire: each micro-batch is
-compared with the table, and a batch replayed after a failure adds nothing twice. Its
-log entry is written after its rows: a failure right between the two makes the replay
-log those rows as skipped.
+compared with the table. Its rows and its log entry are published in one version of the
+tables, and the entry names the batch: a failure leaves both or neither, and a batch that is
+replayed after it was published is left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.load import Tables, insert_new, load_sheet, numbered
 from ..sources.log import append_upload
-from ..sources.sheets import SEQ, Sheet, breaks_in_quotes, header_names, positional_schema
+from ..sources.records import BREAK, has_breaks, parsed, with_rows, with_splits, without_header
+from ..sources.sheets import Sheet, header_names, placed, positional_schema, sheet_of_records
 from ..sources.staging import staged
 from ..sources.tables import SnapshotTable
 
@@ -39,58 +38,35 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Load every file of ``folder`` not loaded before, then stop.
 
-    All files share ``headers``. ``multiline`` as for ``read_sheet``, found out for every
-    micro-batch's files. Returns the started query; call ``awaitTermination`` on it.
+    All files share ``headers``. Quoted cells may hold line breaks: every micro-batch finds out,
+    from its lines, and records of several lines are put together by tasks that share large
+    files. ``multiline=False`` saves that. Returns the started query; call ``awaitTermination`` on it.
     """
-
-    def options(reader, by_record: bool):
-        reader = reader.schema(positional_schema(headers)).option("header", True).option("sep", sep)
-        return reader.option("quote", '"').option("escape", '"').option("multiLine", by_record)
-
-    reader = options(spark.readStream, bool(multiline))
+    reader = spark.readStream.option("lineSep", BREAK)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    places = [
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-    ]
-    named = header_names(headers)
+    shape = positional_schema(headers)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        if multiline is None:
-            session = batch.sparkSession
-            files = [_as_path(r["_file"]) for r in batch.select("_file").distinct().collect()]
-            if files and breaks_in_quotes(session, files, sep):
-                batch = options(session.read, True).csv(files).select("*", *places)
-        sheet = Sheet(_in_order(batch), named)
-        counts = load_sheet(tables, sheet, kind)
-        batch_name = f"{checkpoint}#{batch_id}"
-        append_upload(
-            tables.log,
-            batch_name.rsplit("/", 1)[-1],
-            hashlib.md5(batch_name.encode()).hexdigest(),
-            kind or "auto",
-            counts["added"],
-            counts["skipped"],
-            uploaded_by,
-        )
-
-    return _start(reader.csv(folder).select("*", *places), load, checkpoint)
-
-
-def _as_path(uri: str) -> str:
-    """A file's name as Spark's readers take it: nothing encoded, nothing a pattern."""
-    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(uri))
-
-
-def _in_order(batch: DataFrame) -> DataFrame:
-    """Arrival order of a micro-batch, which still has the partitions of its scan."""
-    order = F.struct(
-        F.col("_file").alias("file"),
-        F.col("_start").alias("start"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return batch.withColumn(SEQ, order).drop("_file", "_start")
+        name = f"{checkpoint}#{batch_id}"
+        digest = hashlib.md5(name.encode()).hexdigest()
+        lines = with_rows(batch)
+
+        def work() -> None:
+            if not tables.log.read().filter(F.col("file_hash") == digest).isEmpty():
+                return  # a replay of what was published
+            if multiline is not False and has_breaks(lines, sep):
+                sheet = sheet_of_records(lines, headers, sep)
+            else:
+                sheet = Sheet(placed(parsed(without_header(lines), shape, sep)), header_names(headers))
+            counts = load_sheet(tables, sheet, kind)
+            append_upload(
+                tables.log, name.rsplit("/", 1)[-1], digest, kind or "auto", counts["added"], counts["skipped"], uploaded_by
+            )
+
+        tables.commits.atomically(work)
+
+    return _start(with_splits(reader.text(folder)), load, checkpoint)
 
 
 def stream_rows(

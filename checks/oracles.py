@@ -92,7 +92,10 @@ def big(x: str) -> str:
     return f"CAST({x} AS BIGINT)"
 
 
-ROW_ID = "l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey"
+ROW_ID = (
+    "l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || "
+    "CAST(l_quantity AS BIGINT) || '|' || CAST(l_extendedprice AS DECIMAL(18,2))"
+)
 ORDER_ID = "CASE WHEN l_suppkey % 97 = 0 THEN '' ELSE CAST(l_orderkey AS VARCHAR) END"
 BRAND = (
     "CASE l_partkey % 10 WHEN 0 THEN '' WHEN 1 THEN '-' ELSE coalesce(p_brand, '') END"
@@ -154,8 +157,8 @@ return_rows AS (
     'Unit returned' AS status,
     CASE l_suppkey % 4 WHEN 0 THEN 'Men' WHEN 1 THEN 'Women' WHEN 2 THEN 'Unisex' ELSE '' END AS gender,
     {BRAND} AS brand,
-    CASE WHEN l_linenumber % 4 = 0 THEN 'said "' || lower(reason) || '", sent back' ELSE '' END
-      AS customer_comments,
+    CASE WHEN l_linenumber % 4 = 0 THEN 'said "' || lower(reason) || '",' ||
+      CASE WHEN l_suppkey % 2 = 0 THEN chr(10) ELSE ' ' END || 'sent back' ELSE '' END AS customer_comments,
     l_returnflag AS flag, l_suppkey AS sk, l_linenumber AS ln
   FROM reasons
 ),
@@ -526,6 +529,52 @@ def _maintained() -> str:
       UNION ALL SELECT 'truncate_returns', n_first, 0 FROM n"""
 
 
+BREAKDOWNS = f"""SELECT 'reason' AS dimension, reason AS value, count(*) AS records, {big('sum(quantity)')} AS units
+              FROM r WHERE reason <> '' GROUP BY reason
+            UNION ALL SELECT 'disposition', disposition, count(*), {big('sum(quantity)')} FROM r
+              WHERE disposition <> '' GROUP BY disposition
+            UNION ALL SELECT 'gender', gender, count(*), {big('sum(quantity)')} FROM r WHERE gender <> '' GROUP BY gender
+            UNION ALL (SELECT 'brand', brand, count(*) AS n, {big('sum(quantity)')} FROM r
+              WHERE brand <> '' AND brand <> '-' GROUP BY brand ORDER BY n DESC, brand LIMIT 20)"""
+
+
+def _rollup_values() -> str:
+    filters = " UNION ALL ".join(
+        f"SELECT DISTINCT 'filter {c}', {c}, NULL, NULL, NULL FROM r WHERE {c} NOT IN ('', {placeholder})"
+        for c, placeholder in (("reason", "''"), ("disposition", "''"), ("brand", "'-'"))
+    )
+    return f"""WITH {UPSERT_CTE.replace('r AS (SELECT * FROM any_r', 'sent AS (SELECT * FROM any_r').replace('FROM r', 'FROM sent')},
+      r AS (SELECT * FROM imported WHERE disposition <> '')
+      SELECT dimension, value, records, units, CAST(NULL AS VARCHAR) AS earliest FROM ({BREAKDOWNS})
+      UNION ALL {filters}
+      UNION ALL SELECT 'filter return_month', return_month, NULL, NULL, min(return_date) FROM r
+        WHERE return_month <> '' GROUP BY return_month"""
+
+
+def _rollup_page() -> str:
+    pages = [
+        f"(SELECT {RETURN_COLUMNS.removeprefix('id, ')}, {n} AS page FROM imported "
+        f"ORDER BY return_date DESC NULLS LAST, batch, id LIMIT 50 OFFSET {n * 50 - 50})"
+        for n in (3, 40)
+    ]
+    return f"WITH {UPSERT_CTE} {pages[0]} UNION ALL {pages[1]}"
+
+
+def _cleaned(select: str, ctes: str = "") -> str:
+    return f"""WITH o AS (SELECT * FROM ({_loaded(_ingest_orders())})
+        WHERE amazon_order_id <> '' OR coalesce(purchase_date, '') <> '' OR order_status <> ''),
+      r AS (SELECT * FROM ({_loaded(_ingest_returns())}) WHERE disposition <> '') {ctes} {select}"""
+
+
+CARDS = f"""SELECT units AS order_units, revenue, return_records, return_units,
+              {pct('return_units', 'units', 1, '0')} AS return_rate
+            FROM (SELECT {big("sum(CASE WHEN order_status <> 'On Trial' THEN quantity ELSE 0 END)")} AS units,
+                CAST(sum(CASE WHEN order_status = 'Shipped' THEN item_price ELSE 0 END) AS DOUBLE) AS revenue FROM o),
+              (SELECT count(*) AS return_records, {big('sum(quantity)')} AS return_units FROM r)"""
+WEEKS = f"""SELECT *, {pct('returns', 'shipped_orders')} AS return_rate,
+            {high('returns', 'shipped_orders')} AS high_rate FROM weekly"""
+
+
 def oracle_sql() -> dict[str, str]:
     keys = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
     return {
@@ -690,6 +739,16 @@ def oracle_sql() -> dict[str, str]:
         "load_returns": f"SELECT * EXCLUDE (id, rn) FROM ({_loaded(_ingest_returns())})",
         "stream_sheets": f"SELECT * EXCLUDE (id, rn) FROM ({_loaded(_ingest_returns())})",
         "load_log": _load_log(),
+        "rollup_values": _rollup_values(),
+        "rollup_page": _rollup_page(),
+        "rollup_weeks": _cleaned(WEEKS, f", {WEEKLY_CTE.lstrip()}"),
+        "rollup_cards": _cleaned(CARDS),
+        "file_fingerprint": """WITH hashed AS (
+            SELECT md5((row_number() OVER (ORDER BY o_orderkey) - 1) || ':' || o_orderkey || '|' ||
+              strftime(o_orderdate, '%Y-%m-%d') || '|' || o_orderstatus) AS h FROM orders),
+          summed AS (SELECT count(*) AS lines, sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) AS a,
+            sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)) AS b FROM hashed)
+          SELECT lines, md5(lines || '|' || a || '|' || b) AS fingerprint FROM summed""",
         "load_payload": f"WITH {UPSERT_CTE} SELECT {RETURN_COLUMNS.removeprefix('id, ')} FROM imported",
         "maintain_tables": _maintained(),
         # --- reports --------------------------------------------------------------------------------

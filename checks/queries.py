@@ -15,7 +15,7 @@ from backhaul import operators as op
 from backhaul import plans, schema
 from backhaul.operators.attribution import ORDER_ID, lines_per_order, total_units, units_per_order
 from backhaul.session import apply_runtime, scratch_root
-from backhaul.sources import Sheet, SnapshotTable, star, upload_history
+from backhaul.sources import Sheet, SnapshotTable, content_digest, line_sums, star, upload_history
 from backhaul.sources.log import append_log, log_entries
 from backhaul.sources.payload import read_returns_payload
 from backhaul.streaming import stream_ingest as stream_folder
@@ -722,6 +722,16 @@ def _without_id(rows: DataFrame) -> DataFrame:
     return as_double(rows.drop("id"), *money)
 
 
+@register
+def file_fingerprint(spark, folder):
+    """The fingerprint of a sheet of all orders, a folder of parts in the order of their keys."""
+    path = f"{_scratch(spark, 'sheet')}/orders.psv"
+    sold = spark.read.parquet(f"{folder}/orders.parquet").orderBy("o_orderkey")
+    line = F.concat_ws("|", _text("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus")
+    sold.select(line).write.text(path)
+    return line_sums(spark, path).select("lines", content_digest())
+
+
 @register
 def load_orders(spark, folder):
     """The raw orders sheet, written as delimited text and loaded by its headers."""
@@ -766,14 +776,60 @@ def load_log(spark, folder):
 @register
 def load_payload(spark, folder):
     """Two returns imports from JSON records, which come without ids."""
+    loaded = _without_id(_imported(spark, folder).returns.read())
+    return loaded.withColumn("disposition", F.coalesce("disposition", F.lit("")))
+
+
+def _imported(spark: SparkSession, folder: str) -> plans.Tables:
+    """Both return batches, imported one after the other; the second one rewrites months."""
     root = _scratch(spark, "load")
     tables = plans.open_tables(spark, f"{root}/tables")
     for n, batch in enumerate(star.return_batches(spark, folder)):
         records = batch.orderBy("id").withColumnRenamed("return_month", "return_date_parsed")
         records.select(*schema.RETURNS_PAYLOAD.names).write.json(f"{root}/batch-{n}")
         plans.load_payload(tables, read_returns_payload(spark, f"{root}/batch-{n}"), "returns")
-    loaded = _without_id(tables.returns.read())
-    return loaded.withColumn("disposition", F.coalesce("disposition", F.lit("")))
+    return tables
+
+
+@register
+def rollup_page(spark, folder):
+    """Two pages of imported returns, found by the counts of dates kept with the loads."""
+    tables = _imported(spark, folder)
+    pages = [plans.rollups.page(tables, n).withColumn("page", F.lit(n)) for n in (3, 40)]
+    return pages[0].unionAll(pages[1]).drop("id").withColumn("disposition", F.coalesce("disposition", F.lit("")))
+
+
+@register
+def rollup_values(spark, folder):
+    """Breakdowns and filter values of imported returns without blank dispositions, from sums kept with the loads."""
+    tables = _imported(spark, folder)
+    plans.maintain(tables, "cleanup_empty_disposition")
+    parts = plans.rollups.breakdowns(tables).withColumn("earliest", F.lit(None).cast("string"))
+    options = plans.rollups.filter_options(tables).withColumns(
+        {"records": F.lit(None).cast("bigint"), "units": F.lit(None).cast("bigint")}
+    )
+    options = options.withColumn("dimension", F.concat(F.lit("filter "), "facet"))
+    return parts.unionByName(options.select(*parts.columns))
+
+
+def _cleaned_book(spark: SparkSession, folder: str) -> plans.Tables:
+    tables, _ = _load_book(spark, folder)
+    for operation in ("cleanup_bad_orders", "cleanup_empty_disposition"):
+        plans.maintain(tables, operation)
+    tables.returns.compact()
+    return tables
+
+
+@register
+def rollup_weeks(spark, folder):
+    """Weeks of a loaded and cleaned workbook, from sums kept with the loads."""
+    return plans.rollups.weekly_summary(_cleaned_book(spark, folder))
+
+
+@register
+def rollup_cards(spark, folder):
+    """Dashboard totals of a loaded and cleaned workbook, from sums kept with the loads."""
+    return plans.rollups.dashboard_cards(_cleaned_book(spark, folder))
 
 
 @register
