@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FAN = 16
+PART = "part long, data binary"
+
+
+def of_tasks(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], bytes], fold: Callable[[list[bytes]], bytes]) -> bytes:
+    """``fold`` of what ``work`` makes of each task's rows, in the order of the tasks.
+
+    ``FAN`` results at a time are folded in tasks until so few are left, and those on the driver.
+    """
+
+    def in_task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = work(b for b in frames if b.num_rows)
+        yield _part(TaskContext.get().partitionId(), data)
+
+    def of_few(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        return pa.Table.from_batches([_part(rows.column("part")[0].as_py() // FAN, fold(rows.column("data").to_pylist()))])
+
+    parts = written(df.mapInArrow(in_task, PART), "parts")
+    while parts.count() > FAN:
+        fewer = written(parts.groupBy(F.expr(f"part div {FAN}").alias("few")).applyInArrow(of_few, PART), "parts")
+        forget(parts)
+        parts = fewer
+    last = [bytes(data) for _, data in sorted((r["part"], r["data"]) for r in parts.collect())]
+    forget(parts)
+    return fold(last)
+
+
+def _part(number: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([data], pa.binary())], ["part", "data"])
+
+
 def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` with a column that has a different long in every row, and its name.
 

@@ -12,6 +12,7 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language import op8_language
 from .license_scan import OP6_SQL, op6_license_scan
 from .packing import op1_packing
+from .quality import op13_quality
 from .simhash import op7_simhash
 from .site_tree import op2_site_tree
 from .token_alignment import op12_token_alignment
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_embedding_dedup,
         op11_whitening,
         op12_token_alignment,
+        op13_quality,
     )
     return {f.__name__: f for f in found}
 

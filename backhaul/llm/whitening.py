@@ -11,8 +11,8 @@ and not on its square keeps small variances accurate.
 Every row is then centred and projected in one pass, and how far the covariance of the
 result is from the identity is measured in another.
 
-Nothing that grows with the rows comes to the driver: two numbers per dimension, and at
-most ``FAN`` triangular factors. Rows are shuffled once, to find the different ones; copies
+Nothing that grows with the rows comes to the driver: two numbers per dimension, and a few
+triangular factors. Rows are shuffled once, to find the different ones; copies
 combine before that shuffle, however many there are.
 
 Defined cases: rows whose vector is null or has a null or non-finite entry are left out, and
@@ -30,19 +30,17 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bidiagonal import right_singular
-from .common import small_batches, table, written
+from .common import of_tasks, small_batches, table, written
 
 SCALE = 64
 SHIFT = 1_000_000
 COMPONENTS = 16
 LARGEST = float(1 << 39)
 BLOCK = 4096  # rows that are reduced at once
-FAN = 16  # triangular factors that are reduced at once
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
@@ -119,22 +117,13 @@ def _reduced(blocks: Iterator[np.ndarray], size: int) -> np.ndarray:
 def triangular(different: DataFrame, size: int, mean: Centre) -> np.ndarray:
     """R of the QR decomposition of all centred vectors."""
 
-    def of_task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor = _reduced((mean.around(_matrix(b.column(0), size)) for b in frames if b.num_rows), size)
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([factor.tobytes()], pa.binary())], ["part", "factor"])
-
-    def of_few(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("part")
-        factor = _reduced((np.frombuffer(r.as_py()).reshape(size, size) for r in rows.column("factor")), size)
-        return pa.table({"part": pa.array([rows.column("part")[0].as_py() // FAN], pa.int64()), "factor": pa.array([factor.tobytes()], pa.binary())})
-
-    factors = written(different.select("x").mapInArrow(of_task, "part long, factor binary"), "factors")
-    while factors.count() > FAN:  # groups of FAN factors
-        groups = factors.groupBy(F.expr(f"part div {FAN}").alias("few"))
-        factors = written(groups.applyInArrow(of_few, "part long, factor binary"), "factors")
-    last = sorted((r["part"], bytes(r["factor"])) for r in factors.collect())
-    return _reduced((np.frombuffer(f).reshape(size, size) for _, f in last), size)
+    def of_task(frames: Iterator[pa.RecordBatch]) -> bytes:
+        return _reduced((mean.around(_matrix(b.column(0), size)) for b in frames), size).tobytes()
+
+    def of_few(factors: list[bytes]) -> bytes:
+        return _reduced((np.frombuffer(f).reshape(size, size) for f in factors), size).tobytes()
+
+    return np.frombuffer(of_tasks(different.select("x"), of_task, of_few)).reshape(size, size)
 
 
 def covariance(different: DataFrame, size: int, mean: Centre, directions: np.ndarray) -> np.ndarray:

@@ -1,0 +1,171 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from llm_texts import ODD_TEXTS
+
+from backhaul.llm import quality as q
+from backhaul.llm import text_stats
+from backhaul.llm.words import LETTER, NUMBER, SPACE, kinds
+
+
+def plain_stats(text):
+    """The same numbers character by character and word by word."""
+    if not text:
+        return [0.0] * len(text_stats.NAMES)
+    kind = [kinds()[ord(c)] for c in text]
+    letters, numbers = kind.count(LETTER), kind.count(NUMBER)
+    capitals = sum(c.isupper() for c in text)
+    symbol = [k not in (LETTER, NUMBER, SPACE) for k in kind]
+    words, begin = [], None
+    for i, k in enumerate([*kind, SPACE]):
+        if k != SPACE and begin is None:
+            begin = i
+        if k == SPACE and begin is not None:
+            words.append((begin, i))
+            begin = None
+    lines = [line for line in text.split("\n") if line]
+    texts = [text[a:b] for a, b in words]
+    n = max(len(words), 1)
+    pairs = list(zip(texts, texts[1:]))
+    sizes = np.array([len(w) for w in texts] or [0])
+
+    def share(test):
+        return sum(test(a, b) for a, b in words) / n
+
+    def large(a, b):
+        own = sum(k == LETTER for k in kind[a:b])
+        return own > 1 and own == sum(c.isupper() for c in text[a:b])
+
+    return [
+        np.log1p(len(text)), letters / len(text), capitals / max(letters, 1), numbers / len(text), sum(symbol) / len(text),
+        kind.count(SPACE) / len(text), sum(a == b and s for a, b, s in zip(text, text[1:], symbol[1:])) / len(text),
+        sizes.mean(), sizes.std(), (sizes[: len(words)] <= 3).sum() / n, (sizes > 12).sum() / n, share(large),
+        share(lambda a, b: all(symbol[a:b])), share(lambda a, b: symbol[b - 1]), share(lambda a, b: b - a > 1 and symbol[b - 1] and symbol[b - 2]),
+        share(lambda a, b: text[b - 1] in ".!?。！？"), np.log1p(len(words) / max(len(lines), 1)), sum(a == b for a, b in pairs) / n,
+        np.log1p(len(set(texts))) / max(np.log1p(len(words)), 1), len(set(pairs)) / max(len(pairs), 1),
+        max(Counter(texts).values(), default=0) / n, len(set(lines)) / max(len(lines), 1),
+    ]
+
+
+TEXTS = [t or "" for t in ODD_TEXTS] + ["the the THE A |  | end.\n\nend.\nx!! %%% ok?", "日本。 日本。", "\n", "a", "ÀB çd e" * 3]
+
+
+@pytest.mark.parametrize("piece", [text_stats.PIECE, 200])
+def test_stats(monkeypatch, piece):
+    monkeypatch.setattr(text_stats, "PIECE", piece)
+    texts = TEXTS + ["one two\n" * 70 + "\n".join(f"line {i} of, many {i % 7}!" for i in range(90))]
+    texts = [t for t in texts if piece > 1000 or not t.startswith("word ")]  # a line of its own length
+    found = text_stats.text_stats(texts)
+    for text, row in zip(texts, found):
+        assert np.allclose(row, plain_stats(text), atol=1e-5), text[:40]
+    assert text_stats.text_stats([]).shape == (0, len(text_stats.NAMES))
+
+
+def table(spark, stats, positive):
+    rows = [(list(map(float, s)), bool(p), bool(p) and i % 4 == 0) for i, (s, p) in enumerate(zip(stats, positive))]
+    return spark.createDataFrame(rows, "stats array<float>, positive boolean, apart boolean").repartition(18)
+
+
+@pytest.fixture(scope="module")
+def mixture(spark):
+    """700 positives, of which 250 are labelled, and 300 negatives."""
+    rng = np.random.default_rng(0)
+    stats = rng.normal(0, 1, (1000, len(text_stats.NAMES)))
+    stats[700:, :3] += 2.5
+    truth = np.arange(1000) < 700
+    return stats, truth, table(spark, stats, np.arange(1000) < 250)
+
+
+def risk_of(prior, x, positive, weights):
+    """The non-negative risk with its ridge, the plain way."""
+    loss = np.log1p(np.exp(-(x @ weights))), np.log1p(np.exp(x @ weights))
+    rest = loss[1].mean() - prior * loss[1][positive].mean()
+    penalty = q.ridge(positive.sum(), x.shape[1])
+    return prior * loss[0][positive].mean() + max(0, rest) + (penalty @ weights**2) / 2
+
+
+def test_knots_and_weights(spark, mixture):
+    stats, _, rows = mixture
+    model = q.bends(rows)
+    weights = np.random.default_rng(1).normal(0, 1, model.size)
+    found = model(stats.astype(np.float32).astype(np.float64)) @ weights
+    used, plain = 1, np.full(len(stats), weights[0])
+    for i, knots in enumerate(model.knots):
+        heights = np.append(0, weights[used : used + len(knots) - 1])
+        plain += np.interp(stats[:, i].astype(np.float32), knots, heights)
+        used += max(0, len(knots) - 1)
+    assert np.allclose(found, plain, atol=1e-5)
+
+
+def test_least_risk_and_prior(spark, mixture):
+    stats, truth, rows = mixture
+    model = q.bends(rows)
+    weights = q.minimised(rows, model, q.against)
+    parts = q.passed(rows, model, weights)
+    _, slope, _ = q.against(*parts)
+    assert np.abs(slope + q.ridge(parts[0].n, model.size) * weights).max() < 1e-3
+    assert abs(q.class_prior(rows, model, weights) - 0.7) < 0.1
+    whole = rows.selectExpr("stats", "positive", "false AS apart")
+    weights = q.minimised(whole, model, q.non_negative(0.7))
+    x = model(stats.astype(np.float32).astype(np.float64))
+    positive = np.arange(1000) < 250
+    least = risk_of(0.7, x, positive, weights)
+    p, u = q.passed(whole, model, weights)
+    assert u.as_negative - 0.7 * p.as_negative >= 0
+    rng = np.random.default_rng(2)
+    for size in (1e-3, 1e-2, 0.1, 1):
+        assert all(risk_of(0.7, x, positive, weights + size * rng.normal(0, 1, len(weights))) >= least - 1e-6 for _ in range(20))
+    g = x @ weights
+    assert np.mean(g[truth][:, None] > g[~truth][None, :]) > 0.97
+
+
+def test_passes_equal_one_sum(spark, mixture):
+    stats, _, rows = mixture
+    model = q.bends(rows)
+    weights = np.random.default_rng(3).normal(0, 0.3, model.size)
+    p, u = q.passed(rows, model, weights)
+    x = model(stats.astype(np.float32).astype(np.float64))
+    i = np.arange(1000)
+    for part, own in ((p, (i < 250) & (i % 4 != 0)), (u, i >= 0)):
+        z = x[own] @ weights
+        s = 1 / (1 + np.exp(-z))
+        assert part.n == own.sum()
+        assert np.isclose(part.as_positive, np.log1p(np.exp(-z)).mean()) and np.isclose(part.as_negative, np.log1p(np.exp(z)).mean())
+        assert np.allclose(part.down, -((1 - s) @ x[own]) / own.sum()) and np.allclose(part.up, s @ x[own] / own.sum())
+        assert np.allclose(part.curve, x[own].T @ (x[own] * (s * (1 - s))[:, None]) / own.sum())
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    found = {r["doc_id"]: r for r in q.quality(docs, labels).collect()}
+    assert len(found) == docs.count()
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    apart = [i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in found)
+    right = [found[i]["predicted"] == truth[i] for i in apart]
+    assert len(right) > 60 and np.mean(right) > 0.95
+    assert all((r["score"] >= 0.7) == (r["predicted"] == 1) and 0 <= r["score"] <= 1 for r in found.values())
+
+
+def test_held_out_labels_teach_nothing(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    turned = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2 THEN 1 - quality ELSE quality END AS quality")
+    assert q.trusted(turned).exceptAll(q.trusted(labels)).isEmpty()
+    assert q.trusted(labels).exceptAll(q.trusted(turned)).isEmpty()
+
+
+def test_odd_documents(spark, odd_docs, no_docs):
+    schema = "doc_id long, quality int, text string, score double"
+    labels = spark.createDataFrame([(3, 1, "", 0.0), (4, 1, "", 0.0), (4, 0, "", 0.0), (5, None, "", 0.0), (None, 1, "", 0.0), (12, 1, "", 0.0)], schema)
+    assert {r["doc_id"] for r in q.trusted(labels).collect()} == {i for i in (3, 12) if zlib.crc32(str(i).encode()) % 4 != 2}
+    rows = q.quality(odd_docs, labels).collect()
+    assert len(rows) == odd_docs.count()
+    assert not any(r["held_out"] for r in rows if r["doc_id"] is None)
+    by_id = {r["doc_id"]: r["score"] for r in rows}
+    assert by_id[0] == by_id[1] == by_id[len(ODD_TEXTS)]  # null and empty
+    nothing = q.quality(odd_docs, labels.limit(0)).collect()
+    assert {(r["score"], r["predicted"]) for r in nothing} == {(0.5, 0)}
+    assert q.quality(no_docs, labels).collect() == []
