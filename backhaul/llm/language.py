@@ -3,8 +3,8 @@
 The blended-spectrum presence kernel of two texts counts the different character
 n-grams (n = 1, 2, 3) that both contain, divided by the root of the product of their own
 counts. Texts are lower-cased, runs of anything but letters are one space. n-grams are
-those of the training sample, over its most frequent letters (up to ``MAX_LETTERS``;
-rarer ones are one symbol).
+those of the training sample, over any letters of any script: an n-gram is a hash of its code points
+into ``SLOTS`` slots, of which those the sample has are used.
 
 Landmarks, some training texts of every language, give Nystroem features: with K the
 kernel among landmarks, a text's kernel values with the landmarks times K^(-1/2). On
@@ -12,10 +12,13 @@ them one ridge regression per language separates it from the rest (target 1 or -
 two matrices are multiplied once, so predicting a batch is: presence matrix, times
 landmarks, divided by the norms, times coefficients.
 
-The model is fitted on the driver from at most ``PER_LANGUAGE`` different texts for each
-language, chosen by a hash of the text. Of a long one it takes a window of ``MAX_CHARS``
-characters, shorter ones if all would pass ``TOTAL_CHARS``; that bounds it. Landmarks are
-chosen by a hash as well.
+The model is fitted on the driver from at most ``SAMPLE`` different texts, ``PER_LANGUAGE`` of one language,
+chosen by a hash of the text (one at least of every language). Of a long one it takes a window of ``MAX_CHARS``
+characters, shorter ones if all would pass ``TOTAL_CHARS``; that bounds it. There are at most ``LANDMARKS``
+landmarks (one at least of every language), chosen by a hash as well. So the model has at most SLOTS times
+LANDMARKS numbers, whatever the number of languages up to LANDMARKS. The choice needs the
+number of texts of each language first; with it a bound on the hash leaves about as many of each as
+are wanted, and only those are ranked.
 Whole texts are predicted, in batches within a task; nothing is shuffled.
 
 Defined cases: ``und`` with score 0 if a text is null or has no letter, or if there is
@@ -36,14 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, written
 from .words import LETTER, kinds
 
 PER_LANGUAGE = 250
+SAMPLE = 4_000
 MAX_CHARS = 20_000
 TOTAL_CHARS = 20_000_000
-MAX_LETTERS = 200
+LANDMARKS = 256
 LANDMARKS_PER_LANGUAGE = 32
+SLOTS = 1 << 16
+BLOCK = 128  # texts whose presence matrix is held at once
 RIDGE = 1e-2
 FOLDS = 5
 UNKNOWN = "und"
@@ -53,77 +59,53 @@ def fold() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
 
 
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
 class Grams:
-    """Presence of the known n-grams, as a matrix of texts by n-grams."""
+    """Presence of the n-grams of some texts, as a matrix of texts by n-grams."""
 
     def __init__(self, texts: list[str]):
-        counts: Counter[str] = Counter()
-        for text in texts:
-            counts.update(text.lower())
-        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if kinds()[ord(c)] == LETTER]
-        self.symbols = 2 + min(len(letters), MAX_LETTERS)  # 0: a space, 1: any other letter
-        self.symbol = {ord(c): 2 + i for i, c in enumerate(letters[:MAX_LETTERS])}
-        tables = [np.zeros(self.symbols**n, bool) for n in (1, 2, 3)]
+        known = np.zeros(SLOTS, bool)
         for text in texts:
-            for known, codes in zip(tables, self._codes([text])[0]):
-                known[codes] = True
-        for n, known in enumerate(tables, 1):
-            known[self._two_spaces(n)] = False
-        self.index: list[np.ndarray] = []
-        self.size = sum(int(known.sum()) for known in tables)
-        used = 0
-        for known in tables:
-            index = np.full(known.size, self.size, np.int32)
-            found = np.flatnonzero(known)
-            index[found] = used + np.arange(found.size)
-            used += found.size
-            self.index.append(index)
-
-    def _two_spaces(self, n: int) -> np.ndarray:
-        """Codes with neighbouring spaces, which only occur where two texts meet."""
-        codes = np.arange(self.symbols**n)
-        digits = [codes // self.symbols**k % self.symbols for k in range(n)]
-        bad = np.zeros(codes.size, bool)
-        for a, b in zip(digits, digits[1:]):
-            bad |= (a == 0) & (b == 0)
-        return codes[bad]
-
-    def _codes(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Codes of all n-grams by n, the text each symbol is in, whether a text has letters."""
+            slots, _, _ = self._slots([text])
+            known[slots] = True
+        self.size = int(known.sum())
+        self.index = np.full(SLOTS, self.size, np.int32)
+        self.index[known] = np.arange(self.size)
+
+    def _slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots of all n-grams but those that neighbouring spaces are in, the text of each, whether a text has letters."""
         low = [f" {t.lower()} " for t in texts]
-        symbols = self._lookup()[np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)]
+        codes = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
         lengths = np.fromiter(map(len, low), np.int64, len(low))
-        letter = symbols > 0
+        letter = kinds()[codes] == LETTER
         begins = np.cumsum(lengths) - lengths
         has_letter = np.add.reduceat(letter, begins, dtype=np.int64) > 0
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # of a run of other characters, the first
         keep[begins] = True
-        symbols = symbols[keep]
+        symbols = np.where(letter, codes, 0)[keep].astype(np.uint64)
         of = np.repeat(np.arange(len(low), dtype=np.int32), np.add.reduceat(keep, begins, dtype=np.int64))
-        s = self.symbols
-        pairs = symbols[:-1] * s + symbols[1:]
-        return [symbols, pairs, pairs[:-1] * s + symbols[2:]], of, has_letter
-
-    def _lookup(self) -> np.ndarray:
-        if not hasattr(self, "_table"):
-            found = (kinds() == LETTER).astype(np.int32)
-            for code, symbol in self.symbol.items():
-                found[code] = symbol
-            self._table = found
-        return self._table
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_table"}
+        # Two spaces meet where two texts do, or where a text has no letter behind its first one
+        apart = (symbols[:-1] == 0) & (symbols[1:] == 0)
+        one = symbols * _MIX[0]
+        two = one[:-1] * _MIX[1] + symbols[1:] * _MIX[2] + np.uint64(1)
+        three = two[:-1] * _MIX[1] + symbols[2:] * _MIX[2] + np.uint64(2)
+        slots, owners = [], []
+        for values, bad in ((one, None), (two, apart), (three, apart[:-1] | apart[1:])):
+            good = slice(None) if bad is None else ~bad
+            mixed = values[good] ^ (values[good] >> np.uint64(29))
+            slots.append((mixed * _MIX[0] >> np.uint64(48)).astype(np.int64) & (SLOTS - 1))
+            owners.append(of[: values.size][good])
+        return np.concatenate(slots), np.concatenate(owners), has_letter
 
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(matrix, has letters)."""
-        codes, of, has_letter = self._codes(texts)
+        slots, of, has_letter = self._slots(texts)
         width = self.size + 1  # the last column takes what is not known
         found = np.zeros(len(texts) * width, np.uint8)
-        begin = of.astype(np.int64) * width
-        for index, own in zip(self.index, codes):
-            found[begin[: own.size] + index[own]] = 1
+        found[of.astype(np.int64) * width + self.index[slots]] = 1
         return found.reshape(-1, width)[:, :-1].astype(np.float32), has_letter
 
 
@@ -149,20 +131,27 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(lang, text) of a bounded, repeatable choice of different texts outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
     fit = labelled.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
-    different = fit.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
-    by_hash = Window.partitionBy("lang").orderBy("h")
-    chosen = different.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= PER_LANGUAGE)
-    chosen = chosen.select("lang", "h", "doc_id").collect()  # PER_LANGUAGE for each language at most
-    if not chosen:
+    different = written(fit.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id")), "different")
+    counts = different.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return []
+    wanted = max(1, min(PER_LANGUAGE, SAMPLE // languages))
+    # Hashes are spread evenly: below this bound are twice as many texts and some more
+    share = F.least(F.lit(1.0), (2.0 * wanted + 20) / F.col("n"))
+    few = different.join(counts.select("lang", share.alias("share")), "lang")
+    few = few.where((F.col("h") / 2.0**64 + 0.5) <= F.col("share"))
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    chosen = few.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= wanted)
+    chosen = chosen.select("lang", "h", "doc_id").collect()  # ``wanted`` for each language at most
     ids, hashes = sorted({r["doc_id"] for r in chosen}), sorted({r["h"] for r in chosen})
     rows = fit.where(F.col("doc_id").isin(ids) & F.col("h").isin(hashes))
     wide = F.lit(max(1, min(MAX_CHARS, TOTAL_CHARS // len(chosen))))
     begin = F.pmod("h", F.greatest(F.length("text") - wide, F.lit(0)) + 1).cast("int")
     rows = rows.select("doc_id", "lang", "h", F.substring("text", begin + 1, wide).alias("text"))
     rows = rows.groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text")).collect()  # repeated rows once
-    wanted = {(r["doc_id"], r["lang"], r["h"]) for r in chosen}
-    return sorted((r["lang"], r["text"]) for r in rows if (r["doc_id"], r["lang"], r["h"]) in wanted)
+    wanted_rows = {(r["doc_id"], r["lang"], r["h"]) for r in chosen}
+    return sorted((r["lang"], r["text"]) for r in rows if (r["doc_id"], r["lang"], r["h"]) in wanted_rows)
 
 
 def _digest(text: str) -> bytes:
@@ -180,20 +169,26 @@ def fit(sample: list[tuple[str, str]]) -> Model | None:
         return None
     languages = sorted({lang for lang, _ in sample})
     grams = Grams([text for _, text in sample])
-    seen = np.concatenate([grams.presence([text])[0] for _, text in sample])
-    seen /= np.sqrt(seen.sum(axis=1, keepdims=True))
+    each = max(1, min(LANDMARKS_PER_LANGUAGE, LANDMARKS // len(languages)))
     place: Counter[str] = Counter()
     marks = []
-    for i, (lang, _) in enumerate(sample):
+    for lang, text in sample:
         place[lang] += 1
-        if place[lang] <= LANDMARKS_PER_LANGUAGE:
-            marks.append(i)
-    landmarks = np.ascontiguousarray(seen[marks].T)
+        if place[lang] <= each:
+            marks.append(text)
+
+    def seen(texts: list[str]) -> np.ndarray:
+        found, _ = grams.presence(texts)
+        return found / np.sqrt(np.maximum(found.sum(axis=1, keepdims=True), 1))
+
+    landmarks = np.ascontiguousarray(np.concatenate([seen([t]) for t in marks]).T)
     among = (landmarks.T @ landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh(among)
     solid = values > 1e-6 * values[-1]
     root = vectors[:, solid] / np.sqrt(values[solid])  # K^(-1/2), up to a rotation
-    features = (seen @ landmarks).astype(np.float64) @ root
+    texts = [text for _, text in sample]
+    blocks = [seen(texts[at : at + BLOCK]) @ landmarks for at in range(0, len(texts), BLOCK)]
+    features = np.concatenate(blocks).astype(np.float64) @ root
     features = np.hstack([features, np.ones((len(sample), 1))])
     targets = np.array([[1.0 if lang == name else -1.0 for name in languages] for lang, _ in sample])
     share = np.array([1 / place[lang] for lang, _ in sample])[:, None]  # every language weighs the same
@@ -220,7 +215,7 @@ def identify(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
             begin = 0
             while begin < len(texts):
                 end, held = begin, 0
-                while end < len(texts) and end - begin < 256 and (end == begin or held + len(texts[end]) <= 1_000_000):
+                while end < len(texts) and end - begin < BLOCK and (end == begin or held + len(texts[end]) <= 1_000_000):
                     held += len(texts[end])
                     end += 1
                 if model.value is None:

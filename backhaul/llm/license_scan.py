@@ -1,8 +1,9 @@
 """License scans: phrases by position, and an exact set-similarity join with templates.
 
-Only DataFrame functions. A text is read once. Its blocks are its lines; of a block's
-distinct words, those that any template has are kept. The join finds every (block,
-template) with ``|block and template| / |template| >= THRESHOLD``:
+Only DataFrame functions. A text is read once. Its blocks are all runs of ``LINES`` consecutive
+lines (or all lines, if it has fewer), so notices are found where they are wrapped; of a block's distinct words, those that any
+template has are kept. The join finds every (block, template) with
+``|block and template| / |template| >= THRESHOLD`` in which the template's own word is:
 
 * tokens are ordered by the number of blocks they are in, rarest first;
 * length: the block needs at least the required number of template words;
@@ -31,23 +32,24 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import ascii_lower, table, written
 
 THRESHOLD = 0.8
+LINES = 3
 # Phrases and their labels
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-# Words of license notices and their labels
+# Words of license notices, their labels, and the word without which they are not meant
 TEMPLATES = [
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-    ("licensed under the apache license version 2 0", "apache"),
-    ("this work is licensed under the gnu general public license version 3", "gpl"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu", "gpl"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
-    ("copyright all rights reserved", "reserved"),
+    ("released under the mit license", "mit", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", "granted"),
+    ("licensed under the apache license version 2 0", "apache", "apache"),
+    ("this work is licensed under the gnu general public license version 3", "gpl", "gnu"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu", "gpl", "gnu"),
+    ("licensed under cc by nc 4 0", "cc-by-nc", "nc"),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by", "commons"),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", "redistribution"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl", "mozilla"),
+    ("copyright all rights reserved", "reserved", "reserved"),
 ]
 # Everything in ASCII but digits and letters parts words
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -76,17 +78,18 @@ def read_texts(docs: DataFrame, phrases: list[tuple[str, str]], vocabulary: list
     """A narrow row per document: what phrases say, and its blocks' template words."""
     text = F.coalesce(docs["text"], F.lit(""))
     lines = F.transform(
-        F.split(text, "\n"), lambda line: F.trim(F.lower(F.regexp_replace(line, BETWEEN_WORDS, " ")))
+        F.split(text, "\n"), lambda line: F.trim(F.regexp_replace(ascii_lower(line), BETWEEN_WORDS, " "))
     )
     read = docs.select("doc_id", lines.alias("lines"))
     read = read.select(
         "doc_id",
         F.array_join(F.filter("lines", lambda line: line != ""), " ").alias("joined"),
-        F.filter(
-            F.transform("lines", lambda line: F.array_distinct(F.filter(F.split(line, " "), lambda w: w.isin(vocabulary)))),
-            lambda words: F.size(words) >= least,
-        ).alias("blocks"),
+        F.transform("lines", lambda line: F.filter(F.split(line, " "), lambda w: w.isin(vocabulary))).alias("kept"),
     )
+    begins = F.sequence(F.lit(1), F.greatest(F.size("kept") - (LINES - 1), F.lit(1)))
+    runs = F.transform(begins, lambda i: F.array_sort(F.array_distinct(F.flatten(F.slice("kept", i, F.lit(LINES))))))
+    blocks = F.array_distinct(F.filter(runs, lambda words: F.size(words) >= least))
+    read = read.select("doc_id", "joined", blocks.alias("blocks"))
     spaced = F.concat(F.lit(" "), "joined", F.lit(" "))
     has_phrase = reduce(or_, [F.contains(spaced, F.lit(f" {phrase} ")) for phrase, _ in phrases])
     spaces = F.octet_length("joined") - F.octet_length(F.replace("joined", F.lit(" "), F.lit("")))
@@ -115,21 +118,22 @@ def read_texts(docs: DataFrame, phrases: list[tuple[str, str]], vocabulary: list
     )
 
 
-def join_templates(blocks: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(row, label, containment) of all (block, template) pairs; ``blocks`` has row and words."""
+def join_templates(blocks: DataFrame, templates: list[tuple[str, str, str | None]], threshold: float) -> DataFrame:
+    """(row, label, containment) of all (block, template) pairs; ``blocks`` has row and words. A
+    template is its text, its label and the word that a block has to have, if any."""
     spark = blocks.sparkSession
-    sets = [(sorted(set(text.split(" "))), label) for text, label in templates]
-    vocabulary = {w for words, _ in sets for w in words}
+    sets = [(sorted(set(text.split(" "))), label, own) for text, label, own in templates]
+    vocabulary = {w for words, _, _ in sets for w in words}
     counts = blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()  # at most the vocabulary
     seen = {r["word"]: r["count"] for r in counts}
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
     index = []
-    for words, label in sets:
+    for words, label, own in sets:
         ranks = sorted(order[w] for w in words)
         need = required(len(ranks), threshold)
-        index += [(rank, p, ranks, need, label) for p, rank in enumerate(ranks[: len(ranks) - need + 1])]
-    index = spark.createDataFrame(index, "rank int, place int, template array<int>, need int, label string")
-    least = min(required(len(words), threshold) for words, _ in sets)
+        index += [(rank, p, ranks, need, label, order.get(own)) for p, rank in enumerate(ranks[: len(ranks) - need + 1])]
+    index = spark.createDataFrame(index, "rank int, place int, template array<int>, need int, label string, own int")
+    least = min(required(len(words), threshold) for words, _, _ in sets)
 
     rank_of = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     ranked = blocks.select("row", F.array_sort(F.transform("words", lambda w: F.get(F.array(rank_of[w]), F.lit(0)))).alias("block"))
@@ -140,7 +144,7 @@ def join_templates(blocks: DataFrame, templates: list[tuple[str, str]], threshol
     return (
         ranked.join(F.broadcast(index), "rank")
         .where((F.size("block") >= F.col("need")) & (left >= F.col("need")))
-        .where(shared >= F.col("need"))
+        .where((shared >= F.col("need")) & (F.col("own").isNull() | F.array_contains("block", F.col("own"))))
         .select("row", "label", (shared / F.size("template")).alias("containment"))
     )
 
@@ -148,13 +152,13 @@ def join_templates(blocks: DataFrame, templates: list[tuple[str, str]], threshol
 def scan_licenses(
     docs: DataFrame,
     phrases: list[tuple[str, str]] = PHRASES,
-    templates: list[tuple[str, str]] = TEMPLATES,
+    templates: list[tuple[str, str, str | None]] = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels, score."""
-    vocabulary = sorted({w for text, _ in templates for w in text.split(" ")})
-    least = min(required(len(set(text.split(" "))), threshold) for text, _ in templates)
+    vocabulary = sorted({w for text, *_ in templates for w in text.split(" ")})
+    least = min(required(len(set(text.split(" "))), threshold) for text, *_ in templates)
     read = written(read_texts(docs, phrases, vocabulary, least), "licenses")
     blocks = read.select("row", F.explode("blocks").alias("words"))
     found = (
@@ -175,7 +179,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-_VALUES = ", ".join(f"('{text}', '{label}')" for text, label in TEMPLATES)
+_VALUES = ", ".join(f"('{text}', '{label}', '{own}')" for text, label, own in TEMPLATES)
 OP6_SQL = rf"""
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -188,14 +192,18 @@ WITH d AS (
     list_filter(range(1, len(words) + 1), lambda i: words[i] = 'all' AND words[i + 1] = 'rights' AND words[i + 2] = 'reserved') AS res
   FROM w
 ), templates AS (
-  SELECT label, list_distinct(string_split(txt, ' ')) AS tokens FROM (VALUES {_VALUES}) v(txt, label)
+  SELECT label, own, list_distinct(string_split(txt, ' ')) AS tokens FROM (VALUES {_VALUES}) v(txt, label, own)
+), lines AS (
+  SELECT doc_id, list_transform(string_split(t, chr(10)),
+    lambda line: list_filter(string_split_regex(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS words FROM d
 ), blocks AS (
-  SELECT doc_id, list_distinct(list_filter(string_split_regex(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS tokens
-  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  SELECT doc_id, list_distinct(flatten(words[at:at + {LINES - 1}])) AS tokens
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {LINES - 1}, 1) + 1)) AS at FROM lines)
 ), found AS (
   SELECT doc_id, list_distinct(list(label)) AS more,
     max(len(list_intersect(b.tokens, m.tokens))::DOUBLE / len(m.tokens)) AS best
   FROM blocks b, templates m WHERE len(list_intersect(b.tokens, m.tokens)) >= ceil({THRESHOLD} * len(m.tokens) - 1e-9)
+    AND list_contains(b.tokens, m.own)
   GROUP BY doc_id
 ), named AS (
   SELECT doc_id, n_words::BIGINT AS n_words, (len(cc) + len(gpl) + len(res))::BIGINT AS n_base,
