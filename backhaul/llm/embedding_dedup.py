@@ -18,9 +18,11 @@ The comparison is exact and takes all vectors: its work grows with the square of
 number of classes, as every exact method's does on vectors without structure.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components
-links with nothing and is its own component, as is one without an id. Shorter vectors are
-filled up with zeros. Repeated rows are vectors of their own; rows that share an id are
-one node. An empty table gives an empty result. Other columns are not read.
+links with nothing and is its own component. Shorter vectors are filled up with zeros. A
+vector without an id is compared like any other and counts among the links of others; a
+component is named by the smallest id in it, and by null if it has none (then all of it is
+kept). Repeated rows are vectors of their own; rows that share an id belong to one component.
+An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, small_batches, table, written
+from .common import connected_components, small_batches, table, with_row_key, written
 
 THRESHOLD = 0.95
 TILE = 4096
@@ -211,17 +213,18 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     )
     top = F.array_max(F.transform("vector", F.abs))
     whole = ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    valid = F.coalesce(F.col("vec_id").isNotNull() & whole & (top > 0), F.lit(False))
+    valid = F.coalesce(whole & (top > 0), F.lit(False))
     good = rows.where(valid)
-    classes = good.groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("size"))
-    classes = written(classes.select("node", "size", "vector"), "classes")
+    classes = good.groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"))
+    keyed, key = with_row_key(written(classes.select("least", "size", "vector"), "classes"))
+    classes = keyed.withColumnRenamed(key, "node")  # ids may be missing or repeat, so nodes have numbers of their own
     n, size = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
     alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not n:
         return alone.withColumn("kept", F.lit(True))
     values, axes = np.linalg.eigh(second_moments(classes, size))
     axes = np.ascontiguousarray(axes[:, ::-1])
-    stored = written(tiles(classes, axes, tile), "tiles")
+    stored = written(tiles(classes.select("node", "size", "vector"), axes, tile), "tiles")
     pairs = tile_pairs(stored.select("tile", "low", "high"), (n - 1) // tile, threshold)
     parts = [
         stored.select(F.col("tile").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("nodes", "sizes", "vectors")])
@@ -231,16 +234,24 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     both = both.select("i", "j", "nodes_i", "nodes_j", "sizes_i", "sizes_j", "vectors_i", "vectors_j")
     found = written(links(both, axes, threshold), "links")
     degree = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
-    components = connected_components(found.where("b IS NOT NULL").select("a", "b"))
-    named = (
-        classes.join(degree, classes["node"] == degree["a"], "left")
-        .join(components.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-        .select(
-            "vector",
+    # Classes of one id belong together; few ids have more than one vector
+    owned = good.join(classes.select("node", "vector"), "vector").where("vec_id IS NOT NULL").select("vec_id", "node").distinct()
+    by_id = owned.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    same = owned.join(by_id.select("vec_id", "a"), "vec_id").where("node <> a").select("a", F.col("node").alias("b"))
+    edges = found.where("b IS NOT NULL").select("a", "b").unionByName(same)
+    components = connected_components(edges)
+    placed = classes.select("node", "least", "size").join(degree, classes["node"] == degree["a"], "left")
+    placed = placed.join(components.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    placed = written(
+        placed.select(
+            "node", "least", F.coalesce("component", "node").alias("component"),
             (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "node").alias("component_id"),
-        )
-    )
+        ),
+        "placed",
+    )
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = placed.join(names, "component").select("node", "n_links", "component_id")
+    named = named.join(classes.select("node", "vector"), "node").drop("node")
     out = good.join(written(named, "named"), "vector").select("vec_id", "n_links", "component_id")
     return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

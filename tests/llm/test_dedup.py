@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -164,16 +165,31 @@ def test_embedding_groups(spark, tile):
     rows += [(10_000 + i, v, 2) for i, v in enumerate(odd)] + [(None, x[0].tolist(), 3)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int").repartition(5)
     found = {r["vec_id"]: tuple(r)[1:] for r in embedding_groups(df, tile=tile).collect()}
-    cosine = unit(x) @ unit(x).T >= 0.95
-    part = components(ids.tolist(), [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(cosine)) if a < b])
+    whole = np.concatenate([x, x[:1]])  # the vector without an id links like any other
+    cosine = unit(whole) @ unit(whole).T >= 0.95
+    part = components(range(len(whole)), [(int(a), int(b)) for a, b in zip(*np.nonzero(cosine)) if a < b])
+    least = {}
+    for k, i in enumerate(ids.tolist()):
+        least[part[k]] = min(i, least.get(part[k], i))
     for k, i in enumerate(ids.tolist()):
-        assert found[i] == (int(cosine[k].sum()) - 1, part[i], part[i] == i)
+        assert found[i] == (int(cosine[k].sum()) - 1, least[part[k]], least[part[k]] == i)
     for i in range(len(odd)):
         assert found[10_000 + i] == (0, 10_000 + i, True)
-    assert found[None][0] == 0
+    assert found[None] == (int(cosine[-1].sum()) - 1, least[part[len(x)]], False)
     assert len(found) == len(rows)
 
 
+def test_embeddings_without_ids_connect(spark):
+    """1 and 2 are linked through a vector without an id; two such vectors alone; one id with two vectors."""
+    angles = [(1, 0.0), (None, 0.3), (2, 0.6), (None, 2.0), (None, 2.1), (7, 3.5), (7, 5.0), (3, 5.1)]
+    rows = [(i, [math.cos(a), math.sin(a)]) for i, a in angles]
+    found = Counter(tuple(r) for r in embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert found == {
+        (1, 1, 1, True): 1, (None, 2, 1, False): 1, (2, 1, 1, False): 1, (None, 1, None, True): 2,
+        (7, 0, 3, False): 1, (7, 1, 3, False): 1, (3, 1, 3, True): 1,
+    }
+
+
 def test_embedding_groups_of_few(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_groups(none).count() == 0
