@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from backhaul.llm.bpe_automaton import encode_documents, word_bpe
 from backhaul.llm.byte_bpe import byte_bpe
 from backhaul.llm.packing import balance, pack, sequence_lengths
-from backhaul.llm.token_rollup import TokenRollup, count_tokens
+from backhaul.llm.token_rollup import TokenRollup, count_tokens, op5_token_counts
 
 from llm_texts import ODD_TEXTS
 
@@ -169,3 +169,62 @@ def test_rank_files(name):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert byte_bpe(path).count(TEXTS).tolist() == [len(plain.encode_ordinary(t)) for t in TEXTS]
+
+
+def test_documents_that_share_an_id_or_have_none(spark, tmp_path):
+    schema = "doc_id long, row long, tokenizer string, op string, source string, lang string, n_tokens long"
+    rows = [(None, 1, "v", "insert", "s", "en", 10), (None, 2, "v", "insert", "s", "en", 7), (1, 3, "v", "insert", "s", "en", 5), (1, 4, "v", "insert", "s", "fr", 9)]
+    rollup = TokenRollup(spark, str(tmp_path))
+    rollup.apply(1, spark.createDataFrame(rows, schema))
+    assert totals(rollup) == {("s", "en", "v"): (3, 22), ("s", "fr", "v"): (1, 9)}
+    rollup.apply(2, spark.createDataFrame([(None, 2, "v", "delete", None, None, None), (1, 4, "v", "revise", "s", "fr", 2)], schema))
+    assert totals(rollup) == {("s", "en", "v"): (2, 15), ("s", "fr", "v"): (1, 2)}
+
+
+def test_compaction_and_other_changes_under_one_number(spark, tmp_path):
+    schema = "doc_id long, tokenizer string, op string, source string, lang string, n_tokens long"
+    rollup = TokenRollup(spark, str(tmp_path))
+    rollup.compact()
+    for n in range(1, 4):
+        rollup.apply(n, spark.createDataFrame([(i, "v", "insert", "s", "en", n) for i in range(n, n + 5)], schema))
+    before = totals(rollup)
+    rollup.compact()
+    assert totals(rollup) == before == {("s", "en", "v"): (7, 1 + 2 + 3 * 5)}
+    again = spark.createDataFrame([(i, "v", "insert", "s", "en", 2) for i in range(2, 7)], schema)
+    assert not rollup.apply(2, again.repartition(3))
+    with pytest.raises(ValueError):
+        rollup.apply(2, again.limit(4))
+    rollup.apply(4, spark.createDataFrame([(3, "v", "delete", None, None, None), (1, "v", "revise", "s", "en", 9)], schema))
+    assert totals(rollup) == {("s", "en", "v"): (6, 9 + 2 + 3 * 4)}
+    rollup.compact()
+    assert totals(rollup) == {("s", "en", "v"): (6, 9 + 2 + 3 * 4)}
+
+
+def test_query_equals_a_recount(spark, folder):
+    import base64
+    import re
+
+    import tiktoken
+
+    library = Tokenizer.from_file(BYTES)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    multi = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    least = {}
+    for r in rows:
+        least[r["text"] or ""] = min(r["doc_id"], least.get(r["text"] or "", r["doc_id"]))
+    expected = defaultdict(lambda: [0, 0])
+    for r in rows:
+        text = r["text"] or ""
+        if least[text] != r["doc_id"]:
+            continue
+        if r["lang"] == "en":
+            text = re.sub("[ \\t\\n\\x0b\\f\\r]+", " ", text) if re.search("[ \\t\\n\\x0b\\f\\r]{2}", text) else text
+            name, n = "byte_bpe_50k", len(library.encode(text, add_special_tokens=False).ids)
+        else:
+            name, n = "byte_bpe_multi_50k", len(multi.encode_ordinary(text))
+        expected[r["source"], r["lang"], name][0] += 1
+        expected[r["source"], r["lang"], name][1] += n
+    found = {tuple(r)[:3]: tuple(r)[3:] for r in op5_token_counts(spark, folder).collect()}
+    assert found == {k: tuple(v) for k, v in expected.items()}
