@@ -45,7 +45,7 @@ from .piece_bpe import piece_bpe
 from .words import batches, has_unknown
 
 SHARES = 8
-HELD = 2_000_000  # postings that a task holds before it writes them out
+HELD = 600_000  # postings that a task holds before it writes them out
 ROWS = 1 << 15  # rows of an Arrow batch
 TEXT = 1_000_000  # characters that are aligned at once
 LOW = (1 << CHUNK_BITS) - 1
@@ -196,7 +196,7 @@ class Postings:
         text, pair = text[order], pair[order]
         new = np.append(True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1]))
         at = np.flatnonzero(new)
-        self.parts.append((numbers[text[at]], pair[at], np.diff(np.append(at, len(text)))))
+        self.parts.append((numbers[text[at]], pair[at], np.diff(np.append(at, len(text))).astype(np.int32)))
         self.held += at.size
 
     def out(self) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ class Postings:
         for own in np.unique(chunk):
             here = chunk == own
             pairs, row = np.unique(pair[here], return_inverse=True)
-            low, more = number[here] & LOW, times[here] - 1
+            low, more = number[here] & LOW, times[here].astype(np.int64) - 1
             digits = int(more.max()).bit_length()
             rows, places, lows = [row], [np.zeros(row.size, np.int64)], [low]
             planes = np.ones(pairs.size, np.int64)
