@@ -543,7 +543,7 @@ def _rollup_values() -> str:
         f"SELECT DISTINCT 'filter {c}', {c}, NULL, NULL, NULL FROM r WHERE {c} NOT IN ('', {placeholder})"
         for c, placeholder in (("reason", "''"), ("disposition", "''"), ("brand", "'-'"))
     )
-    return f"""WITH {UPSERT_CTE.replace('r AS (SELECT * FROM any_r', 'sent AS (SELECT * FROM any_r').replace('FROM r', 'FROM sent')},
+    return f"""WITH {UPSERT_CTE.replace('r AS (SELECT * FROM any_r', 'sent AS (SELECT * FROM any_r').replace('FROM r\n', 'FROM sent\n').replace('FROM r ', 'FROM sent ')},
       r AS (SELECT * FROM imported WHERE disposition <> '')
       SELECT dimension, value, records, units, CAST(NULL AS VARCHAR) AS earliest FROM ({BREAKDOWNS})
       UNION ALL {filters}
@@ -561,7 +561,7 @@ def _rollup_page() -> str:
 
 
 def _cleaned(select: str, ctes: str = "") -> str:
-    return f"""WITH o AS (SELECT * FROM ({_loaded(_ingest_orders())})
+    return f"""WITH o AS (SELECT * REPLACE (CAST(item_price AS DECIMAL(18,2)) AS item_price) FROM ({_loaded(_ingest_orders())})
         WHERE amazon_order_id <> '' OR coalesce(purchase_date, '') <> '' OR order_status <> ''),
       r AS (SELECT * FROM ({_loaded(_ingest_returns())}) WHERE disposition <> '') {ctes} {select}"""
 
