@@ -33,7 +33,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared scratch folder and read back.
 
     It cuts the lineage (a lost executor costs no recomputation), and both sides of a
@@ -41,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,8 +25,8 @@ copied articles stay. Hosts of one page share one tree.
 
 Pages are parsed once, into blocks of text and the counts of the tree, a row for an element
 and value of a batch's pages, combined in the task before the shuffle; there is no
-gathering by host, so a hot host does no harm. Which of its elements are unimportant is
-joined to every page as a list of its own elements alone, whatever its host has.
+gathering by host, so a hot host does no harm. Pages of a host that have the same elements
+share a list of those that are unimportant: places in their own elements, however many the host has.
 
 Time is linear in a page's length, whatever its markup. Elements below the ``DEPTH``-th level
 are counted as parts of their ancestor there, so their text goes or stays with it. A tag of more than
@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, with_row_key, written
+from .common import small_batches, table, written
 from .url_filter import host_of
 
 DECAY = 0.9
@@ -336,11 +336,11 @@ COUNT = [
     ("value", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64()), ("linked", pa.float64()),
 ]
 PAGE = [
-    ("key", pa.int64()), ("paths", pa.list_(pa.string())),
+    ("page_id", pa.int64()), ("url", pa.string()), ("page_host", pa.string()), ("paths", pa.list_(pa.string())),
     ("blocks", pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))),
 ]
 PARSED = (
-    "key long, paths array<string>, blocks array<struct<at int, text string>>, page_host string, host string, path string, "
+    "page_id long, url string, page_host string, paths array<string>, blocks array<struct<at int, text string>>, host string, path string, "
     "weight double, is_text boolean, value long, pages long, chars long, linked double"
 )
 
@@ -348,14 +348,14 @@ PARSED = (
 def parsed(pages: DataFrame) -> DataFrame:
     """Rows of pages (path is null): their blocks of text, each with the place of its element's path
     in ``paths``; and rows of counts: on how many pages of a host an element has which
-    presentation or text. ``pages`` has key, host and html; without a host a page has
+    presentation or text. ``pages`` has page_id, url, host and html; without a host a page has
     no counts and the blocks that presentation leaves it."""
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             counts: Counter[tuple] = Counter()
             rows = []
-            for host, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for host, source in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 elements, blocks = parse(source or "")
                 if not host:
                     rows.append(([], [{"at": -1, "text": t} for _, t, _ in _by_presentation(blocks)]))
@@ -370,18 +370,17 @@ def parsed(pages: DataFrame) -> DataFrame:
                 places: dict[str, int] = {}
                 own = [{"at": places.setdefault(e.path, len(places)), "text": t} for e, t, _ in blocks]
                 rows.append((list(places), own))
-            columns = [pa.array(c, k) for c, (_, k) in zip(zip(*rows), PAGE[1:])] if rows else [pa.array([], k) for _, k in PAGE[1:]]
-            n = len(rows)
-            columns = [batch.column(0), *columns, batch.column(1), *[pa.nulls(n, k) for _, k in COUNT]]
-            names = [*[n for n, _ in PAGE], "page_host", *[n for n, _ in COUNT]]
+            columns = [pa.array(c, k) for c, (_, k) in zip(zip(*rows), PAGE[3:])] if rows else [pa.array([], k) for _, k in PAGE[3:]]
+            columns = [*[batch.column(i) for i in range(3)], *columns, *[pa.nulls(len(rows), k) for _, k in COUNT]]
+            names = [n for n, _ in PAGE + COUNT]
             yield pa.RecordBatch.from_arrays(columns, names)
             if counts:
                 found = [(*k[:5], c, k[5] * c, k[6] * c) for k, c in counts.items()]
                 columns = [pa.array(c, k) for c, (_, k) in zip(zip(*found), COUNT)]
-                blank = [pa.nulls(len(found), k) for _, k in PAGE] + [pa.nulls(len(found), pa.string())]
+                blank = [pa.nulls(len(found), k) for _, k in PAGE]
                 yield pa.RecordBatch.from_arrays([*blank, *columns], names)
 
-    return small_batches(pages.select("key", "host", "html")).mapInArrow(work, PARSED)
+    return small_batches(pages.select("page_id", "url", "host", "html")).mapInArrow(work, PARSED)
 
 
 def site_values(found: DataFrame) -> DataFrame:
@@ -392,7 +391,8 @@ def site_values(found: DataFrame) -> DataFrame:
 
 def site_trees(pages: DataFrame) -> DataFrame:
     """``trees`` of the pages; ``pages`` has host and html."""
-    return trees(site_values(parsed(pages.withColumn("key", F.lit(0).cast("long")))))
+    unnamed = {"page_id": F.lit(None).cast("long"), "url": F.lit(None).cast("string")}
+    return trees(site_values(parsed(pages.withColumns(unnamed))))
 
 
 def trees(values: DataFrame) -> DataFrame:
@@ -492,23 +492,20 @@ def unimportant_of_hosts(found: DataFrame, least: float = LEAST) -> DataFrame:
 
 def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
-    keyed, key = with_row_key(pages)
-    hosted = keyed.select(F.col(key).alias("key"), host_of(keyed["url"]).alias("host"), "html")
-    found = written(parsed(hosted), "parsed")
+    hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(pages["url"]).alias("host"), "html")
+    found = written(parsed(hosted), "parsed", "zstd")  # all text, read once again
     low = written(unimportant_of_hosts(found, least), "unimportant")
-    # Paths in a list are of one page; a path is told by 64 bits and the host
-    rows = found.where("path IS NULL")
-    own = rows.select("key", F.col("page_host").alias("host"), F.explode("paths").alias("path"))
-    known = low.select("host", F.xxhash64("path").alias("h"))
-    own = own.select("key", "host", "path", F.xxhash64("path").alias("h")).join(known, ["host", "h"])
-    out = written(own.groupBy("key").agg(F.collect_list("path").alias("out")), "out")
-    kept = F.filter("blocks", lambda b: ~F.array_contains("out", F.get("paths", b["at"])))
+    # Pages of a host that have the same paths lose the same ones: one row for each such list
+    rows = found.where("path IS NULL").withColumn("list", F.xxhash64("page_host", "paths"))
+    lists = rows.where(F.size("paths") > 0).select("page_host", "list", "paths").distinct()
+    each = lists.select("page_host", "list", F.posexplode("paths").alias("at", "path"))
+    gone = each.join(low.withColumnRenamed("host", "page_host"), ["page_host", "path"])
+    gone = written(gone.groupBy("page_host", "list").agg(F.collect_set("at").alias("out")), "out")
+    joined = rows.join(gone, ["page_host", "list"], "left")
+    kept = F.filter("blocks", lambda b: ~F.array_contains("out", b["at"]))
     kept = F.when(F.col("out").isNull(), F.col("blocks")).otherwise(kept)
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    texts = rows.join(out, "key", "left").select("key", text.alias("text"))
-    named = keyed.select(F.col(key).alias("key"), F.col("page_id").cast("long").alias("page_id"), "url")
-    joined = named.join(texts, "key").select("page_id", "url", "text")
-    return joined.withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op2_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

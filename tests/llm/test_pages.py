@@ -293,6 +293,7 @@ def test_importance_equals_plain_entropies(spark, folder):
 
 def test_counts_of_a_site_are_those_of_its_pages(spark):
     df = spark.createDataFrame([("a", site_page(i % 3)) for i in range(9)], "host string, html string")
-    values = site_values(parsed(df.withColumn("key", F.lit(0).cast("long")))).collect()
+    named = df.withColumns({"page_id": F.lit(0).cast("long"), "url": F.lit("u")})
+    values = site_values(parsed(named)).collect()
     story = [r for r in values if r["path"] == "html body div.story p" and r["is_text"]]
     assert len(story) == 6 and {r["c"] for r in story} == {3}

@@ -1,10 +1,15 @@
+import zlib
+
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_dedup import components, plain_fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from backhaul.llm.queries import oracle_sql, queries
+from backhaul.session import scratch_root
+from backhaul.sources import list_files
 from checks.compare import compare, connect
 
 NATIVE = ("op3_exact_dedup", "op6_license_scan", "op9_url_filter")
@@ -85,3 +90,26 @@ def test_copies_go_by_row(spark, tmp_path):
 def test_no_labels_drop_no_documents(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, "1 2", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in corpus_pipeline.with_language(spark, docs, "").collect()] == [1]
+
+
+def test_missing_languages_are_named(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    lacking = docs.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    found = {r["doc_id"]: r["lang"] for r in corpus_pipeline.with_language(spark, lacking, folder).collect()}
+    assert all(found[i] == truth[i] for i in found if i % 3)
+    named = [found[i] == truth[i] for i in found if i % 3 == 0]
+    assert len(named) > 30 and sum(named) / len(named) > 0.95
+
+
+def test_pieces_carry_their_ids(spark, odd_docs):
+    for r in corpus_pipeline.packed(spark, odd_docs, "").collect():
+        data = b"".join(i.to_bytes(4, "little") for i in r["ids"])
+        assert len(r["ids"]) == r["length"] and zlib.crc32(data) == r["ids_crc32"]
+
+
+def test_run_leaves_its_last_stage_only(spark, folder):
+    before = {n for n in list_files(spark, scratch_root(spark)) if n.startswith("pipeline-")}
+    corpus_pipeline.run(spark, folder)
+    after = {n for n in list_files(spark, scratch_root(spark)) if n.startswith("pipeline-")} - before
+    assert len(after) == 1 and next(iter(after)).startswith("pipeline-packing-")
