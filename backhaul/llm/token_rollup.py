@@ -147,7 +147,7 @@ class TokenRollup:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after five batches: all documents counted; those not in English moved to the
     multilingual tokenizer (a delete and an insert each); counts of English documents revised, whose
-    runs of white space are one space now; copies of a text deleted, the smallest id
+    line breaks are spaces now; copies of a text deleted, the smallest id
     stays; and the first batch sent again."""
     docs, key = with_row_key(table(spark, sf_dir, "documents"))
     first, second = "byte_bpe_50k", "byte_bpe_multi_50k"
@@ -164,8 +164,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     whole = counted(docs, one)
     foreign = counted(docs.where("lang IS NULL OR lang <> 'en'"), multi)
-    spaced = docs.where("lang = 'en'").where(F.col("text").rlike(r"\s\s"))
-    revised = counted(spaced.withColumn("text", F.regexp_replace("text", r"\s+", " ")), one)
+    broken = docs.where("lang = 'en'").where(F.contains("text", F.lit("\n")))
+    revised = counted(broken.withColumn("text", F.replace("text", F.lit("\n"), F.lit(" "))), one)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     keep = written(whole.groupBy("hash").agg(F.min(order).alias("keep")), "keep")
     copies = whole.join(keep, "hash").where(F.col("keep.row") != F.col("row"))

@@ -202,7 +202,6 @@ def test_compaction_and_other_changes_under_one_number(spark, tmp_path):
 
 def test_query_equals_a_recount(spark, folder):
     import base64
-    import re
 
     import tiktoken
 
@@ -215,16 +214,18 @@ def test_query_equals_a_recount(spark, folder):
     for r in rows:
         least[r["text"] or ""] = min(r["doc_id"], least.get(r["text"] or "", r["doc_id"]))
     expected = defaultdict(lambda: [0, 0])
+    changed = 0
     for r in rows:
         text = r["text"] or ""
         if least[text] != r["doc_id"]:
             continue
         if r["lang"] == "en":
-            text = re.sub("[ \\t\\n\\x0b\\f\\r]+", " ", text) if re.search("[ \\t\\n\\x0b\\f\\r]{2}", text) else text
+            changed += "\n" in text
+            text = text.replace("\n", " ")
             name, n = "byte_bpe_50k", len(library.encode(text, add_special_tokens=False).ids)
         else:
             name, n = "byte_bpe_multi_50k", len(multi.encode_ordinary(text))
         expected[r["source"], r["lang"], name][0] += 1
         expected[r["source"], r["lang"], name][1] += n
     found = {tuple(r)[:3]: tuple(r)[3:] for r in op5_token_counts(spark, folder).collect()}
-    assert found == {k: tuple(v) for k, v in expected.items()}
+    assert found == {k: tuple(v) for k, v in expected.items()} and changed > 20
