@@ -139,7 +139,8 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     wanted = max(1, min(PER_LANGUAGE, SAMPLE // languages))
     # Hashes are spread evenly: below this bound are twice as many texts and some more
     share = F.least(F.lit(1.0), (2.0 * wanted + 20) / F.col("n"))
-    few = different.join(counts.select("lang", share.alias("share")), "lang")
+    # A row per language; without the hint rows would be dealt by language before they are few
+    few = different.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang")
     few = few.where((F.col("h") / 2.0**64 + 0.5) <= F.col("share"))
     by_hash = Window.partitionBy("lang").orderBy("h")
     chosen = few.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= wanted)
