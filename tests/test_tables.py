@@ -1,4 +1,5 @@
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +247,34 @@ def test_pages_of_equal_ids(spark):
             found = [tuple(r) for r in op.returns_page(df, page, 7).collect()]
             assert found == expected[(page - 1) * 7 : page * 7]
     assert schema.PAGE_SIZE == 50
+
+
+def test_maintenance_looks_at_new_loads_only(spark, tmp_path, monkeypatch):
+    """Run after every load, it leaves what one run over everything would; over an unchanged table it reads nothing."""
+    module = sys.modules["backhaul.plans.maintain"]
+    header = "Identifier,purchase-date,amazon-order-id,order-status,sku,asin,quantity,item-price"
+    batches = [
+        [f"a{i},2024-0{1 + i % 3}-05,o{i % 7},Shipped,s{i % 2},a,1,{i % 3 or ''}" for i in range(20)] + [",,,,s,a,1,5"],
+        [f"b{i},2024-0{1 + i % 4}-06,o{i % 9},Shipped,s{i % 2},a,1,{i}" for i in range(20)],
+        [f"c{i},,o{i},Shipped,s0,a,1,7" for i in range(12)] + [",,,,t,a,1,6"],
+    ]
+    often, once = (plans.open_tables(spark, str(tmp_path / name)) for name in ("often", "once"))
+    deleted = {name: [0, 0] for name in ("cleanup_bad_orders", "dedup_orders")}
+    for n, lines in enumerate(batches):
+        path = tmp_path / f"{n}.csv"
+        path.write_text("\n".join([header, *lines]) + "\n")
+        for tables in (often, once):
+            plans.load_sheet_file(spark, tables, str(path))
+        for name, counts in deleted.items():
+            counts[0] += plans.maintain(often, name)["deleted"]
+    for name, counts in deleted.items():
+        counts[1] += plans.maintain(once, name)["deleted"]
+    found = [sorted((r["identifier"], r["sku"]) for r in t.orders.read().collect()) for t in (often, once)]
+    assert len(found[0]) == len(found[1])
+    keys = [{(r["amazon_order_id"], r["sku"]) for r in t.orders.read().collect()} for t in (often, once)]
+    assert keys[0] == keys[1] and all(a == b > 0 for a, b in deleted.values())
+    monkeypatch.setattr(module, "_removed", died)
+    for name in deleted:
+        assert plans.maintain(often, name) == {"deleted": 0, "remaining": len(found[0])}
+    once.orders.compact()
+    assert plans.maintain(once, "dedup_orders")["deleted"] == 0
