@@ -11,7 +11,7 @@ from backhaul.sources import read_returns_payload
 from backhaul.sources.files import content_hash
 from backhaul.sources.paths import list_files
 from checks.queries import export_sheet
-from backhaul.sources.star import raw_returns, return_batches
+from backhaul.sources.star import batch_rows, line_batches, order_batches, raw_returns, return_batches
 
 HEADER = "Return Date,Order ID,ASIN,Detailed-disposition,Reason"
 
@@ -111,3 +111,12 @@ def test_import_fills_and_adds(spark, tmp_path):
     assert counts == {"added": 1, "updated": 2, "skipped": 0}
     rows = {(r["order_id"], r["disposition"]) for r in tables.returns.read().collect()}
     assert rows == {("o1", "DEFECTIVE"), ("o2", "SELLABLE"), ("o3", "LATE")}
+
+
+def test_batches_as_lines_make_the_same_rows(spark, folder):
+    for rows, lines in zip(order_batches(spark, folder), line_batches(spark, folder)):
+        made = batch_rows(lines)
+        assert made.schema == rows.schema
+        assert sorted(map(str, made.collect())) == sorted(map(str, rows.collect()))
+        assert {len(r[0]) for r in lines.select("row_hash").collect()} == {16}
+        assert "BroadcastHashJoin" not in plan(lines) and "SortMergeJoin" not in plan(lines)  # one written copy
