@@ -6,7 +6,7 @@ from .cleanup import (
     drop_blank_dispositions,
     maintenance_counts,
 )
-from .keep import first_by_hash, insert_ignore, keep_first
+from .keep import first_by_hash, insert_ignore, keep_first, repeated_hashes, repeated_rows
 from .normalize import normalize, normalize_orders, normalize_returns
 from .search import (
     export_returns,
@@ -39,6 +39,8 @@ __all__ = [
     "filter_options",
     "filtered_count",
     "first_by_hash",
+    "repeated_hashes",
+    "repeated_rows",
     "ingest_actions",
     "insert_ignore",
     "keep_first",
