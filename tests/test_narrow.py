@@ -66,3 +66,26 @@ def test_blanks_zeros_and_months(spark):
     months = ["2024-02", "2024-02", "0000-01", None, None, None, None, None, "2024-12"]
     assert [r["p_ym"] for r in dated] == months
     assert [r["p_y"] for r in dated] == [m and m[:4] for m in months]
+
+
+def test_lines_are_looked_at_once_for_their_quotes(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,z\n')
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(_several(read_lines(spark, str(path)), ","))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert text.count("FileScan text") < text.count("Window [") and "ReusedExchange" in text
+    assert text.count("RLIKE") <= 2 * text.count("FileScan text")
+
+
+def test_fingerprints_sum_without_rounding(spark, tmp_path):
+    lines = [f"line {i}" for i in range(500)]
+    path = tmp_path / "t.txt"
+    path.write_text("\n".join(lines) + "\n")
+    hashes = [hashlib.md5(f"{i}:{x}".encode()).hexdigest() for i, x in enumerate(lines)]
+    found = line_sums(spark, str(path)).first()
+    assert found["lines"] == 500
+    assert found["first"] == str(sum(int(h[:15], 16) for h in hashes))
+    assert found["second"] == str(sum(int(h[15:30], 16) for h in hashes))
