@@ -89,3 +89,34 @@ def test_fingerprints_sum_without_rounding(spark, tmp_path):
     assert found["lines"] == 500
     assert found["first"] == str(sum(int(h[:15], 16) for h in hashes))
     assert found["second"] == str(sum(int(h[15:30], 16) for h in hashes))
+
+
+def test_first_rows_by_a_short_list_of_numbers(spark, tmp_path):
+    rows = [("a", 2, 10), ("a", 1, 11), ("b", 5, 12), (None, 1, 13), (None, 1, 14), ("c", None, 15), ("c", 0, 16), ("d", 3, 17), ("d", 3, 18)]
+    spark.createDataFrame(rows, "row_hash string, seq int, n long").write.parquet(str(tmp_path / "rows"))
+    batch = spark.read.parquet(str(tmp_path / "rows"))
+    again = op.repeated_hashes(batch)
+    assert {r[0] for r in again.collect()} == {"a", "c", "d"}
+    left_out = op.repeated_rows(batch, again, "n")
+    left_out.write.parquet(str(tmp_path / "list"))
+    kept = op.first_by_hash(batch, left_out=("n", spark.read.parquet(str(tmp_path / "list"))))
+    assert sorted(r["n"] for r in kept.collect()) == [11, 12, 13, 14, 15, 17]
+    plain = op.first_by_hash(batch).collect()
+    assert sorted(r["seq"] or -1 for r in plain) == sorted(r["seq"] or -1 for r in kept.collect())
+    assert "Exchange hashpartitioning" not in plan(kept)
+
+
+def test_a_batch_that_is_not_small_is_not_dealt_twice(spark, tmp_path):
+    rows = [("a", 1), ("b", 2), ("b", 1), (None, 4), ("e", 9)]
+    spark.createDataFrame(rows, "row_hash string, seq int").write.parquet(str(tmp_path / "rows"))
+    batch = spark.read.parquet(str(tmp_path / "rows"))
+    stored = batch.filter("row_hash = 'a'").unionByName(batch.filter("seq = 4"))
+    found = op.insert_ignore(batch, stored, small=False)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("b", 1), ("e", 9), (None, 4)], key=str)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(op.insert_ignore(batch, batch, small=False))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert text.count("Exchange hashpartitioning(row_hash") == 2
